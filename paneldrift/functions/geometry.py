@@ -2,7 +2,8 @@
 
 A polygon is any number of closed or open rings under the even-odd rule: parts of a
 multi-polygon and holes are further rings. All functions are built-in higher-order
-expressions, so geometry stays an ordinary column.
+expressions, so geometry stays an ordinary column. The ``sql_*`` helpers compose SQL text,
+which keeps the deeply nested lambdas readable and cheap to build.
 """
 
 from __future__ import annotations
@@ -20,184 +21,164 @@ def point(x: ColumnLike, y: ColumnLike) -> Column:
     return F.struct(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
 
 
-def rectangle(x: ColumnLike, y: ColumnLike, w: ColumnLike, h: ColumnLike) -> Column:
-    """One closed ring around (x, y) .. (x + w, y + h)."""
-    x, y, w, h = col(x), col(y), col(w), col(h)
-    corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
-    return F.array(F.array(*[point(a, b) for a, b in corners]))
+def rectangle_sql(x: str, y: str, w: str, h: str) -> str:
+    """One closed ring around (x, y) .. (x + w, y + h), as SQL text over SQL operands."""
+    corners = [(x, y), (f"{x} + {w}", y), (f"{x} + {w}", f"{y} + {h}"), (x, f"{y} + {h}"), (x, y)]
+    points = ", ".join(
+        f"named_struct('x', double({a}), 'y', double({b}))" for a, b in corners
+    )
+    return f"array(array({points}))"
+
+
+def rectangle(x: str, y: str, w: str, h: str) -> Column:
+    return F.expr(rectangle_sql(f"({x})", f"({y})", f"({w})", f"({h})"))
 
 
-def ring_edges(ring: Column) -> Column:
-    """array<struct<a, b>> of a ring's edges; an open ring is closed."""
-    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    pairs = F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.filter(pairs, lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"]))
+def sql_ring_edges(ring: str) -> str:
+    """array<struct<a, b>> of a ring's edges; an open ring is closed, empty edges are dropped."""
+    following = f"concat(slice({ring}, 2, size({ring})), slice({ring}, 1, 1))"
+    return (
+        f"filter(zip_with({ring}, {following}, (p, q) -> named_struct('a', p, 'b', q)), "
+        "e -> e.a.x <> e.b.x OR e.a.y <> e.b.y)"
+    )
 
 
-def edges(rings: ColumnLike) -> Column:
+def sql_edges(rings: str) -> str:
     """All edges of all rings."""
-    return F.flatten(F.transform(col(rings), ring_edges))
+    return f"flatten(transform({rings}, r -> {sql_ring_edges('r')}))"
+
 
+def edges(rings: str) -> Column:
+    return F.expr(sql_edges(rings))
 
-def _add_up(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
+def _sql_sum(array: str) -> str:
+    return f"aggregate({array}, 0D, (total, v) -> total + v)"
 
-def _crosses_ray(edge: Column, px: Column, py: Column) -> Column:
-    """Does the ray from the point to the right cross the edge? Written without a division."""
-    x1, y1, x2, y2 = edge["a"]["x"], edge["a"]["y"], edge["b"]["x"], edge["b"]["y"]
-    side = (px - x1) * (y2 - y1) - (x2 - x1) * (py - y1)
-    upward = (y1 <= py) & (y2 > py) & (side < 0)
-    downward = (y1 > py) & (y2 <= py) & (side > 0)
-    return upward | downward
 
+def sql_point_inside(edge_list: str, x: str, y: str) -> str:
+    """Even-odd test: an odd number of edges crosses the ray from the point to the right.
 
-def point_in_edges(edge_list: Column, px: Column, py: Column) -> Column:
-    """Even-odd test of a point against all edges of a polygon."""
-    hits = F.size(F.filter(edge_list, lambda e: _crosses_ray(e, px, py)))
-    return hits % 2 == 1
+    Written without a division.
+    """
+    side = f"(({x} - e.a.x) * (e.b.y - e.a.y) - (e.b.x - e.a.x) * ({y} - e.a.y))"
+    return (
+        f"size(filter({edge_list}, e -> "
+        f"(e.a.y <= {y} AND e.b.y > {y} AND {side} < 0) OR "
+        f"(e.a.y > {y} AND e.b.y <= {y} AND {side} > 0))) % 2 = 1"
+    )
 
 
-def _ring_signs(rings: Column) -> Column:
+def _sql_ring_signs(rings: str) -> str:
     """+1 for a ring outside or inside an even number of other rings, -1 for a hole."""
+    inside = sql_point_inside(sql_ring_edges("o"), "get(s, 0).x", "get(s, 0).y")
+    depth = f"size(filter({rings}, (o, j) -> j <> i AND {inside}))"
+    signs = f"transform({rings}, (s, i) -> IF({depth} % 2 = 0, 1D, -1D))"
+    return f"IF(size({rings}) = 1, array(1D), {signs})"
 
-    def depth(ring: Column, i: Column) -> Column:
-        start = F.get(ring, F.lit(0))
-        others = F.filter(rings, lambda r, j: j != i)
-        return F.size(
-            F.filter(others, lambda r: point_in_edges(ring_edges(r), start["x"], start["y"]))
-        )
 
-    return F.transform(rings, lambda r, i: F.when(depth(r, i) % 2 == 0, 1.0).otherwise(-1.0))
+_CROSS = "(e.a.x * e.b.y - e.b.x * e.a.y)"
+_SPHERE = "(radians(e.b.x - e.a.x) * (sin(radians(e.a.y)) + sin(radians(e.b.y))))"
 
 
-def _ring_cross(ring: Column) -> Column:
-    """Twice the signed planar area of a ring."""
-    return _add_up(
-        F.transform(
-            ring_edges(ring),
-            lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"],
-        )
-    )
+def _sql_over_edges(ring: str, term: str) -> str:
+    """Sum of a term over the edges ``e`` of a ring."""
+    return _sql_sum(f"transform({sql_ring_edges(ring)}, e -> {term})")
 
 
-def _ring_spherical(ring: Column) -> Column:
-    """Twice the signed area of a lon/lat ring on the unit sphere."""
-    return _add_up(
-        F.transform(
-            ring_edges(ring),
-            lambda e: F.radians(e["b"]["x"] - e["a"]["x"])
-            * (F.sin(F.radians(e["a"]["y"])) + F.sin(F.radians(e["b"]["y"]))),
-        )
+def _sql_signed(rings: str, per_ring: str) -> str:
+    """Sum of a value per ring ``r``, holes counted negative."""
+    return _sql_sum(
+        f"zip_with(transform({rings}, r -> {per_ring}), {_sql_ring_signs(rings)}, (a, s) -> a * s)"
     )
 
 
-def polygon_area(rings: ColumnLike, mode: str = "planar") -> Column:
+def _sql_area(rings: str, term: str) -> str:
+    return _sql_signed(rings, f"abs({_sql_over_edges('r', term)})")
+
+
+def polygon_area(rings: str, mode: str = "planar") -> Column:
     """Area of a polygon: planar in squared units, or spherical in km2 from lon/lat degrees."""
-    rings = col(rings)
     if mode == "planar":
-        measure, scale = _ring_cross, 0.5
-    elif mode == "spherical":
-        measure, scale = _ring_spherical, 0.5 * EARTH_RADIUS_KM**2
-    else:
-        raise ValueError("mode is 'planar' or 'spherical'")
-    sizes = F.transform(rings, lambda r: F.abs(measure(r)))
-    return _add_up(F.zip_with(sizes, _ring_signs(rings), lambda a, s: a * s)) * scale
+        return F.expr(f"0.5D * {_sql_area(rings, _CROSS)}")
+    if mode == "spherical":
+        return F.expr(f"{0.5 * EARTH_RADIUS_KM**2!r}D * {_sql_area(rings, _SPHERE)}")
+    raise ValueError("mode is 'planar' or 'spherical'")
 
 
-def polygon_centroid(rings: ColumnLike) -> Column:
+def polygon_centroid(rings: str) -> Column:
     """Area-weighted centroid as struct<x, y>, NULL for an empty polygon."""
-    rings = col(rings)
-
-    def moment(axis: str) -> Column:
-        def of_ring(ring: Column) -> Column:
-            turn = _ring_cross(ring)
-            total = _add_up(
-                F.transform(
-                    ring_edges(ring),
-                    lambda e: (e["a"][axis] + e["b"][axis])
-                    * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]),
-                )
-            )
-            return F.when(turn < 0, -total).otherwise(total)
-
-        return _add_up(
-            F.zip_with(F.transform(rings, of_ring), _ring_signs(rings), lambda a, s: a * s)
-        )
-
-    six_areas = polygon_area(rings) * 6
-    return F.when(
-        six_areas != 0,
-        F.struct(
-            F.try_divide(moment("x"), six_areas).alias("x"),
-            F.try_divide(moment("y"), six_areas).alias("y"),
-        ),
-    )
+
+    def moment(axis: str) -> str:
+        turn = _sql_over_edges("r", _CROSS)
+        total = _sql_over_edges("r", f"(e.a.{axis} + e.b.{axis}) * {_CROSS}")
+        return _sql_signed(rings, f"IF({turn} < 0, -{total}, {total})")
+
+    six_areas = f"(3D * {_sql_area(rings, _CROSS)})"
+    x, y = (f"try_divide({moment(axis)}, {six_areas})" for axis in "xy")
+    return F.expr(f"IF({six_areas} <> 0, named_struct('x', {x}, 'y', {y}), NULL)")
 
 
-def bounding_box(rings: ColumnLike) -> Column:
+def bounding_box(rings: str) -> Column:
     """struct<x1, y1, x2, y2> around a polygon."""
-    points = F.flatten(col(rings))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(
-        F.array_min(xs).alias("x1"),
-        F.array_min(ys).alias("y1"),
-        F.array_max(xs).alias("x2"),
-        F.array_max(ys).alias("y2"),
+    xs = f"transform(flatten({rings}), p -> p.x)"
+    ys = f"transform(flatten({rings}), p -> p.y)"
+    return F.expr(
+        f"named_struct('x1', array_min({xs}), 'y1', array_min({ys}), "
+        f"'x2', array_max({xs}), 'y2', array_max({ys}))"
     )
 
 
-def boxes_overlap(a: Column, b: Column) -> Column:
+def sql_boxes_overlap(a: str, b: str) -> str:
     """Do two boxes share a point? Touching counts."""
     return (
-        (a["x1"] <= b["x2"]) & (b["x1"] <= a["x2"]) & (a["y1"] <= b["y2"]) & (b["y1"] <= a["y2"])
-    )
-
-
-def _turn(p: Column, q: Column, r: Column) -> Column:
-    """Sign of the turn p -> q -> r."""
-    return F.signum(
-        (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+        f"({a}.x1 <= {b}.x2 AND {b}.x1 <= {a}.x2 AND {a}.y1 <= {b}.y2 AND {b}.y1 <= {a}.y2)"
     )
 
 
-def _edge_box(e: Column) -> Column:
-    return F.struct(
-        F.least(e["a"]["x"], e["b"]["x"]).alias("x1"),
-        F.least(e["a"]["y"], e["b"]["y"]).alias("y1"),
-        F.greatest(e["a"]["x"], e["b"]["x"]).alias("x2"),
-        F.greatest(e["a"]["y"], e["b"]["y"]).alias("y2"),
-    )
+def boxes_overlap(a: str, b: str) -> Column:
+    return F.expr(sql_boxes_overlap(a, b))
 
 
-def edges_meet(e: Column, f: Column) -> Column:
-    """Do two edges share a point? Touching counts: the end points of each edge are not strictly
-    on one side of the other, and the boxes of the edges overlap."""
+def _sql_edge_reaches(e: str, box: str) -> str:
+    """Does the box of an edge overlap a box?"""
     return (
-        boxes_overlap(_edge_box(e), _edge_box(f))
-        & (_turn(e["a"], e["b"], f["a"]) * _turn(e["a"], e["b"], f["b"]) <= 0)
-        & (_turn(f["a"], f["b"], e["a"]) * _turn(f["a"], f["b"], e["b"]) <= 0)
+        f"(least({e}.a.x, {e}.b.x) <= {box}.x2 AND greatest({e}.a.x, {e}.b.x) >= {box}.x1 AND "
+        f"least({e}.a.y, {e}.b.y) <= {box}.y2 AND greatest({e}.a.y, {e}.b.y) >= {box}.y1)"
     )
 
 
-def _any_start_inside(rings: Column, edge_list: Column) -> Column:
-    def inside(ring: Column) -> Column:
-        start = F.get(ring, F.lit(0))
-        return point_in_edges(edge_list, start["x"], start["y"])
+def _sql_turn(p: str, q: str, r: str) -> str:
+    return f"signum(({q}.x - {p}.x) * ({r}.y - {p}.y) - ({q}.y - {p}.y) * ({r}.x - {p}.x))"
+
 
-    return F.exists(rings, inside)
+def _sql_edges_meet(e: str, f: str) -> str:
+    """Do two edges share a point? Touching counts: the boxes of the edges overlap and the end
+    points of neither edge lie strictly on one side of the other."""
+    boxes = " AND ".join(
+        f"greatest({a}.a.{k}, {a}.b.{k}) >= least({b}.a.{k}, {b}.b.{k})"
+        for a, b in ((e, f), (f, e))
+        for k in "xy"
+    )
+    across = f"{_sql_turn(f'{e}.a', f'{e}.b', f'{f}.a')} * {_sql_turn(f'{e}.a', f'{e}.b', f'{f}.b')} <= 0"
+    back = f"{_sql_turn(f'{f}.a', f'{f}.b', f'{e}.a')} * {_sql_turn(f'{f}.a', f'{f}.b', f'{e}.b')} <= 0"
+    return f"({boxes} AND {across} AND {back})"
 
 
-def polygons_intersect(
-    rings_a: Column, edges_a: Column, box_a: Column, rings_b: Column, edges_b: Column, box_b: Column
-) -> Column:
+def polygons_intersect(rings_a: str, box_a: str, rings_b: str, box_b: str) -> Column:
     """Do two polygons share a point? Touching counts; a polygon inside a hole does not.
 
-    Only edges reaching into the other polygon's box are compared with each other.
+    Only edges reaching into the other polygon's box are compared with each other; without
+    such a meeting, the first vertex of some ring must lie inside the other polygon.
     """
-    near_a = F.filter(edges_a, lambda e: boxes_overlap(_edge_box(e), box_b))
-    near_b = F.filter(edges_b, lambda e: boxes_overlap(_edge_box(e), box_a))
-    meet = F.exists(near_a, lambda e: F.exists(near_b, lambda f: edges_meet(e, f)))
-    return (
-        meet | _any_start_inside(rings_a, edges_b) | _any_start_inside(rings_b, edges_a)
+    near_a = f"filter({sql_edges(rings_a)}, e -> {_sql_edge_reaches('e', box_b)})"
+    near_b = f"filter({sql_edges(rings_b)}, f -> {_sql_edge_reaches('f', box_a)})"
+    meet = f"exists({near_a}, e -> exists({near_b}, f -> {_sql_edges_meet('e', 'f')}))"
+
+    def start_inside(rings: str, other: str) -> str:
+        test = sql_point_inside(sql_edges(other), "get(s, 0).x", "get(s, 0).y")
+        return f"exists({rings}, s -> {test})"
+
+    return F.expr(
+        f"{meet} OR {start_inside(rings_a, rings_b)} OR {start_inside(rings_b, rings_a)}"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import filled, net_change, ratio
 from .pairs import UNIT
-from .scale import join_on, skew_join, with_totals
+from .scale import join_on, lookup_join, with_totals
 
 # Class labels and their fixed order.
 LOST_UNIT, NEW_UNIT = "Lost DA", "New DA"
@@ -92,12 +92,11 @@ def lump_rare(
 ) -> DataFrame:
     """Replace categories with fewer than min_count rows in their scope by ``other``; NULL stays NULL.
 
-    Row counts come from an aggregation joined back, so a category holding most of a scope
-    does not end in one task.
+    Row counts come from an aggregation looked up again, so a category holding most of a
+    scope does not end in one task.
     """
     keys = [*scope, category]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    counted = skew_join(df, counts.withColumnRenamed("n", "_n"), keys, "left", counts=counts)
+    counted = lookup_join(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     lumped = (
         F.when(F.col(category).isNull(), F.lit(None))
         .when(F.col("_n") >= min_count, F.col(category))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_suffix
 from ..functions.values import strict_avg
-from .scale import join_on, left_join_many, skew_join
+from .scale import durable_table, join_on, left_join_many, lookup_join
 
 
 def clean_bridge(bridge: DataFrame, unit: str = "unit") -> DataFrame:
@@ -27,7 +27,7 @@ def bridge_join(dictionary: DataFrame, bridge: DataFrame, cities: DataFrame) ->
     """
     renamed = bridge.withColumnRenamed("csd", "csd_bridge")
     linked = left_join_many(dictionary, renamed, ["unit"])
-    return skew_join(linked, cities, ["postcode"], "left")
+    return lookup_join(linked, cities, ["postcode"])
 
 
 def frequent_values(df: DataFrame, column: str, more_than: int) -> DataFrame:
@@ -55,12 +55,13 @@ def build_dictionary(
     """
     known = dictionary.withColumns({"csd": strip_suffix("csd"), "ccsd": strip_suffix("ccsd")})
     known = join_on(known, units.select("unit").distinct(), ["unit"], "left_semi", null_safe=False)
-    linked = bridge_join(known, clean_bridge(bridge), cities).drop("csd_bridge")
+    # read twice below (name counts and rows), so it is written once
+    linked = durable_table(bridge_join(known, clean_bridge(bridge), cities).drop("csd_bridge"))
     named = linked.withColumn("_name", F.coalesce("city", "csd")).drop("city")
     in_core = F.col("csd") == core
     frequent = frequent_values(named.where(in_core), "_name", min_count)
-    marked = skew_join(
-        named, frequent.select("_name", F.lit(True).alias("_frequent")), ["_name"], "left"
+    marked = lookup_join(
+        named, frequent.select("_name", F.lit(True).alias("_frequent")), ["_name"]
     )
     alt = F.when(in_core, F.when(F.col("_frequent"), F.col("_name")).otherwise(core)).otherwise(
         F.col("csd")

@@ -149,18 +149,27 @@ def cohort_index(
 
 def decompose(pv: DataFrame) -> DataFrame:
     """Change per pair split into existing, new and lost units: group, y1, y2, tt, dd, change."""
-    label = (
-        F.when(F.col("m1").isNotNull() & F.col("m2").isNotNull(), DENSITY)
-        .when(F.col("m1").isNotNull(), LOST)
-        .otherwise(NEW)
+    has1, has2 = F.col("m1").isNotNull(), F.col("m2").isNotNull()
+    d = net_change("m1", "m2")
+    kinds = {DENSITY: has1 & has2, LOST: has1 & ~has2, NEW: ~has1}
+    # one aggregation per pair; its parts become rows without another shuffle
+    wide = pv.groupBy(*PAIR_KEYS).agg(
+        F.sum(d).alias("change"),
+        F.array(
+            *[
+                F.struct(
+                    F.lit(label).alias("tt"),
+                    F.sum(F.when(kind, d)).alias("dd"),
+                )
+                for label, kind in kinds.items()
+            ]
+        ).alias("_parts"),
     )
-    parts = (
-        pv.withColumn("tt", label)
-        .groupBy(*PAIR_KEYS, "tt")
-        .agg(F.sum(net_change("m1", "m2")).alias("dd"))
+    return (
+        wide.select(*PAIR_KEYS, "change", F.inline("_parts"))
+        .where(F.col("dd").isNotNull())
+        .select(*PAIR_KEYS, "tt", "dd", "change")
     )
-    # three rows per pair at most
-    return parts.withColumn("change", F.sum("dd").over(Window.partitionBy(*PAIR_KEYS)))
 
 
 def counterfactual(decomposed: DataFrame, totals: DataFrame) -> DataFrame:

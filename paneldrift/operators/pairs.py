@@ -58,7 +58,11 @@ def time_pairs(
     if years is not None:
         keys = keys.where(F.col("yr").isin(list(years)))
     calendar, rows = small_side(keys.distinct())
-    all_years = calendar.agg(F.sort_array(F.collect_set("yr")).alias("ys")).scalar()
+    if rows is not None:
+        known = sorted({r["yr"] for r in rows})
+        all_years = F.array(*[F.lit(y) for y in known]).cast("array<int>")
+    else:
+        all_years = calendar.agg(F.sort_array(F.collect_set("yr")).alias("ys")).scalar()
     own = calendar.groupBy("group").agg(F.collect_set("yr").alias("own")).withColumn("ys", all_years)
 
     def belongs(a: Column, b: Column) -> Column:
@@ -85,16 +89,18 @@ def time_pairs(
     )
     bound = None
     if rows is not None:
-        periods = len({r["yr"] for r in rows})
-        bound = len(rows) * periods if mode == "all" else len({r["group"] for r in rows}) * periods
+        groups = len({r["group"] for r in rows})
+        bound = (len(rows) if mode == "all" else groups) * len(known)
     return TimePairs(pairs, bound, mode)
 
 
 def _roles(pairs: DataFrame) -> DataFrame:
     """One row per period of each pair: the period's rows are joined to it by equality."""
-    first = pairs.select("group", F.col("y1").alias("yr"), "y1", "y2", F.lit(True).alias("first"))
-    second = pairs.select("group", F.col("y2").alias("yr"), "y1", "y2", F.lit(False).alias("first"))
-    return first.unionByName(second)
+    role = F.array(
+        F.struct(F.col("y1").alias("yr"), F.lit(True).alias("first")),
+        F.struct(F.col("y2").alias("yr"), F.lit(False).alias("first")),
+    )
+    return pairs.select("*", F.inline(role))
 
 
 def _with_roles(rows: DataFrame, pairs: TimePairs) -> DataFrame:
@@ -189,12 +195,32 @@ def presence(
             .otherwise(F.col("missing"))
             .alias("m2_missing"),
         )
-        .groupBy(*PAIR_KEYS, "m1_missing", "m2_missing")
-        .agg(F.sum("units").alias("n"))
     )
-    # at most four cells per pair are left here
-    total = F.sum("n").over(Window.partitionBy(*PAIR_KEYS))
-    return cells.withColumn("tot", total).withColumn("pct", ratio("n", "tot"))
+    kinds = [(a, b) for a in (False, True) for b in (False, True)]
+
+    def units_in(a: bool, b: bool) -> Column:
+        here = (F.col("m1_missing") == a) & (F.col("m2_missing") == b)
+        return F.sum(F.when(here, F.col("units")).otherwise(F.lit(0)))
+
+    # one aggregation per pair; its four cells become rows without another shuffle
+    wide = cells.groupBy(*PAIR_KEYS).agg(
+        F.sum("units").alias("tot"),
+        F.array(
+            *[
+                F.struct(
+                    F.lit(a).alias("m1_missing"),
+                    F.lit(b).alias("m2_missing"),
+                    units_in(a, b).alias("n"),
+                )
+                for a, b in kinds
+            ]
+        ).alias("_cells"),
+    )
+    return (
+        wide.select(*PAIR_KEYS, "tot", F.inline("_cells"))
+        .where(F.col("n") > 0)
+        .withColumn("pct", ratio("n", "tot"))
+    )
 
 
 def _cell(m1_missing: bool, m2_missing: bool) -> Column:

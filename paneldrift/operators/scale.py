@@ -120,6 +120,17 @@ def skew_join(
     return joined.drop("_salt")
 
 
+def lookup_join(
+    df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = True
+) -> DataFrame:
+    """Join a lookup table that is usually small: broadcast when its checked row count allows it,
+    else an equi-join with salted hot keys."""
+    checked, rows = small_side(lookup)
+    if rows is not None:
+        return join_on(df, checked, keys, how, null_safe)
+    return skew_join(df, lookup, keys, how, null_safe)
+
+
 def left_join_many(dim: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
     """dim left join many, for a ``many`` side that may hold a hot key.
 
@@ -200,7 +211,7 @@ def carry_forward(df: DataFrame, column: str, order: Sequence[Column]) -> DataFr
         "_segment", F.col(column).alias("_head")
     )
     return (
-        skew_join(segmented, heads, ["_segment"], "left")
+        lookup_join(segmented, heads, ["_segment"])
         .withColumn(column, F.coalesce(column, "_head"))
         .drop("_segment", "_head")
     )

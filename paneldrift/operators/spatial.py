@@ -19,16 +19,14 @@ def _prepared(layer: DataFrame, id_col: str, prefix: str) -> DataFrame:
     )
 
 
-def _tile(c: Column, tile: float) -> Column:
-    return F.floor(c / F.lit(float(tile)))
-
-
 def _tiled(layer: DataFrame, prefix: str, tile: float) -> DataFrame:
     """One row per tile a polygon's box reaches into."""
-    box = F.col(f"{prefix}_box")
-    xs = F.sequence(_tile(box["x1"], tile), _tile(box["x2"], tile))
-    ys = F.sequence(_tile(box["y1"], tile), _tile(box["y2"], tile))
-    return layer.withColumn("tx", F.explode(xs)).withColumn("ty", F.explode(ys))
+
+    def tiles(axis: str) -> Column:
+        first, last = (f"floor({prefix}_box.{axis}{i} / {float(tile)!r}D)" for i in (1, 2))
+        return F.expr(f"explode(sequence({first}, {last}))")
+
+    return layer.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
 
 
 def suggest_tile(layer: DataFrame) -> float:
@@ -62,16 +60,14 @@ def spatial_join(
         .groupBy("tx", "ty")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    box_a, box_b = F.col("a_box"), F.col("b_box")
-    owner = (F.col("tx") == _tile(F.greatest(box_a["x1"], box_b["x1"]), tile)) & (
-        F.col("ty") == _tile(F.greatest(box_a["y1"], box_b["y1"]), tile)
+    owner = F.expr(
+        f"tx = floor(greatest(a_box.x1, b_box.x1) / {float(tile)!r}D) AND "
+        f"ty = floor(greatest(a_box.y1, b_box.y1) / {float(tile)!r}D)"
     )
     candidates = skew_join(left, right, ["tx", "ty"], null_safe=False, counts=counts).where(
-        boxes_overlap(box_a, box_b) & owner
-    )
-    exact = polygons_intersect(
-        F.col("a_rings"), edges("a_rings"), box_a, F.col("b_rings"), edges("b_rings"), box_b
+        boxes_overlap("a_box", "b_box") & owner
     )
+    exact = polygons_intersect("a_rings", "a_box", "b_rings", "b_box")
     return candidates.where(exact).select("a_id", "b_id")
 
 

@@ -175,8 +175,11 @@ def ols_table(model: LinearRegressionModel, xs: Sequence[str], df: DataFrame, le
 
 def growth_regression(df: DataFrame, y: str) -> LinearRegressionModel:
     """The area model: y on area, income, low-rise share and high-rise share, all on
-    standardised columns; each share is the sum of two standardised columns."""
-    z = zscore(df, ["area", "income", "singd", "semd", "row", "apt"]).select(
+    standardised columns; each share is the sum of two standardised columns.
+
+    The model table is read for its moments and for the fit, so it is written once."""
+    table = durable_table(df)
+    z = zscore(table, ["area", "income", "singd", "semd", "row", "apt"]).select(
         y,
         "area",
         "income",

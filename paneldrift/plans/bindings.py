@@ -13,6 +13,22 @@ from ..operators.pairs import as_panel
 from ..operators.scale import join_on
 
 
+# Column types of the tables: a declared schema spares the read a look into the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 class Tables:
     """Lazy access to the parquet tables of one folder."""
 
@@ -20,9 +36,11 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
+        if name not in SCHEMAS:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, df)
+        return df
 
 
 def order_panel(t: Tables, value: Column | None = None, where: Column | None = None) -> DataFrame:
@@ -69,34 +87,29 @@ def part_panel(t: Tables) -> DataFrame:
 
 def part_layer(t: Tables) -> DataFrame:
     """One rectangle per part on a strip 700 wide that grows with the number of parts."""
-    k = F.col("p_partkey")
-    return t.part.select(
-        k.alias("id"),
-        rectangle(
-            (k % 100) * 7, F.floor(k / 100) * 5, F.col("p_size") % 6 + 1, F.col("p_size") % 4 + 1
-        ).alias("rings"),
+    box = rectangle(
+        "p_partkey % 100 * 7", "floor(p_partkey / 100) * 5", "p_size % 6 + 1", "p_size % 4 + 1"
     )
+    return t.part.select(F.col("p_partkey").alias("id"), box.alias("rings"))
 
 
 def supplier_layer(t: Tables) -> DataFrame:
     """One area per supplier on the same strip, ten side by side; some touch, some overlap."""
-    k = F.col("s_suppkey")
+    box = rectangle(
+        "s_suppkey % 10 * 70", "floor(s_suppkey / 10) * 10", "60 + s_suppkey % 3 * 10", "8 + s_suppkey % 4"
+    )
     return t.supplier.select(
-        k.alias("id"),
+        F.col("s_suppkey").alias("id"),
         F.col("s_name").alias("name"),
-        k.alias("ord"),
-        rectangle(
-            (k % 10) * 70, F.floor(k / 10) * 10, F.lit(60) + k % 3 * 10, F.lit(8) + k % 4
-        ).alias("rings"),
+        F.col("s_suppkey").alias("ord"),
+        box.alias("rings"),
     )
 
 
 def supplier_grid(t: Tables) -> DataFrame:
     """A gapless grid of unit squares, one per supplier, grouped by nation."""
-    k = F.col("s_suppkey")
-    return t.supplier.select(
-        F.col("s_nationkey").alias("nation"), rectangle(k % 10, F.floor(k / 10), F.lit(1), F.lit(1)).alias("rings")
-    )
+    square = rectangle("s_suppkey % 10", "floor(s_suppkey / 10)", "1", "1")
+    return t.supplier.select(F.col("s_nationkey").alias("nation"), square.alias("rings"))
 
 
 def order_bridge(t: Tables) -> DataFrame:

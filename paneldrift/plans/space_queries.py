@@ -6,7 +6,7 @@ and the areas' change is modelled on size, price and line-type shares.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point, polygon_area as area_of, polygon_centroid as centroid_of
@@ -17,7 +17,7 @@ from ..operators import spatial as X
 from ..operators import stats as M
 from ..operators.pairs import pair_values
 from ..operators.reshape import top_k_signed
-from ..operators.scale import join_on
+from ..operators.scale import durable_table, join_on
 from . import sql as S
 from .bindings import (
     Tables,
@@ -51,14 +51,11 @@ def _holed(t: Tables) -> DataFrame:
          FROM parts"""
 )
 def polygon_area(t: Tables) -> DataFrame:
-    def lonlat(p: Column) -> Column:
-        return F.struct((p["x"] / 100).alias("x"), (p["y"] / 100).alias("y"))
-
-    scaled = F.transform("rings", lambda r: F.transform(r, lonlat))
+    lonlat = "transform(rings, r -> transform(r, p -> named_struct('x', p.x / 100, 'y', p.y / 100)))"
     plain = part_layer(t).select(
         "id",
         area_of("rings").alias("area"),
-        F.round(area_of(scaled, "spherical"), 4).alias("km2"),
+        F.round(area_of(lonlat, "spherical"), 4).alias("km2"),
     )
     frames = _holed(t).select("id", area_of("rings").alias("frame_area"))
     return join_on(plain, frames, ["id"], null_safe=False)
@@ -115,13 +112,19 @@ def dissolve_edges(t: Tables) -> DataFrame:
     return X.dissolve(supplier_grid(t), ["nation"])
 
 
-def _changes(t: Tables, areas: DataFrame) -> DataFrame:
-    return A.area_changes(C.change_class(pair_values(part_panel(t))), areas)
+def _area_table(t: Tables) -> DataFrame:
+    """The unit dictionary, written once: the roll-ups read it several times."""
+    return durable_table(_unit_areas(t))
+
+
+def _changes(t: Tables, areas: DataFrame, pv: DataFrame | None = None) -> DataFrame:
+    pv = pair_values(part_panel(t)) if pv is None else pv
+    return A.area_changes(C.change_class(pv), areas)
 
 
-def _rolled(t: Tables, areas: DataFrame) -> DataFrame:
+def _rolled(t: Tables, areas: DataFrame, pv: DataFrame | None = None) -> DataFrame:
     return A.rollup_area(
-        _changes(t, areas),
+        _changes(t, areas, pv),
         areas,
         breaks=S.ROLLUP_BREAKS,
         rename={"Brand#1": "Old Brand"},
@@ -130,7 +133,7 @@ def _rolled(t: Tables, areas: DataFrame) -> DataFrame:
 
 @query(S.with_(*S.SPACE_CHAIN) + "SELECT area, d_m, parent, gg FROM rolled")
 def rollup_area(t: Tables) -> DataFrame:
-    return _rolled(t, _unit_areas(t))
+    return _rolled(t, _area_table(t))
 
 
 @query(
@@ -141,7 +144,7 @@ def rollup_area(t: Tables) -> DataFrame:
          FROM rolled GROUP BY 1"""
 )
 def enrichment_share(t: Tables) -> DataFrame:
-    return rounded(A.enrichment(_rolled(t, _unit_areas(t)), "parent"), "pct")
+    return rounded(A.enrichment(_rolled(t, _area_table(t)), "parent"), "pct")
 
 
 @query(
@@ -154,7 +157,7 @@ def enrichment_share(t: Tables) -> DataFrame:
 )
 def outlier_filter(t: Tables) -> DataFrame:
     """Areas above a fixed change with the quartiles of their parent."""
-    rolled = _rolled(t, _unit_areas(t))
+    rolled = _rolled(t, _area_table(t))
     return rounded(M.outliers(rolled, ["parent"], "d_m", above=-100), "q1", "q3", "iqr")
 
 
@@ -170,7 +173,7 @@ def outlier_filter(t: Tables) -> DataFrame:
 def topk_gain_loss(t: Tables) -> DataFrame:
     from ..functions.values import strict_sum
 
-    totals = _changes(t, _unit_areas(t)).groupBy("tt", "area").agg(strict_sum("d_m").alias("d_m"))
+    totals = _changes(t, _area_table(t)).groupBy("tt", "area").agg(strict_sum("d_m").alias("d_m"))
     return top_k_signed(totals, "d_m", 10, ["tt"], "area")
 
 
@@ -180,7 +183,7 @@ def topk_gain_loss(t: Tables) -> DataFrame:
          FROM area_levels JOIN suppliers ON area = name"""
 )
 def density_level(t: Tables) -> DataFrame:
-    levels = A.area_levels(pair_values(part_panel(t)), _unit_areas(t))
+    levels = A.area_levels(pair_values(part_panel(t)), _area_table(t))
     sizes = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))
     joined = join_on(levels.drop("m1"), sizes, ["area"], null_safe=False)
     return rounded(A.density(joined, "m2", "size"), "density")
@@ -198,7 +201,7 @@ def _area_profile(t: Tables, areas: DataFrame) -> DataFrame:
          round(income, 4) AS income, round(apt, 6) AS apt FROM area_profile"""
 )
 def weighted_mean(t: Tables) -> DataFrame:
-    means = _area_profile(t, _unit_areas(t))
+    means = _area_profile(t, _area_table(t))
     return rounded(means, "singd", "semd", "row", "apt").withColumn("income", F.round("income", 4))
 
 
@@ -218,11 +221,12 @@ def unit_profile_change(t: Tables) -> DataFrame:
 
 
 def _model_table(t: Tables) -> DataFrame:
-    areas = _unit_areas(t)
+    areas = _area_table(t)
     layer = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))
-    levels = A.area_levels(pair_values(part_panel(t)), areas)
+    pv = durable_table(pair_values(part_panel(t)))
+    levels = A.area_levels(pv, areas)
     last = levels.where(F.col("y2") == 2001).select("area", F.col("m2").alias("level"))
-    return M.model_table(_rolled(t, areas), layer, _area_profile(t, areas), last, "area")
+    return M.model_table(_rolled(t, areas, pv), layer, _area_profile(t, areas), last, "area")
 
 
 @query(
