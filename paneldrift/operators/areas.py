@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.bins import CHANGE_BREAKS, CHANGE_LABELS, cut
 from ..functions.text import recode
 from ..functions.values import filled, net_change, ratio, strict_sum
-from .classes import net_by
+from .classes import (
+    LOST_DENSITY,
+    LOST_UNIT,
+    NET_DENSITY,
+    NET_UNITS,
+    NEW_DENSITY,
+    NEW_UNIT,
+    class_sum,
+)
 from .pairs import UNIT
 from .scale import join_on
 
@@ -33,11 +41,22 @@ def area_changes(
     classified: DataFrame, dictionary: DataFrame, area: str = "area"
 ) -> DataFrame:
     """Net change by (period, class, area); dictionary units without changes stay as NULL rows."""
-    per_unit = net_by(classified, ["unit", "y1", "y2"])
+    net = {
+        NET_DENSITY: class_sum(NEW_DENSITY, LOST_DENSITY),
+        NET_UNITS: class_sum(NEW_UNIT, LOST_UNIT),
+    }
+    rows = F.array(
+        *[F.struct(F.lit(label).alias("tt"), total.alias("d_m")) for label, total in net.items()]
+    )
+    # dictionary units without changes have no period: one NULL row per area
+    none = F.array(F.struct(F.lit(None).alias("tt"), F.lit(None).cast("bigint").alias("d_m")))
+    changes = classified.select("unit", "y1", "y2", "tt", "d_m")
     return (
-        join_on(per_unit, dictionary, ["unit"], "right", null_safe=False)
-        .groupBy("y1", "y2", "tt", area)
-        .agg(strict_sum("d_m").alias("d_m"))
+        join_on(changes, dictionary, ["unit"], "right", null_safe=False)
+        .groupBy("y1", "y2", area)
+        .agg(rows.alias("_net"))
+        .withColumn("_net", F.when(F.col("y1").isNull(), none).otherwise(F.col("_net")))
+        .select("y1", "y2", area, F.inline("_net"))
     )
 
 
@@ -71,14 +90,10 @@ def rollup_area(
 ) -> DataFrame:
     """Area totals over periods and classes with the area's first parent name and its change bin.
 
-    Both roll-up levels propagate missing values: (class, area) first, then area.
+    A missing value makes its area's total missing, which is why rolling up by (class, area)
+    first would give the same totals.
     """
-    totals = (
-        changes.groupBy("tt", area)
-        .agg(strict_sum("d_m").alias("d_m"))
-        .groupBy(area)
-        .agg(strict_sum("d_m").alias("d_m"))
-    )
+    totals = changes.groupBy(area).agg(strict_sum("d_m").alias("d_m"))
     parents = dictionary.groupBy(area).agg(F.min(parent).alias(parent))
     joined = join_on(totals, parents, [area], "left")
     if rename:

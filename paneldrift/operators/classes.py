@@ -122,14 +122,16 @@ def change_class_area(
     return lump_rare(joined, area, lump_min, scope, other, f"{area}_lump")
 
 
+def class_sum(*labels: str) -> Column:
+    """Total change of the rows in some classes, zero when there are none."""
+    return F.sum(F.when(F.col("tt").isin(*labels), F.col("d_m")).otherwise(F.lit(0)))
+
+
 def net_by(df: DataFrame, keys: Sequence[str], with_total: bool = False) -> DataFrame:
     """Net density and net unit change per key, zero where a class has no rows: keys, tt, d_m."""
-    def part(*labels: str) -> Column:
-        return F.sum(F.when(F.col("tt").isin(*labels), F.col("d_m")).otherwise(F.lit(0)))
-
     measures = {
-        NET_DENSITY: part(NEW_DENSITY, LOST_DENSITY),
-        NET_UNITS: part(NEW_UNIT, LOST_UNIT),
+        NET_DENSITY: class_sum(NEW_DENSITY, LOST_DENSITY),
+        NET_UNITS: class_sum(NEW_UNIT, LOST_UNIT),
     }
     if with_total:
         measures[NET_TOTAL] = F.sum("d_m")

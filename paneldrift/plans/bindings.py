@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import rectangle
 from ..operators.pairs import as_panel
-from ..operators.scale import join_on
+from ..operators.scale import durable_table, join_on
 
 
 # Column types of the tables: a declared schema spares the read a look into the files.
@@ -56,6 +56,12 @@ def order_panel(t: Tables, value: Column | None = None, where: Column | None = N
     return as_panel(counts.join(homes, "unit"), "unit", "group", "yr", "value")
 
 
+def stored(panel: DataFrame) -> DataFrame:
+    """The panel as a written table, as an ingest step leaves it: its calendar and its pairs
+    are then read from the panel and not counted from the raw rows twice."""
+    return durable_table(panel)
+
+
 def order_panel_null(t: Tables) -> DataFrame:
     """As order_panel, with the value 5 missing."""
     return order_panel(t, F.nullif(F.count(F.lit(1)), F.lit(5)))

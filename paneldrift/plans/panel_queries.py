@@ -21,6 +21,7 @@ from .bindings import (
     order_panel,
     order_panel_null,
     order_panel_zero,
+    stored,
 )
 from .registry import query, rounded
 
@@ -87,7 +88,7 @@ def anti_lost_units(t: Tables) -> DataFrame:
          round(n::DOUBLE / sum(n) OVER (PARTITION BY "group", y1, y2), 6) AS pct FROM cells"""
 )
 def pairwise_presence(t: Tables) -> DataFrame:
-    return rounded(P.presence(order_panel_null(t)), "pct")
+    return rounded(P.presence(stored(order_panel_null(t))), "pct")
 
 
 @query(
@@ -98,7 +99,7 @@ def pairwise_presence(t: Tables) -> DataFrame:
          FROM pv GROUP BY 1, 2, 3"""
 )
 def jaccard_pairs(t: Tables) -> DataFrame:
-    return rounded(P.jaccard(P.presence(order_panel_null(t))), "jaccard")
+    return rounded(P.jaccard(P.presence(stored(order_panel_null(t)))), "jaccard")
 
 
 @query(
@@ -110,7 +111,7 @@ def jaccard_pairs(t: Tables) -> DataFrame:
          SELECT *, CASE WHEN lost > 0 THEN round(gained::DOUBLE / lost, 6) END AS ratio FROM c"""
 )
 def churn_gain_lost(t: Tables) -> DataFrame:
-    return rounded(P.churn(P.presence(order_panel_null(t), "consecutive")), "ratio")
+    return rounded(P.churn(P.presence(stored(order_panel_null(t)), "consecutive")), "ratio")
 
 
 PV_COLUMNS = 'SELECT "group", unit, y1, y2, m1, m2, round(pct, 6) AS pct FROM pv'
@@ -118,7 +119,7 @@ PV_COLUMNS = 'SELECT "group", unit, y1, y2, m1, m2, round(pct, 6) AS pct FROM pv
 
 @query(S.with_(S.PN, *S.ALL) + PV_COLUMNS)
 def pairwise_change(t: Tables) -> DataFrame:
-    return rounded(P.pair_values(order_panel_null(t), "all"), "pct")
+    return rounded(P.pair_values(stored(order_panel_null(t)), "all"), "pct")
 
 
 @query(
@@ -126,7 +127,7 @@ def pairwise_change(t: Tables) -> DataFrame:
     + 'SELECT "group", unit, y1, y2, m1, m2, CASE WHEN isinf(pct) THEN pct ELSE round(pct, 6) END AS pct FROM pv'
 )
 def consecutive_pairs(t: Tables) -> DataFrame:
-    return rounded(P.pair_values(order_panel_zero(t)), "pct")
+    return rounded(P.pair_values(stored(order_panel_zero(t))), "pct")
 
 
 @query(
@@ -136,7 +137,7 @@ def consecutive_pairs(t: Tables) -> DataFrame:
          FROM pv WHERE pct IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def growth_like_for_like(t: Tables) -> DataFrame:
-    return rounded(G.growth_like_for_like(P.pair_values(order_panel_zero(t))), "growth")
+    return rounded(G.growth_like_for_like(P.pair_values(stored(order_panel_zero(t)))), "growth")
 
 
 LAGGED = """totals AS (SELECT "group", yr, sum(value)::BIGINT AS pop FROM P GROUP BY 1, 2),
@@ -163,7 +164,7 @@ def growth_lag(t: Tables) -> DataFrame:
          LEFT JOIN lfl b ON a."group" = b."group" AND a.y1 = b.y1 AND a.y2 = b.y2"""
 )
 def growth_compare(t: Tables) -> DataFrame:
-    p = order_panel(t)
+    p = stored(order_panel(t))
     actual = G.growth_aggregate(G.period_totals(p))
     return rounded(
         G.growth_compare(actual, G.growth_like_for_like(P.pair_values(p))), "growth"
@@ -180,7 +181,7 @@ def growth_compare(t: Tables) -> DataFrame:
 )
 def growth_pairs_total(t: Tables) -> DataFrame:
     """Growth of all pairs over the units known in the first period."""
-    pv = P.pair_values(order_panel(t), "all").where(F.col("m1").isNotNull())
+    pv = P.pair_values(stored(order_panel(t)), "all").where(F.col("m1").isNotNull())
     return rounded(G.growth_pairs_total(pv), "growth")
 
 
@@ -256,12 +257,12 @@ def _cohort_sql(base: str) -> str:
 
 @query(_cohort_sql("first"))
 def cohort_index(t: Tables) -> DataFrame:
-    return rounded(G.cohort_index(order_panel_null(t)), "idx")
+    return rounded(G.cohort_index(stored(order_panel_null(t))), "idx")
 
 
 @query(_cohort_sql("cohort"))
 def cohort_index_own_base(t: Tables) -> DataFrame:
-    return rounded(G.cohort_index(order_panel_null(t), base="cohort"), "idx")
+    return rounded(G.cohort_index(stored(order_panel_null(t)), base="cohort"), "idx")
 
 
 DECOMPOSED = """parts AS (
@@ -275,7 +276,7 @@ DECOMPOSED = """parts AS (
     + 'SELECT *, sum(dd) OVER (PARTITION BY "group", y1, y2)::BIGINT AS change FROM parts'
 )
 def growth_decompose(t: Tables) -> DataFrame:
-    return G.decompose(P.pair_values(order_panel_null(t)))
+    return G.decompose(P.pair_values(stored(order_panel_null(t))))
 
 
 @query(
@@ -293,7 +294,7 @@ def growth_decompose(t: Tables) -> DataFrame:
          FROM steps JOIN base USING ("group")"""
 )
 def counterfactual_curve(t: Tables) -> DataFrame:
-    p = order_panel(t)
+    p = stored(order_panel(t))
     return G.counterfactual(G.decompose(P.pair_values(p)), G.period_totals(p))
 
 
@@ -302,7 +303,7 @@ def counterfactual_curve(t: Tables) -> DataFrame:
     + """SELECT *, sum(dd) OVER (PARTITION BY "group", tt ORDER BY y1)::BIGINT AS cum FROM parts"""
 )
 def cumulative_change(t: Tables) -> DataFrame:
-    parts = G.decompose(P.pair_values(order_panel_null(t))).drop("change")
+    parts = G.decompose(P.pair_values(stored(order_panel_null(t)))).drop("change")
     return G.cumulative(parts, ["group", "tt"], "y1", "dd", "cum")
 
 
@@ -316,7 +317,7 @@ def cumulative_change(t: Tables) -> DataFrame:
 def histogram_change(t: Tables) -> DataFrame:
     from ..operators.stats import histogram
 
-    within = C.within_unit_change(P.pair_values(order_panel(t)))
+    within = C.within_unit_change(P.pair_values(stored(order_panel(t))))
     return histogram(within, ["group", "y2", "tt"], F.ln(F.abs("d") + 1), 15)
 
 
@@ -326,7 +327,7 @@ def histogram_change(t: Tables) -> DataFrame:
          UNION ALL SELECT "group", y2, 'Net', sum(d)::BIGINT FROM within_unit GROUP BY 1, 2"""
 )
 def grouping_sets_net(t: Tables) -> DataFrame:
-    return C.gain_loss(P.pair_values(order_panel(t)))
+    return C.gain_loss(P.pair_values(stored(order_panel(t))))
 
 
 SIGN = "CASE WHEN d < 0 THEN 'Loss' WHEN d = 0 THEN 'No Change' ELSE 'Gain' END"
@@ -337,7 +338,7 @@ SIGN = "CASE WHEN d < 0 THEN 'Loss' WHEN d = 0 THEN 'No Change' ELSE 'Gain' END"
     + f'SELECT "group", y2, {SIGN} AS sign, count(*)::BIGINT AS n FROM within_unit GROUP BY 1, 2, 3'
 )
 def count_by_sign(t: Tables) -> DataFrame:
-    return C.sign_counts(P.pair_values(order_panel(t)))
+    return C.sign_counts(P.pair_values(stored(order_panel(t))))
 
 
 @query(
@@ -351,13 +352,13 @@ def count_by_sign(t: Tables) -> DataFrame:
 )
 def sign_share_per_unit(t: Tables) -> DataFrame:
     where = mean_coordinates(clean_bridge(order_bridge(t)), "unit", ["lat", "lon"])
-    shares = C.sign_share(P.pair_values(order_panel(t)), where)
+    shares = C.sign_share(P.pair_values(stored(order_panel(t))), where)
     return rounded(shares, "pct", "lat", "lon")
 
 
 def _classified(t: Tables) -> DataFrame:
     return C.change_class_area(
-        P.pair_values(order_panel_null(t), by_unit_only=True),
+        P.pair_values(stored(order_panel_null(t)), by_unit_only=True),
         customer_dictionary(t),
         "area",
         LUMP_MIN,
@@ -393,7 +394,7 @@ def category_order(t: Tables) -> DataFrame:
 
 
 def _net_by_area(t: Tables) -> DataFrame:
-    classified = C.change_class(P.pair_values(order_panel_null(t), by_unit_only=True))
+    classified = C.change_class(P.pair_values(stored(order_panel_null(t)), by_unit_only=True))
     areas = customer_dictionary(t).select("unit", "area")
     joined = join_on(classified, areas, ["unit"], "left", null_safe=False)
     return C.net_by(joined, ["group", "area"], with_total=True)
@@ -422,7 +423,7 @@ def share_of_total(t: Tables) -> DataFrame:
     + "SELECT area, sum(d_m)::BIGINT AS tot FROM classes LEFT JOIN dict USING (unit) GROUP BY 1 ORDER BY 2 DESC, 1"
 )
 def ranked_areas(t: Tables) -> DataFrame:
-    return rank_areas(P.pair_values(order_panel_null(t)), customer_dictionary(t))
+    return rank_areas(P.pair_values(stored(order_panel_null(t))), customer_dictionary(t))
 
 
 def _urgent(t: Tables) -> DataFrame:
@@ -435,7 +436,7 @@ def _urgent(t: Tables) -> DataFrame:
     + "SELECT * FROM area_changes"
 )
 def right_join_keep_dict(t: Tables) -> DataFrame:
-    classified = C.change_class(P.pair_values(_urgent(t)))
+    classified = C.change_class(P.pair_values(stored(_urgent(t))))
     return area_changes(classified, customer_dictionary(t))
 
 
@@ -443,7 +444,7 @@ def right_join_keep_dict(t: Tables) -> DataFrame:
     S.with_(S.URGENT, *S.NEXT, S.DICT, S.AREA_LEVELS) + "SELECT * FROM area_levels"
 )
 def area_levels(t: Tables) -> DataFrame:
-    return levels_by_area(P.pair_values(_urgent(t)), customer_dictionary(t))
+    return levels_by_area(P.pair_values(stored(_urgent(t))), customer_dictionary(t))
 
 
 GRID = """grid AS (SELECT "group", unit, yr, value
@@ -453,7 +454,7 @@ GRID = """grid AS (SELECT "group", unit, yr, value
 
 @query(S.with_(S.PN, GRID) + "SELECT * FROM grid")
 def complete_grid(t: Tables) -> DataFrame:
-    return G.complete_grid(order_panel_null(t))
+    return G.complete_grid(stored(order_panel_null(t)))
 
 
 @query(
@@ -463,7 +464,7 @@ def complete_grid(t: Tables) -> DataFrame:
          FROM grid"""
 )
 def period_delta_grid(t: Tables) -> DataFrame:
-    return G.period_delta(order_panel_null(t))
+    return G.period_delta(stored(order_panel_null(t)))
 
 
 @query(
@@ -474,7 +475,7 @@ def period_delta_grid(t: Tables) -> DataFrame:
          FROM P GROUP BY 1, 2) SELECT *, v_last - v_first AS d_m FROM v"""
 )
 def first_last_change(t: Tables) -> DataFrame:
-    return G.first_last_change(order_panel_null(t))
+    return G.first_last_change(stored(order_panel_null(t)))
 
 
 @query(
@@ -482,7 +483,7 @@ def first_last_change(t: Tables) -> DataFrame:
     + 'SELECT "group", yr, (count(*) - count(value))::BIGINT AS n_missing FROM grid GROUP BY 1, 2'
 )
 def missing_per_year(t: Tables) -> DataFrame:
-    return G.missing_per_period(order_panel_null(t))
+    return G.missing_per_period(stored(order_panel_null(t)))
 
 
 @query(
@@ -491,4 +492,4 @@ def missing_per_year(t: Tables) -> DataFrame:
          HAVING count(value) = (SELECT count(DISTINCT yr) FROM P WHERE yr >= 1998)"""
 )
 def complete_cases(t: Tables) -> DataFrame:
-    return P.complete_cases(order_panel_null(t), 1998)
+    return P.complete_cases(stored(order_panel_null(t)), 1998)

@@ -24,6 +24,7 @@ from .bindings import (
     part_layer,
     part_panel,
     part_profile,
+    stored,
     supplier_grid,
     supplier_layer,
 )
@@ -118,7 +119,7 @@ def _area_table(t: Tables) -> DataFrame:
 
 
 def _changes(t: Tables, areas: DataFrame, pv: DataFrame | None = None) -> DataFrame:
-    pv = pair_values(part_panel(t)) if pv is None else pv
+    pv = pair_values(stored(part_panel(t))) if pv is None else pv
     return A.area_changes(C.change_class(pv), areas)
 
 
@@ -183,7 +184,7 @@ def topk_gain_loss(t: Tables) -> DataFrame:
          FROM area_levels JOIN suppliers ON area = name"""
 )
 def density_level(t: Tables) -> DataFrame:
-    levels = A.area_levels(pair_values(part_panel(t)), _area_table(t))
+    levels = A.area_levels(pair_values(stored(part_panel(t))), _area_table(t))
     sizes = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))
     joined = join_on(levels.drop("m1"), sizes, ["area"], null_safe=False)
     return rounded(A.density(joined, "m2", "size"), "density")
@@ -223,7 +224,7 @@ def unit_profile_change(t: Tables) -> DataFrame:
 def _model_table(t: Tables) -> DataFrame:
     areas = _area_table(t)
     layer = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))
-    pv = durable_table(pair_values(part_panel(t)))
+    pv = durable_table(pair_values(stored(part_panel(t))))
     levels = A.area_levels(pv, areas)
     last = levels.where(F.col("y2") == 2001).select("area", F.col("m2").alias("level"))
     return M.model_table(_rolled(t, areas, pv), layer, _area_profile(t, areas), last, "area")
