@@ -42,14 +42,15 @@ def durable_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list[Row] | None]:
-    """Fetch a dimension when it has at most max_rows rows.
+def small_side(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, list[Row] | None]:
+    """Fetch a dimension when it has at most max_rows rows (default SMALL_ROWS).
 
     Returns a broadcast-hinted local frame and its rows, or df unchanged and None when it
     is larger, so that the caller can take a distributed way.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    limit = SMALL_ROWS if max_rows is None else max_rows
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
         return df, None
     local = df.sparkSession.createDataFrame(rows, df.schema)
     return F.broadcast(local), rows

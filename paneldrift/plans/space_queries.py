@@ -158,7 +158,7 @@ def enrichment_share(t: Tables) -> DataFrame:
 )
 def outlier_filter(t: Tables) -> DataFrame:
     """Areas above a fixed change with the quartiles of their parent."""
-    rolled = _rolled(t, _area_table(t))
+    rolled = durable_table(_rolled(t, _area_table(t)))
     return rounded(M.outliers(rolled, ["parent"], "d_m", above=-100), "q1", "q3", "iqr")
 
 

@@ -16,7 +16,7 @@ from ..operators.classes import lump_rare as lump
 from ..operators.growth import first_last_change as ends_change
 from ..operators.profile import profile_wide
 from ..operators.profile import row_shares as shares_of_row
-from ..operators.scale import join_on, ordered_gaps as gaps_in_order
+from ..operators.scale import durable_table, join_on, ordered_gaps as gaps_in_order
 from ..sources.panels import parse_long, parse_transposed
 from . import sql as S
 from .bindings import (
@@ -62,7 +62,7 @@ def transposed_files(t: Tables) -> DataFrame:
         "group", F.lit("_"), F.lpad(F.col("chunk").cast("string"), 10, "0"),
         F.when(main, ".csv").otherwise("_v2.csv"),
     )
-    return files.select(
+    written = files.select(
         F.concat(F.col("yr"), F.lit(" data")).alias("folder"),
         name.alias("file"),
         F.concat_ws(
@@ -71,6 +71,7 @@ def transposed_files(t: Tables) -> DataFrame:
             F.array_join(F.concat(label, values), ","),
         ).alias("content"),
     )
+    return durable_table(written)
 
 
 CITY = """upper(left("group", 1)) || lower(substr(split_part("group", ' ', 1), 2))"""
