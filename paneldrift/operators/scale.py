@@ -97,16 +97,24 @@ def skew_join(
 ) -> DataFrame:
     """Inner or left equi-join whose hot left keys are spread over ``salts`` partitions.
 
-    Keys holding more than 1/parts of the left rows are salted and only their right rows are
-    repeated; every other key joins as usual. The list of hot keys has fewer than ``parts``
-    rows, which is what makes it safe to broadcast. ``counts`` may pass an aggregation
-    (keys, n) that the caller has anyway.
+    Keys holding more than 1/parts of the left rows are looked up first: fewer than ``parts``
+    rows by construction. Only they are salted, and only their right rows are repeated; without
+    any this is a plain join. ``counts`` may pass an aggregation (keys, n) that is cheaper to get
+    than counting the left rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(heavy_keys(counts, keys, "n", parts).withColumn("_hot", F.lit(True)))
+    found = heavy_keys(counts, keys, "n", parts)
+    rows = found.collect()
+    if not null_safe:
+        rows = [r for r in rows if None not in r]
+    if not rows:
+        return join_on(left, right, keys, how, null_safe)
+    hot = F.broadcast(
+        left.sparkSession.createDataFrame(rows, found.schema).withColumn("_hot", F.lit(True))
+    )
     spread = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
     salted = join_on(left.withColumn("_spread", spread), hot, keys, "left", null_safe).withColumn(
         "_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0))

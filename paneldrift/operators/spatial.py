@@ -11,22 +11,48 @@ from ..functions.geometry import bounding_box, boxes_overlap, edges, polygons_in
 from .scale import join_on, skew_join
 
 
-def _prepared(layer: DataFrame, id_col: str, prefix: str) -> DataFrame:
-    return layer.select(
-        F.col(id_col).alias(f"{prefix}_id"),
-        F.col("rings").alias(f"{prefix}_rings"),
-        bounding_box("rings").alias(f"{prefix}_box"),
+def _prepared(layer: DataFrame, id_col: str, prefix: str, tile: float) -> DataFrame:
+    """id, rings, box and level of a layer's polygons.
+
+    Level l has tiles of side tile * 2^l; a polygon's own level is the first one whose tiles
+    are at least as long as its box, so its box touches four tiles there at most.
+    """
+    side = "greatest(box.x2 - box.x1, box.y2 - box.y1)"
+    level = f"int(greatest(ceil(log2(greatest({side} / {tile!r}D, 1D))), 0))"
+    return (
+        layer.select(
+            F.col(id_col).alias(f"{prefix}_id"),
+            F.col("rings").alias(f"{prefix}_rings"),
+            bounding_box("rings").alias("box"),
+        )
+        .withColumn(f"{prefix}_level", F.expr(level))
+        .withColumnRenamed("box", f"{prefix}_box")
     )
 
 
-def _tiled(layer: DataFrame, prefix: str, tile: float) -> DataFrame:
-    """One row per tile a polygon's box reaches into."""
+def _levels(prepared: DataFrame, prefix: str) -> list[int]:
+    """The levels a layer uses (one aggregated row): a few dozen at most, as sides are doubles."""
+    return sorted(prepared.agg(F.collect_set(f"{prefix}_level").alias("levels")).first()["levels"])
+
+
+def _tiled(prepared: DataFrame, prefix: str, other_levels: list[int], tile: float) -> DataFrame:
+    """One row per tile a polygon's box touches, on its own level and on every coarser level the
+    other layer uses: however large a polygon, four tiles per level."""
+    level, box = f"{prefix}_level", f"{prefix}_box"
+    coarser = f"filter(array({', '.join(map(str, other_levels))}), l -> l > {level})"
+    levels = f"concat(array({level}), {coarser})" if other_levels else f"array({level})"
 
     def tiles(axis: str) -> Column:
-        first, last = (f"floor({prefix}_box.{axis}{i} / {float(tile)!r}D)" for i in (1, 2))
+        first, last = (
+            f"floor({box}.{axis}{i} / ({tile!r}D * pow(2D, level)))" for i in (1, 2)
+        )
         return F.expr(f"explode(sequence({first}, {last}))")
 
-    return layer.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
+    return (
+        prepared.withColumn("level", F.explode(F.expr(levels)))
+        .withColumn("tx", tiles("x"))
+        .withColumn("ty", tiles("y"))
+    )
 
 
 def suggest_tile(layer: DataFrame) -> float:
@@ -46,25 +72,31 @@ def spatial_join(
 ) -> DataFrame:
     """(a_id, b_id) of all polygons that share a point, touching included.
 
-    Both layers are bucketed by tiles of side ``tile`` (default: from layer b) and joined on
-    the tile, tiles with many polygons of layer a being salted. A pair is kept only in the
-    tile that holds the lower left corner of the two boxes' overlap, so nothing has to be
-    de-duplicated afterwards; then the exact test runs once per pair.
+    Both layers are bucketed by tiles and joined on the tile, tiles with many polygons of
+    layer a being salted. Tiles come in levels of doubling size (smallest side ``tile``,
+    default from layer b), and a pair meets on the coarser of its two levels, so neither large
+    nor small polygons make many rows. A pair is kept only in the tile that holds the lower
+    left corner of the two boxes' overlap, so nothing has to be de-duplicated afterwards;
+    then the exact test runs once per pair.
     """
-    if tile is None:
-        tile = suggest_tile(b)
-    left = _tiled(_prepared(a, a_id, "a"), "a", tile)
-    right = _tiled(_prepared(b, b_id, "b"), "b", tile)
+    tile = suggest_tile(b) if tile is None else float(tile)
+    one, two = _prepared(a, a_id, "a", tile), _prepared(b, b_id, "b", tile)
+    levels_a, levels_b = _levels(one, "a"), _levels(two, "b")
+    left = _tiled(one, "a", levels_b, tile)
+    right = _tiled(two, "b", levels_a, tile)
+    keys = ["level", "tx", "ty"]
     counts = (
-        _tiled(_prepared(a, a_id, "a").select("a_box"), "a", tile)
-        .groupBy("tx", "ty")
+        _tiled(one.select("a_box", "a_level"), "a", levels_b, tile)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    side = f"({tile!r}D * pow(2D, level))"
     owner = F.expr(
-        f"tx = floor(greatest(a_box.x1, b_box.x1) / {float(tile)!r}D) AND "
-        f"ty = floor(greatest(a_box.y1, b_box.y1) / {float(tile)!r}D)"
+        "level = greatest(a_level, b_level) AND "
+        f"tx = floor(greatest(a_box.x1, b_box.x1) / {side}) AND "
+        f"ty = floor(greatest(a_box.y1, b_box.y1) / {side})"
     )
-    candidates = skew_join(left, right, ["tx", "ty"], null_safe=False, counts=counts).where(
+    candidates = skew_join(left, right, keys, null_safe=False, counts=counts).where(
         boxes_overlap("a_box", "b_box") & owner
     )
     exact = polygons_intersect("a_rings", "a_box", "b_rings", "b_box")

@@ -44,6 +44,9 @@ def test_hot_key_is_spread(spark, hot):
     plan = S.skew_join(hot.withColumn("id", F.monotonically_increasing_id()), right, ["k"])
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in text and plan.count() == 500
+    cold = hot.where("k <> 'hot'")
+    plain = S.skew_join(cold, right, ["k"], parts=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plain
 
 
 @pytest.mark.parametrize("limit", [50_000, 1])

@@ -129,3 +129,15 @@ def test_random_shapes_against_brute_force(spark):
     b = layer(spark, [(i, [r]) for i, r in two])
     assert sorted(rows(X.spatial_join(a, b), "a_id", "b_id")) == want
     assert sorted(rows(X.spatial_join(a, b, 0.9), "a_id", "b_id")) == want
+
+
+def test_one_huge_polygon_makes_few_rows(spark):
+    """A polygon a million tiles wide meets small ones on a coarse level."""
+    huge = layer(spark, [(1, [box(-5e5, -5e5, 1e6, 1e6)]), (2, [box(3, 3, 1, 1)])])
+    small = layer(spark, [(i, [box(i, i, 0.5, 0.5)]) for i in range(40)])
+    prepared = X._prepared(huge, "id", "a", 1.0)
+    tiles = X._tiled(prepared, "a", X._levels(prepared, "a"), 1.0)
+    assert tiles.where("a_id = 1").count() <= 4
+    got = rows(X.spatial_join(small, huge, 1.0), "a_id", "b_id")
+    assert got == sorted([(i, 1) for i in range(40)] + [(3, 2), (4, 2)], key=repr)
+    assert len(rows(X.spatial_join(huge, small, 1.0))) == 42
