@@ -168,17 +168,24 @@ def _sql_edges_meet(e: str, f: str) -> str:
 def polygons_intersect(rings_a: str, box_a: str, rings_b: str, box_b: str) -> Column:
     """Do two polygons share a point? Touching counts; a polygon inside a hole does not.
 
-    Only edges reaching into the other polygon's box are compared with each other; without
-    such a meeting, the first vertex of some ring must lie inside the other polygon.
+    Cheap tests come first: a ring of one starting inside the other. Otherwise edges must meet,
+    and only edges reaching into the other polygon's box are compared with each other; the
+    one-element array binds both edge lists once per pair.
     """
     near_a = f"filter({sql_edges(rings_a)}, e -> {_sql_edge_reaches('e', box_b)})"
     near_b = f"filter({sql_edges(rings_b)}, f -> {_sql_edge_reaches('f', box_a)})"
-    meet = f"exists({near_a}, e -> exists({near_b}, f -> {_sql_edges_meet('e', 'f')}))"
+    meet = (
+        f"exists(array(named_struct('na', {near_a}, 'nb', {near_b})), "
+        f"t -> exists(t.na, e -> exists(t.nb, f -> {_sql_edges_meet('e', 'f')})))"
+    )
 
     def start_inside(rings: str, other: str) -> str:
-        test = sql_point_inside(sql_edges(other), "get(s, 0).x", "get(s, 0).y")
-        return f"exists({rings}, s -> {test})"
+        test = sql_point_inside("t.all", "get(s, 0).x", "get(s, 0).y")
+        return (
+            f"exists(array(named_struct('all', {sql_edges(other)})), "
+            f"t -> exists({rings}, s -> {test}))"
+        )
 
     return F.expr(
-        f"{meet} OR {start_inside(rings_a, rings_b)} OR {start_inside(rings_b, rings_a)}"
+        f"{start_inside(rings_a, rings_b)} OR {start_inside(rings_b, rings_a)} OR {meet}"
     )

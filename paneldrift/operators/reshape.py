@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import ratio
+from ..functions.values import ratio, strict_sum
 from .scale import join_on, numbered, with_totals
 
 
@@ -26,6 +27,17 @@ def pivot_values(
     )
 
 
+def columns_matching(df: DataFrame, pattern: str) -> list[str]:
+    """Names of the columns that contain the pattern."""
+    return [c for c in df.columns if re.search(pattern, c)]
+
+
+def sum_matching(df: DataFrame, by: Sequence[str], pattern: str) -> DataFrame:
+    """NULL-propagating sums of all columns whose name contains the pattern."""
+    names = columns_matching(df, pattern)
+    return df.groupBy(*by).agg(*[strict_sum(F.col(f"`{c}`")).alias(c) for c in names])
+
+
 def union_tagged(frames: dict[str, DataFrame], tag: str = "tt") -> DataFrame:
     """Stack frames by column name with a constant tag column; absent columns become NULL."""
     out = None

@@ -132,6 +132,9 @@ def test_set_operations_and_reshape(spark):
     assert rows(R.except_keys(a, b, ["id"])) == [(1,)]
     stacked = R.union_tagged({"a": a, "b": b})
     assert stacked.columns == ["id", "label", "v", "tt"] and stacked.count() == 5
+    net = spark.createDataFrame([("x", 1, 2, 9), ("x", 3, None, 9)], "k string, `Net A` int, `Net B` int, other int")
+    assert R.columns_matching(net, "^Net") == ["Net A", "Net B"]
+    assert rows(R.sum_matching(net, ["k"], "^Net")) == [("x", 4, None)]
     text = R.collect_string(a.where("v is not null"), ["id"], "v", "text")
     assert rows(text, "id", "text") == [(1, "2, 3")]
 
