@@ -29,12 +29,17 @@ def rank_areas(pv: DataFrame, dictionary: DataFrame, area: str = "area") -> Data
     Changes are summed per unit before the dictionary join, which then meets one row per unit.
     """
     per_unit = pv.groupBy(*UNIT).agg(F.sum(net_change("m1", "m2")).alias("d_m"))
-    return (
+    totals = (
         join_on(per_unit, dictionary, ["unit"], "left", null_safe=False)
         .groupBy(area)
         .agg(F.sum("d_m").alias("tot"))
-        .orderBy(F.col("tot").desc_nulls_last(), F.col(area).asc_nulls_last())
     )
+    return largest_first(totals, "tot", area)
+
+
+def largest_first(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Sorted by descending value, missing values last, ties by name."""
+    return df.orderBy(F.col(value).desc_nulls_last(), F.col(name).asc_nulls_last())
 
 
 def area_changes(

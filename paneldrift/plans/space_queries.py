@@ -134,7 +134,7 @@ def _rolled(t: Tables, areas: DataFrame, pv: DataFrame | None = None) -> DataFra
 
 @query(S.with_(*S.SPACE_CHAIN) + "SELECT area, d_m, parent, gg FROM rolled")
 def rollup_area(t: Tables) -> DataFrame:
-    return _rolled(t, _area_table(t))
+    return A.largest_first(_rolled(t, _area_table(t)), "d_m", "area")
 
 
 @query(

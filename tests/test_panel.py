@@ -239,3 +239,25 @@ def test_random_panel_invariants(spark):
         assert r["d"] == sums.get((r["group"], r["y2"]), 0) - sums.get((r["group"], r["y1"]), 0)
     shares = C.sign_share(P.pair_values(p)).groupBy("unit").agg(F.sum("pct").alias("s"))
     assert all(r["s"] == pytest.approx(1) for r in shares.collect())
+
+
+def test_overlap_bounds_and_rollup_totals(spark):
+    """Jaccard lies in [0, 1]; area changes add up to the changes of the units."""
+    from paneldrift.operators.areas import area_changes, area_levels, rank_areas
+
+    p = spark.range(300).select(
+        (F.col("id") % 2).cast("string").alias("group"),
+        (F.col("id") % 41).alias("unit"),
+        (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int").alias("yr"),
+        F.nullif(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(9)), F.lit(4)).alias("value"),
+    ).groupBy("group", "unit", "yr").agg(F.max("value").alias("value"))
+    assert all(0 <= r["jaccard"] <= 1 for r in P.jaccard(P.presence(p)).collect())
+    areas = spark.range(45).select(F.col("id").alias("unit"), (F.col("id") % 4).cast("string").alias("area"))
+    pv = P.pair_values(p)
+    changes = area_changes(C.change_class(pv), areas)
+    want = C.change_class(pv).agg(F.sum("d_m")).first()[0]
+    assert changes.agg(F.sum("d_m")).first()[0] == want
+    assert rank_areas(pv, areas).agg(F.sum("tot")).first()[0] == want
+    assert changes.where("y1 is null").select("tt", "d_m").distinct().collect() == [(None, None)]
+    level = area_levels(pv, areas).agg(F.sum("m1")).first()[0]
+    assert level == pv.agg(F.sum("m1")).first()[0]
