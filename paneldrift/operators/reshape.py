@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio, strict_sum
-from .scale import join_on, numbered, with_totals
+from .scale import join_on, lookup_join, numbered
 
 
 def pivot_values(
@@ -88,12 +88,9 @@ def rank_fraction(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "fraction"
 ) -> DataFrame:
     """Position in the ordered group over the group's size, for groups of any size."""
-    rows = numbered(df, by, order)
-    return (
-        with_totals(rows, by, {"_n": F.count(F.lit(1))})
-        .withColumn(name, ratio("rn", "_n"))
-        .drop("_n")
-    )
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = lookup_join(numbered(df, by, order), sizes, by)
+    return rows.withColumn(name, ratio("rn", "_n")).drop("_n")
 
 
 def category_order(

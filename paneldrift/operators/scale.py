@@ -146,17 +146,20 @@ def left_join_many(dim: DataFrame, many: DataFrame, keys: Sequence[str]) -> Data
     Matches are found from the many side, where hot keys can be salted; dim rows without a
     match are added with NULLs.
     """
-    matched = skew_join(many, dim, keys, "inner")
-    have = many.select(*keys).distinct()
-    return matched.unionByName(join_on(dim, have, keys, "left_anti"), allowMissingColumns=True)
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    matched = skew_join(many, dim, keys, "inner", counts=counts)
+    unmatched = join_on(dim, counts.select(*keys), keys, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def with_totals(
     df: DataFrame, by: Sequence[str], totals: Mapping[str, Column], pre: DataFrame | None = None
 ) -> DataFrame:
-    """Attach per-group aggregates to every row: aggregate with map-side combine, then join back.
+    """Attach per-group aggregates to every row of an aggregated table: aggregate with map-side
+    combine, then join back.
 
-    Unlike a window over the group this never gathers a whole group in one task.
+    Unlike a window over the group this never gathers a whole group in one task. For row-level
+    tables use ``lookup_join`` with the aggregates.
     """
     agg = (df if pre is None else pre).groupBy(*by).agg(*[c.alias(k) for k, c in totals.items()])
     return join_on(df, agg, by, "inner")
@@ -171,8 +174,9 @@ def running_totals(
     """Exact inclusive running totals of each group in a total order, however large the group.
 
     Rows are range-partitioned by (group, order) and written once, so partition numbers are
-    fixed. Each slice is summed locally; the sums of the earlier slices of the same group
-    (at most one row per group and range partition) give the offset of a slice.
+    fixed. Each slice is summed locally. Only the group a slice begins with can have rows in
+    earlier slices, so the offsets to add are at most one row per slice, which bounds what is
+    broadcast.
     """
     weights = {f"_w_{k}": c for k, c in totals.items()}
     ranged = durable_table(
@@ -187,9 +191,14 @@ def running_totals(
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sums.select(
-        *slice_keys,
-        *[F.coalesce(F.sum(f"_w_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}") for k in totals],
+    offsets = (
+        sums.select(
+            *slice_keys,
+            F.count(F.lit(1)).over(earlier).alias("_before"),
+            *[F.sum(f"_w_{k}").over(earlier).alias(f"_o_{k}") for k in totals],
+        )
+        .where(F.col("_before") > 0)
+        .drop("_before")
     )
     within = (
         Window.partitionBy(*slice_keys)
@@ -198,8 +207,8 @@ def running_totals(
     )
     local = ranged.withColumns({k: F.sum(f"_w_{k}").over(within) for k in totals})
     return (
-        join_on(local, offsets, slice_keys, "inner")
-        .withColumns({k: F.col(k) + F.col(f"_o_{k}") for k in totals})
+        join_on(local, F.broadcast(offsets), slice_keys, "left")
+        .withColumns({k: F.col(k) + F.coalesce(f"_o_{k}", F.lit(0)) for k in totals})
         .drop("_slice", *weights, *[f"_o_{k}" for k in totals])
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width_bin
 from ..functions.values import weighted_avg
-from .scale import durable_table, join_on, running_totals
+from .scale import durable_table, join_on, lookup_join, running_totals
 
 
 def weighted_means(
@@ -29,14 +29,13 @@ def quantiles(
     Equal values are counted first; running counts over the distinct values then tell which
     value holds the ranks around each quantile. No group is gathered in one task or buffer.
     """
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*by, F.col(column).cast("double").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    known = df.where(F.col(column).isNotNull())
+    counts = known.groupBy(*by, F.col(column).cast("double").alias("_x")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
     ranked = running_totals(counts, by, [F.col("_x").asc()], {"_hi": F.col("_n")})
-    sizes = ranked.groupBy(*by).agg(F.max("_hi").alias("_size"))
-    rows = join_on(ranked, sizes, by, "inner").withColumn("_lo", F.col("_hi") - F.col("_n"))
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    rows = lookup_join(ranked, sizes, by).withColumn("_lo", F.col("_hi") - F.col("_n"))
 
     def at(position: Column) -> Column:
         """Value with the given 0-based rank: the one row whose rank range covers it."""
@@ -79,7 +78,7 @@ def outliers(
     fence: float = 1.5,
 ) -> DataFrame:
     """Rows above a fixed threshold, or above q3 + fence * iqr, with their group's quartiles."""
-    rows = join_on(df, quartiles(df, by, column), by, "left")
+    rows = lookup_join(df, quartiles(df, by, column), by)
     limit = F.lit(above) if above is not None else F.col("q3") + fence * F.col("iqr")
     return rows.where(F.col(column) > limit)
 
@@ -91,7 +90,7 @@ def boxplot(df: DataFrame, by: Sequence[str], column: str, fence: float = 1.5) -
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)
     stats = ["q1", "median", "q3"]
     return (
-        join_on(df.where(F.col(column).isNotNull()), q, by, "inner")
+        lookup_join(df.where(F.col(column).isNotNull()), q, by)
         .groupBy(*by)
         .agg(
             *[F.any_value(s).alias(s) for s in stats],
