@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio, strict_sum
-from .scale import join_on, lookup_join, numbered
+from .scale import join_on, numbered, running_totals
 
 
 def pivot_values(
@@ -88,8 +88,7 @@ def rank_fraction(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "fraction"
 ) -> DataFrame:
     """Position in the ordered group over the group's size, for groups of any size."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rows = lookup_join(numbered(df, by, order), sizes, by)
+    rows = running_totals(df, by, order, {"rn": F.lit(1).cast("bigint")}, whole={"rn": "_n"})
     return rows.withColumn(name, ratio("rn", "_n")).drop("_n")
 
 

@@ -170,13 +170,15 @@ def running_totals(
     by: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Exact inclusive running totals of each group in a total order, however large the group.
 
     Rows are range-partitioned by (group, order) and written once, so partition numbers are
     fixed. Each slice is summed locally. Only the group a slice begins with can have rows in
     earlier slices, so the offsets to add are at most one row per slice, which bounds what is
-    broadcast.
+    broadcast. ``whole`` names columns for the group's final totals, {total: column}, which come
+    from the slice sums too.
     """
     weights = {f"_w_{k}": c for k, c in totals.items()}
     ranged = durable_table(
@@ -206,11 +208,15 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = ranged.withColumns({k: F.sum(f"_w_{k}").over(within) for k in totals})
-    return (
+    running = (
         join_on(local, F.broadcast(offsets), slice_keys, "left")
         .withColumns({k: F.col(k) + F.coalesce(f"_o_{k}", F.lit(0)) for k in totals})
         .drop("_slice", *weights, *[f"_o_{k}" for k in totals])
     )
+    if not whole:
+        return running
+    final = sums.groupBy(*by).agg(*[F.sum(f"_w_{k}").alias(c) for k, c in whole.items()])
+    return lookup_join(running, final, by)
 
 
 def numbered(

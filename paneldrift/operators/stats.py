@@ -29,13 +29,15 @@ def quantiles(
     Equal values are counted first; running counts over the distinct values then tell which
     value holds the ranks around each quantile. No group is gathered in one task or buffer.
     """
-    known = df.where(F.col(column).isNotNull())
-    counts = known.groupBy(*by, F.col(column).cast("double").alias("_x")).agg(
-        F.count(F.lit(1)).alias("_n")
+    counts = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(*by, F.col(column).cast("double").alias("_x"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_totals(counts, by, [F.col("_x").asc()], {"_hi": F.col("_n")})
-    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    rows = lookup_join(ranked, sizes, by).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    ranked = running_totals(
+        counts, by, [F.col("_x").asc()], {"_hi": F.col("_n")}, whole={"_hi": "_size"}
+    )
+    rows = ranked.withColumn("_lo", F.col("_hi") - F.col("_n"))
 
     def at(position: Column) -> Column:
         """Value with the given 0-based rank: the one row whose rank range covers it."""
