@@ -240,16 +240,65 @@ def model_table(t: Tables) -> DataFrame:
     return table.withColumn("income", F.round("income", 4))
 
 
-@query()
-def ols_coefficients(t: Tables) -> DataFrame:
-    """Regression of area change (thousands) on standardised size, income and shares."""
+def _fitted(t: Tables) -> DataFrame:
     table = _model_table(t).select(
         (F.col("d_m") / 1000).alias("y"),
         F.col("size").alias("area"),
         "income", "singd", "semd", "row", "apt",
     )
-    model = M.growth_regression(table, "y")
-    return M.ols_table(model, M.MODEL_TERMS, table)
+    return M.ols_table(M.growth_regression(table, "y"), M.MODEL_TERMS, table)
+
+
+@query()
+def ols_coefficients(t: Tables) -> DataFrame:
+    """Regression of area change (thousands) on standardised size, income and shares."""
+    return _fitted(t)
+
+
+def _estimates_sql() -> str:
+    """Least squares by orthogonalising the terms one after the other and substituting back."""
+
+    def z(c: str) -> str:
+        return f"(({c}) - avg({c}) OVER ()) / stddev_samp({c}) OVER ()"
+
+    def on(a: str, u: str) -> str:
+        return f"sum({a} * {u}) OVER () / sum({u} * {u}) OVER ()"
+
+    ctes = [
+        f"""z AS (SELECT d_m / 1000.0::DOUBLE AS y, {z('size')} AS x1, {z('income')} AS x2,
+            {z('singd')} + {z('semd')} AS x3, {z('"row"')} + {z('apt')} AS x4 FROM model)""",
+        """r AS (SELECT * FROM z WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL
+            AND x3 IS NOT NULL AND x4 IS NOT NULL)""",
+        "c AS (SELECT *, y - avg(y) OVER () AS v, x1 - avg(x1) OVER () AS u1, x2 - avg(x2) OVER () AS c2, "
+        "x3 - avg(x3) OVER () AS c3, x4 - avg(x4) OVER () AS c4 FROM r)",
+        f"o2 AS (SELECT *, c2 - u1 * ({on('c2', 'u1')}) AS u2 FROM c)",
+        f"o3 AS (SELECT *, c3 - u1 * ({on('c3', 'u1')}) - u2 * ({on('c3', 'u2')}) AS u3 FROM o2)",
+        f"o4 AS (SELECT *, c4 - u1 * ({on('c4', 'u1')}) - u2 * ({on('c4', 'u2')}) - u3 * ({on('c4', 'u3')}) AS u4 FROM o3)",
+        "k AS (SELECT count(*)::BIGINT AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, "
+        "avg(x4) AS m4, sum(v * v) AS syy, "
+        + ", ".join(
+            f"sum({a} * u{i}) / sum(u{i} * u{i}) AS {a}_{i}"
+            for i in range(1, 5)
+            for a in ("v", *[f"c{j}" for j in range(i + 1, 5)])
+        )
+        + ", "
+        + ", ".join(f"sum(u{i} * u{i}) AS s{i}" for i in range(1, 5))
+        + " FROM o4)",
+        "b4 AS (SELECT *, v_4 AS e4, v_3 - c4_3 * v_4 AS e3 FROM k)",
+        "b2 AS (SELECT *, v_2 - c3_2 * e3 - c4_2 * e4 AS e2 FROM b4)",
+        "b AS (SELECT *, v_1 - c2_1 * e2 - c3_1 * e3 - c4_1 * e4 AS e1 FROM b2)",
+        """terms AS (SELECT unnest(['area', 'income', 'singd_semd', 'row_apt', '(Intercept)']) AS term,
+            unnest([e1, e2, e3, e4, my - e1 * m1 - e2 * m2 - e3 * m3 - e4 * m4]) AS estimate, n,
+            (v_1 ** 2 * s1 + v_2 ** 2 * s2 + v_3 ** 2 * s3 + v_4 ** 2 * s4) / syy AS r2 FROM b)""",
+    ]
+    chain = S.with_(*S.SPACE_CHAIN, S.PROFILE, S.AREA_PROFILE, S.MODEL, *ctes)
+    return chain + "SELECT term, round(estimate, 6) AS estimate, n, round(r2, 6) AS r2 FROM terms"
+
+
+@query(_estimates_sql())
+def ols_estimates(t: Tables) -> DataFrame:
+    """Estimates and fit of the same regression."""
+    return rounded(_fitted(t).select("term", "estimate", "n", "r2"), "estimate", "r2")
 
 
 @query(
