@@ -113,3 +113,72 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).withColumn("held_out", remainder(3) == 1)
     learnt = train(docs.where(~F.col("held_out")).select("text", "lang"))
     return identify(docs, learnt, keep=("doc_id", "held_out"))
+
+
+# ---------------------------------------------------------------- 5 secrets
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from . import secrets
+
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    base = F.filter("secrets", lambda s: s["order"] < 3)
+
+    def n(k: int) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["order"] == k)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"),
+        secrets.spelled(F.col("secrets")).alias("spans"),
+    )
+
+
+# ---------------------------------------------------------------- 6 quality
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from .common import written
+    from .quality import fit, measured, score
+
+    rows = written(measured(documents(spark, folder)), "statistics")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    rules = fit(written(rows.join(labels, "doc_id").where(remainder(5) != 0), "labelled"))
+    return score(rows, rules).select(
+        "doc_id",
+        (remainder(5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+# ---------------------------------------------------------------- 8 licenses
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(documents(spark, folder))
+    base = F.filter("spans", lambda s: s["kind"] == "phrase")
+    starts = F.transform(base, lambda s: s["start"].cast("bigint"))
+
+    def labels(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
