@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +19,17 @@ PIECE_CHARS = 1 << 16
 SAFE = regex.compile(r"(?<=\S)(?=\s)")
 
 
-@lru_cache(maxsize=4)
+_encodings: dict[tuple[str, str], tuple[tiktoken.Encoding, list[bytes]]] = {}
+
+
 def encoding(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, list[bytes]]:
     """The encoding of a rank file (base64 token and rank a line) and each id's bytes."""
+    if (ranks_path, pattern) not in _encodings:
+        _encodings[ranks_path, pattern] = _loaded(ranks_path, pattern)
+    return _encodings[ranks_path, pattern]
+
+
+def _loaded(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, list[bytes]]:
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
     table = [b""] * (max(ranks.values()) + 1)

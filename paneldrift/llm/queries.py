@@ -182,3 +182,34 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         labels(F.col("spans")).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+# ---------------------------------------------------------------- 9 near-duplicates
+
+MINHASH_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM worded),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) + any_value(b.n) AS total
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 85 * (total - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN lowest ON doc_id = a
+"""
+
+
+@query("op9_minhash_dedup", MINHASH_SQL)
+def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents(spark, folder), size=3, percent=85)
