@@ -189,11 +189,11 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 MINHASH_SQL = r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
   FROM worded),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
 pairs AS (
@@ -213,3 +213,56 @@ def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(documents(spark, folder), size=3, percent=85)
+
+
+# ---------------------------------------------------------------- 3 exact top-k
+
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query("op3_top_inner_products", TOPK_SQL)
+def op3_top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    from .blocks import usable
+    from .mips import top_k
+
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    vectors = embeddings(spark, folder).where(usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), whole.alias("vector"), (F.col("vec_id") % 50 == 0).alias("is_query")
+    )
+    return top_k(vectors, 5).withColumnRenamed("id", "vec_id")
+
+
+# ---------------------------------------------------------------- 1 near-duplicate vectors
+
+COVER_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN lowest l ON vec_id = l.a LEFT JOIN counted c ON vec_id = c.a
+"""
+
+
+@query("op1_cover_tree_dedup", COVER_SQL)
+def op1_cover_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .cover_tree import near_duplicates
+
+    vectors = embeddings(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return near_duplicates(vectors, 0.95).withColumnRenamed("id", "vec_id")
