@@ -266,3 +266,21 @@ def op1_cover_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     vectors = embeddings(spark, folder).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return near_duplicates(vectors, 0.95).withColumnRenamed("id", "vec_id")
+
+
+# ---------------------------------------------------------------- 4 copied strings
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .suffix_dedup import remove_copies
+
+    left = remove_copies(documents(spark, folder), length=200, keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
