@@ -117,7 +117,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
     buckets x languages numbers. Rows stay where they are; repeated rows stay.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    # plain values: a broadcast is unpickled where the class may be unknown
+    held = spark.sparkContext.broadcast((model.languages, model.prior, model.log_prob, model.sizes))
     names = [f"_{i}" for i in range(len(keep))]
     rows = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)],
@@ -128,7 +129,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = Model(*held.value)
         for batch, data, offsets in text_chunks(batches, "text"):
             known = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
             if model.languages:

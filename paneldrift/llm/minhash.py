@@ -14,7 +14,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, components, mix, prefix_hashes, range_hashes, text_chunks, written
@@ -193,6 +193,20 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, one of each component of near duplicates: the smallest doc_id.
+
+    Rows that repeat a kept id with the same text leave one. Texts without words all stay.
+    """
+    found = near_duplicates(docs, text=text, doc_id=doc_id, **options)
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col(f"row.`{doc_id}`").alias("_id"), F.xxhash64(f"row.`{text}`").alias("_text"))
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    twins = Window.partitionBy("_id", "_text").orderBy(F.xxhash64("row"))
+    return rows.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1").select("row.*")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -206,8 +220,8 @@ def near_duplicates(
     Documents are linked if their sets of ``size``-word shingles have a Jaccard similarity of
     ``percent`` / 100 or more; component_id is the smallest doc_id reachable by links, kept marks
     it. Texts without words (null, empty, blank) have no shingles, are linked with nothing and are kept.
-    Repeated rows and equal sets are one node; a null doc_id never becomes a component's id unless
-    the component has no other.
+    Repeated rows and equal sets are one node, so rows that repeat a kept id and text are all kept; a
+    null doc_id becomes a component's id only if the component has no other.
 
     Equal sets collapse by aggregation first. In each list of a token, members meet the list's first
     node, so a list of g near copies costs g comparisons, not g^2; components of these links
@@ -269,5 +283,5 @@ def near_duplicates(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce((F.col("n_shingles") == 0) | (F.col("doc_id") == component), F.lit(False)).alias("kept"),
+        ((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(component)).alias("kept"),
     )
