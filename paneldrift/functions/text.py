@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import ColumnLike, col
+from .values import ColumnLike, col, safe_int
 
 # Patterns that must match the source files' conventions.
 ONE_CHARACTER_SUFFIX = r"\s[0-9A-Z]$"
@@ -46,7 +46,7 @@ def slug(c: ColumnLike) -> Column:
 def plain_number(c: ColumnLike) -> Column:
     """'2,731,571[note 4]' -> 2731571; NULL when no number is left."""
     bare = F.regexp_replace(F.split_part(col(c), F.lit("["), F.lit(1)), ",", "")
-    return bare.try_cast("double").try_cast("bigint")
+    return safe_int(bare)
 
 
 def recode(c: ColumnLike, mapping: Mapping[str, str], otherwise: Column | None = None) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
+WHOLE = r"^[+-]?[0-9]+$"
+DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -64,8 +67,11 @@ def net_change(m1: ColumnLike, m2: ColumnLike) -> Column:
 
 
 def safe_int(c: ColumnLike) -> Column:
-    """Text to whole number; NULL for anything that is no number."""
-    return col(c).try_cast("double").try_cast("bigint")
+    """Text to whole number, exact up to 64 bits; a decimal or exponent loses its fraction; NULL for
+    anything that is no number."""
+    c = col(c).cast("string")
+    decimal = F.when(F.trim(c).rlike(DECIMAL), c.try_cast("double").try_cast("bigint"))
+    return F.coalesce(F.when(F.trim(c).rlike(WHOLE), c.try_cast("bigint")), decimal)
 
 
 def weighted_avg(x: ColumnLike, w: ColumnLike) -> Column:

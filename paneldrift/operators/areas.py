@@ -100,7 +100,7 @@ def rollup_area(
     """
     totals = changes.groupBy(area).agg(strict_sum("d_m").alias("d_m"))
     parents = dictionary.groupBy(area).agg(F.min(parent).alias(parent))
-    joined = join_on(totals, parents, [area], "left")
+    joined = join_on(totals, parents, [area], "left", null_safe=True)
     if rename:
         joined = joined.withColumn(parent, recode(parent, rename))
     return bin_change(joined, "d_m", breaks, labels)

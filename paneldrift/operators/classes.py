@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import filled, net_change, ratio
 from .pairs import UNIT
-from .scale import join_on, lookup_join, with_totals
+from .scale import durable_table, join_on, with_totals
 
 # Class labels and their fixed order.
 LOST_UNIT, NEW_UNIT = "Lost DA", "New DA"
@@ -93,10 +93,12 @@ def lump_rare(
     """Replace categories with fewer than min_count rows in their scope by ``other``; NULL stays NULL.
 
     Row counts come from an aggregation looked up again, so a category holding most of a
-    scope does not end in one task.
+    scope does not end in one task. The rows are read twice, so they are written once.
     """
     keys = [*scope, category]
-    counted = lookup_join(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    df = durable_table(df)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = join_on(df, counts, keys, "left", null_safe=True)
     lumped = (
         F.when(F.col(category).isNull(), F.lit(None))
         .when(F.col("_n") >= min_count, F.col(category))

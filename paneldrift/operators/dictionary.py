@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_suffix
 from ..functions.values import strict_avg
-from .scale import durable_table, join_on, left_join_many, lookup_join
+from .scale import durable_table, join_on, left_join_many
 
 
 def clean_bridge(bridge: DataFrame, unit: str = "unit") -> DataFrame:
@@ -23,11 +23,11 @@ def bridge_join(dictionary: DataFrame, bridge: DataFrame, cities: DataFrame) ->
     """dictionary left join bridge (on unit) left join cities (on postcode).
 
     A missing postcode matches a missing postcode. The bridge's own area name arrives as
-    ``csd_bridge``; hot units and hot postcodes are salted.
+    ``csd_bridge``.
     """
     renamed = bridge.withColumnRenamed("csd", "csd_bridge")
     linked = left_join_many(dictionary, renamed, ["unit"])
-    return lookup_join(linked, cities, ["postcode"])
+    return join_on(linked, cities, ["postcode"], "left", null_safe=True)
 
 
 def frequent_values(df: DataFrame, column: str, more_than: int) -> DataFrame:
@@ -60,8 +60,8 @@ def build_dictionary(
     named = linked.withColumn("_name", F.coalesce("city", "csd")).drop("city")
     in_core = F.col("csd") == core
     frequent = frequent_values(named.where(in_core), "_name", min_count)
-    marked = lookup_join(
-        named, frequent.select("_name", F.lit(True).alias("_frequent")), ["_name"]
+    marked = join_on(
+        named, frequent.select("_name", F.lit(True).alias("_frequent")), ["_name"], "left"
     )
     alt = F.when(in_core, F.when(F.col("_frequent"), F.col("_name")).otherwise(core)).otherwise(
         F.col("csd")

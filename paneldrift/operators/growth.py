@@ -49,7 +49,7 @@ def reconcile(reference: DataFrame, units: DataFrame) -> DataFrame:
     """Reported total against the sum of units, both (group, yr, pop): err = reported / sum - 1."""
     a = reference.select("group", "yr", F.col("pop").alias("reported"))
     b = units.select("group", "yr", F.col("pop").alias("summed"))
-    return join_on(a, b, ["group", "yr"], "full").withColumn(
+    return join_on(a, b, ["group", "yr"], "full", null_safe=True).withColumn(
         "err", growth("summed", "reported")
     )
 
@@ -93,7 +93,7 @@ def growth_compare(actual: DataFrame, like_for_like: DataFrame) -> DataFrame:
     """Actual and like-for-like growth of the same pair, long: group, y1, y2, tt, growth."""
     a = actual.select(*PAIR_KEYS, F.col("growth").alias("growth.act"))
     b = like_for_like.select(*PAIR_KEYS, F.col("growth").alias("growth.DA"))
-    wide = join_on(a, b, PAIR_KEYS, "left")
+    wide = join_on(a, b, PAIR_KEYS, "left", null_safe=True)
     return wide.unpivot(PAIR_KEYS, ["`growth.act`", "`growth.DA`"], "name", "growth").select(
         *PAIR_KEYS, F.split_part("name", F.lit("."), F.lit(2)).alias("tt"), "growth"
     )
@@ -204,7 +204,7 @@ def counterfactual(decomposed: DataFrame, totals: DataFrame) -> DataFrame:
         Window.unboundedPreceding, Window.currentRow
     )
     curve = start.unionByName(steps).withColumn("_cum", F.sum("dd").over(so_far))
-    return join_on(curve, base, ["group"]).select(
+    return join_on(curve, base, ["group"], null_safe=True).select(
         "group", "tt", "yr", (F.col("_base") + F.col("_cum")).alias("pop")
     )
 
@@ -268,7 +268,7 @@ def missing_per_period(p: DataFrame, years: Sequence[int] | None = None) -> Data
         F.map_from_entries(F.collect_list(F.struct("yr", "_n"))).alias("_have")
     )
     return (
-        join_on(units, have, ["group"])
+        join_on(units, have, ["group"], null_safe=True)
         .withColumn("_ys", _years(p, years))
         .select("group", "_units", "_have", F.explode("_ys").alias("yr"))
         .select(

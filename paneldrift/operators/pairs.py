@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio, relative_change
-from .scale import join_on, skew_join, small_side
+from .scale import durable_table, join_on
 
 PAIR_KEYS = ["group", "y1", "y2"]
 UNIT = ["group", "unit"]
-SMALL_PAIRS = 1_000_000
 
 
 def as_panel(df: DataFrame, unit: str, group: str, time: str, value: str) -> DataFrame:
@@ -33,16 +32,11 @@ def as_panel(df: DataFrame, unit: str, group: str, time: str, value: str) -> Dat
 
 @dataclass(frozen=True)
 class TimePairs:
-    """Period pairs per group. ``bound`` is a proven upper bound of the rows, or None."""
+    """Period pairs per group."""
 
     df: DataFrame
-    bound: int | None
     mode: str
 
-    @property
-    def is_small(self) -> bool:
-        return self.bound is not None and self.bound <= SMALL_PAIRS
-
 
 def time_pairs(
     p: DataFrame, mode: str = "consecutive", years: Sequence[int] | None = None
@@ -57,12 +51,8 @@ def time_pairs(
     keys = p.select("group", "yr")
     if years is not None:
         keys = keys.where(F.col("yr").isin(list(years)))
-    calendar, rows = small_side(keys.distinct())
-    if rows is not None:
-        known = sorted({r["yr"] for r in rows})
-        all_years = F.array(*[F.lit(y) for y in known]).cast("array<int>")
-    else:
-        all_years = calendar.agg(F.sort_array(F.collect_set("yr")).alias("ys")).scalar()
+    calendar = keys.distinct()
+    all_years = calendar.agg(F.sort_array(F.collect_set("yr")).alias("ys")).scalar()
     own = calendar.groupBy("group").agg(F.collect_set("yr").alias("own")).withColumn("ys", all_years)
 
     def belongs(a: Column, b: Column) -> Column:
@@ -87,11 +77,7 @@ def time_pairs(
         .select("group", "pair.y1", "pair.y2")
         .where(F.col("y2").isNotNull())
     )
-    bound = None
-    if rows is not None:
-        groups = len({r["group"] for r in rows})
-        bound = (len(rows) if mode == "all" else groups) * len(known)
-    return TimePairs(pairs, bound, mode)
+    return TimePairs(pairs, mode)
 
 
 def _roles(pairs: DataFrame) -> DataFrame:
@@ -104,10 +90,22 @@ def _roles(pairs: DataFrame) -> DataFrame:
 
 
 def _with_roles(rows: DataFrame, pairs: TimePairs) -> DataFrame:
-    roles = _roles(pairs.df)
-    if pairs.is_small:
-        return join_on(rows, F.broadcast(roles), ["group", "yr"])
-    return skew_join(rows, roles, ["group", "yr"])
+    """The rows once for each role of their period.
+
+    The roles, a few rows for each group and period, are written: their real size tells Spark
+    whether to broadcast them.
+    """
+    return join_on(rows, durable_table(_roles(pairs.df)), ["group", "yr"], null_safe=True)
+
+
+def unique_years(rows: DataFrame) -> DataFrame:
+    """The rows of a panel; a (group, unit, yr) that occurs twice raises an error.
+
+    Looks at the row before within the unit, so it shares the shuffle of the windows around it.
+    """
+    before = F.lag("yr").over(Window.partitionBy(*UNIT).orderBy("yr"))
+    twice = F.raise_error(F.lit("duplicate panel key: a unit has two rows in one period"))
+    return rows.withColumn("yr", F.when(before == F.col("yr"), twice).otherwise(F.col("yr")))
 
 
 def _entry(series: str, yr: str) -> Column:
@@ -131,11 +129,12 @@ def pair_values(
     if years is not None:
         p = p.where(F.col("yr").isin(list(years)))
     if pairs is not None:
-        chosen = TimePairs(pairs.select(*PAIR_KEYS), None, "custom")
+        chosen = TimePairs(pairs.select(*PAIR_KEYS), "custom")
     else:
         chosen = time_pairs(p, mode, years)
     if by_unit_only:
         p = p.repartition("unit")
+    p = unique_years(p)
     by_year = Window.partitionBy(*UNIT).orderBy("yr")
     item = F.struct("yr", "value")
     if chosen.mode == "consecutive":
@@ -174,9 +173,11 @@ def presence(
     if years is not None:
         p = p.where(F.col("yr").isin(list(years)))
     item = F.struct("yr", F.col("value").isNull().alias("missing"))
+    series = F.sort_array(F.collect_list(item))
+    twice = F.raise_error(F.lit("duplicate panel key: a unit has two rows in one period"))
     patterns = (
         p.groupBy(*UNIT)
-        .agg(F.sort_array(F.collect_list(item)).alias("_series"))
+        .agg(F.when(F.count("yr") > F.size(F.collect_set("yr")), twice).otherwise(series).alias("_series"))
         .groupBy("group", "_series")
         .agg(F.count(F.lit(1)).alias("units"))
     )
@@ -249,9 +250,8 @@ def churn(cells: DataFrame) -> DataFrame:
 def lost_units(p: DataFrame, first: int, last: int) -> DataFrame:
     """Units with a row in one of the two periods that have no value in the last one."""
     two = p.where(F.col("yr").isin(first, last))
-    here = two.select(*UNIT).distinct()
-    there = two.where((F.col("yr") == last) & F.col("value").isNotNull()).select(*UNIT)
-    return join_on(here, there, UNIT, "left_anti")
+    has_last = F.bool_or((F.col("yr") == last) & F.col("value").isNotNull())
+    return two.groupBy(*UNIT).agg(has_last.alias("_has")).where(~F.col("_has")).select(*UNIT)
 
 
 def units_per_period(p: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def union_tagged(frames: dict[str, DataFrame], tag: str = "tt") -> DataFrame:
 
 def except_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of a that b does not have."""
-    return join_on(a.select(*keys).distinct(), b.select(*keys).distinct(), keys, "left_anti")
+    return join_on(a.select(*keys).distinct(), b.select(*keys).distinct(), keys, "left_anti", null_safe=True)
 
 
 def collect_string(
@@ -93,10 +93,15 @@ def rank_fraction(
 
 
 def category_order(
-    df: DataFrame, category: str, value: str, name: str = "ord"
+    df: DataFrame, category: str, value: str, name: str = "ord", within: Sequence[str] = ()
 ) -> DataFrame:
-    """Category totals with their 1-based position by descending total, ties by name."""
-    totals = df.groupBy(category).agg(F.sum(value).alias("tot"))
+    """Categories with their largest total of a group (``within``) and their 1-based position by it.
+
+    Totals are sorted in descending order, ties by name, and a category takes the place of its
+    first total.
+    """
+    totals = df.groupBy(*within, category).agg(F.sum(value).alias("tot"))
+    totals = totals.groupBy(category).agg(F.max("tot").alias("tot"))
     return numbered(
         totals, [], [F.col("tot").desc_nulls_last(), F.col(category).asc_nulls_last()], name
     )

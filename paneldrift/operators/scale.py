@@ -1,59 +1,57 @@
 """Building blocks that keep hot keys and large groups spread over the cluster.
 
-* ``small_side``     broadcast a dimension only after its row count was checked
-* ``skew_join``      equi-join that salts the few keys holding a large share of the rows
+* ``skew_join``      equi-join that spreads keys with more rows than a task should read
 * ``running_totals`` exact prefix sums over groups of any size (no one-task window)
 * ``durable_table``  cut a plan by writing it to the shared checkpoint folder
+
+Small lookups are joined plainly: written tables and run-time statistics carry real sizes, from
+which Spark picks a broadcast or a shuffle.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
-HEAVY_PARTS = 64
-SALTS = 16
+#: Rows of one key that a task may read; ``skew_join`` splits keys with more.
+ROWS_PER_TASK = 1_000_000
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the session's checkpoint folder, which all executors reach.
 
-def shared_folder(df: DataFrame) -> str:
-    """Folder for intermediate tables: the session's checkpoint folder."""
-    configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    Only a session that runs in one process may leave it unset and gets a folder of its own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
-    existing = df.sparkSession.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    if not df.sparkSession.sparkContext.master.startswith("local"):
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="paneldrift-")
-    df.sparkSession.sparkContext.setCheckpointDir(own)
-    return df.sparkSession.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paneldrift-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The sub-folder that holds all intermediate tables of this application."""
+    return f"{shared_folder(spark)}/paneldrift-{spark.sparkContext.applicationId}"
 
 
 def durable_table(df: DataFrame) -> DataFrame:
     """Write df once and read it back: later steps see fixed rows and survive lost executors."""
-    path = f"{shared_folder(df).rstrip('/')}/paneldrift-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, list[Row] | None]:
-    """Fetch a dimension when it has at most max_rows rows (default SMALL_ROWS).
-
-    Returns a broadcast-hinted local frame and its rows, or df unchanged and None when it
-    is larger, so that the caller can take a distributed way.
-    """
-    limit = SMALL_ROWS if max_rows is None else max_rows
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df, None
-    local = df.sparkSession.createDataFrame(rows, df.schema)
-    return F.broadcast(local), rows
+def release_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; frames that read them are void then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_on(
@@ -61,9 +59,12 @@ def join_on(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    null_safe: bool = True,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join that keeps one copy of the keys; NULL keys match each other by default."""
+    """Equi-join that keeps one copy of the keys.
+
+    Plain equality lets a side that is already partitioned by the keys stay where it is. With
+    ``null_safe`` NULL keys match each other, for keys that can be NULL."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = None
     for k in keys:
@@ -79,76 +80,59 @@ def join_on(
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def heavy_keys(counts: DataFrame, keys: Sequence[str], n: str, parts: int = HEAVY_PARTS) -> DataFrame:
-    """Keys that hold more than 1/parts of all rows: fewer than ``parts`` rows by construction."""
-    total = counts.agg(F.sum(n).alias("total")).scalar()
-    return counts.where(F.col(n) * parts > total).select(*keys)
+def heavy_keys(counts: DataFrame, n: str, rows_per_task: int) -> DataFrame:
+    """Keys with more rows than a task should read: at most 1/rows_per_task of all rows."""
+    return counts.where(F.col(n) > rows_per_task)
 
 
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    how: str = "inner",
-    null_safe: bool = True,
-    counts: DataFrame | None = None,
-    salts: int = SALTS,
-    parts: int = HEAVY_PARTS,
+    counts: DataFrame,
+    right_counts: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Inner or left equi-join whose hot left keys are spread over ``salts`` partitions.
+    """Inner equi-join whose hot keys are spread over a grid of tasks.
 
-    Keys holding more than 1/parts of the left rows are looked up first: fewer than ``parts``
-    rows by construction. Only they are salted, and only their right rows are repeated; without
-    any this is a plain join. ``counts`` may pass an aggregation (keys, n) that is cheaper to get
-    than counting the left rows.
+    ``counts`` (keys, n) are the rows per key of the left side, ``right_counts`` of the right. A
+    key with more than ``rows_per_task`` rows on a side is cut into as many parts of that side as
+    keep each below it; the other side's rows of the key go to every part. Without such a key
+    this is a plain join. NULL keys match nothing.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("skew_join supports inner and left joins")
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    found = heavy_keys(counts, keys, "n", parts)
-    rows = found.collect()
-    if not null_safe:
-        rows = [r for r in rows if None not in r]
-    if not rows:
-        return join_on(left, right, keys, how, null_safe)
-    hot = F.broadcast(
-        left.sparkSession.createDataFrame(rows, found.schema).withColumn("_hot", F.lit(True))
-    )
-    spread = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
-    salted = join_on(left.withColumn("_spread", spread), hot, keys, "left", null_safe).withColumn(
-        "_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = join_on(right, hot, keys, "left", null_safe).withColumn("_salt", F.explode(copies))
-    joined = join_on(
-        salted.drop("_hot", "_spread"), repeated.drop("_hot"), [*keys, "_salt"], how, null_safe
-    )
-    return joined.drop("_salt")
-
-
-def lookup_join(
-    df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = True
-) -> DataFrame:
-    """Join a lookup table that is usually small: broadcast when its checked row count allows it,
-    else an equi-join with salted hot keys."""
-    checked, rows = small_side(lookup)
-    if rows is not None:
-        return join_on(df, checked, keys, how, null_safe)
-    return skew_join(df, lookup, keys, how, null_safe)
+    hot = heavy_keys(counts, "n", rows_per_task).select(*keys, F.col("n").alias("_nl"))
+    if right_counts is not None:
+        other = heavy_keys(right_counts, "n", rows_per_task).select(*keys, F.col("n").alias("_nr"))
+        hot = hot.join(other, list(keys), "full")
+    else:
+        hot = hot.withColumn("_nr", F.lit(None).cast("bigint"))
+    parts = {
+        side: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / rows_per_task), F.lit(1)).cast("int")
+        for side, n in (("_pl", F.col("_nl")), ("_pr", F.col("_nr")))
+    }
+    hot = durable_table(hot.select(*keys, *[c.alias(k) for k, c in parts.items()]))
+    if hot.isEmpty():
+        return join_on(left, right, keys)
+
+    def spread(df: DataFrame, own: str, others: str, mine: str, theirs: str) -> DataFrame:
+        one = join_on(df, hot, keys, "left")
+        slot = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.coalesce(own, F.lit(1)))
+        copies = F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)
+        return one.withColumn(mine, slot.cast("int")).withColumn(theirs, F.explode(copies)).drop("_pl", "_pr")
+
+    return join_on(
+        spread(left, "_pl", "_pr", "_sl", "_sr"), spread(right, "_pr", "_pl", "_sr", "_sl"), [*keys, "_sl", "_sr"]
+    ).drop("_sl", "_sr")
 
 
 def left_join_many(dim: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
     """dim left join many, for a ``many`` side that may hold a hot key.
 
-    Matches are found from the many side, where hot keys can be salted; dim rows without a
-    match are added with NULLs.
+    Matches are found from the many side, whose hot keys an inner join can split at run time;
+    dim rows without a match are added with NULLs.
     """
-    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    matched = skew_join(many, dim, keys, "inner", counts=counts)
-    unmatched = join_on(dim, counts.select(*keys), keys, "left_anti")
+    matched = join_on(many, dim, keys, "inner")
+    unmatched = join_on(dim, many.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
@@ -158,8 +142,8 @@ def with_totals(
     """Attach per-group aggregates to every row of an aggregated table: aggregate with map-side
     combine, then join back.
 
-    Unlike a window over the group this never gathers a whole group in one task. For row-level
-    tables use ``lookup_join`` with the aggregates.
+    Unlike a window over the group this never gathers a whole group in one task. Rows with a
+    NULL key have no group and drop out.
     """
     agg = (df if pre is None else pre).groupBy(*by).agg(*[c.alias(k) for k, c in totals.items()])
     return join_on(df, agg, by, "inner")
@@ -209,14 +193,14 @@ def running_totals(
     )
     local = ranged.withColumns({k: F.sum(f"_w_{k}").over(within) for k in totals})
     running = (
-        join_on(local, F.broadcast(offsets), slice_keys, "left")
+        join_on(local, F.broadcast(offsets), slice_keys, "left", null_safe=True)
         .withColumns({k: F.col(k) + F.coalesce(f"_o_{k}", F.lit(0)) for k in totals})
         .drop("_slice", *weights, *[f"_o_{k}" for k in totals])
     )
     if not whole:
         return running
     final = sums.groupBy(*by).agg(*[F.sum(f"_w_{k}").alias(c) for k, c in whole.items()])
-    return lookup_join(running, final, by)
+    return join_on(running, final, by, "left", null_safe=True)
 
 
 def numbered(
@@ -235,7 +219,7 @@ def carry_forward(df: DataFrame, column: str, order: Sequence[Column]) -> DataFr
         "_segment", F.col(column).alias("_head")
     )
     return (
-        lookup_join(segmented, heads, ["_segment"])
+        join_on(segmented, heads, ["_segment"], "left")
         .withColumn(column, F.coalesce(column, "_head"))
         .drop("_segment", "_head")
     )
@@ -244,13 +228,31 @@ def carry_forward(df: DataFrame, column: str, order: Sequence[Column]) -> DataFr
 def ordered_gaps(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], column: str, name: str = "gap"
 ) -> DataFrame:
-    """Row number in the group and the difference to the row before it, for groups of any size."""
-    rows = numbered(df, by, order)
-    before = rows.select(
-        *by, (F.col("rn") + 1).alias("rn"), F.col(column).alias("_before")
+    """Row number in the group and the difference to the row before it, for groups of any size.
+
+    The row before lies in the same slice of the ordered rows, but for the first row of a slice;
+    for that, the last value of each (group, slice) is carried over, one row per slice.
+    """
+    ranged = durable_table(
+        df.repartitionByRange(*[F.col(b).asc_nulls_first() for b in by], *order).withColumn(
+            "_slice", F.spark_partition_id()
+        )
     )
+    keys = [*by, "_slice"]
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    local = ranged.withColumns(
+        {"_rn": F.row_number().over(inside), "_lag": F.lag(column).over(inside), "_last": F.lead(F.lit(1)).over(inside)}
+    )
+    ends = local.where(F.col("_last").isNull()).select(*keys, F.col("_rn").alias("_n"), F.col(column).alias("_end"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice")
+    offsets = ends.select(
+        *keys,
+        F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.lag("_end").over(earlier).alias("_carried"),
+    ).where(F.col("_before").isNotNull())
     return (
-        join_on(rows, before, [*by, "rn"], "left")
-        .withColumn(name, F.col(column) - F.col("_before"))
-        .drop("_before")
+        join_on(local, F.broadcast(offsets), keys, "left", null_safe=True)
+        .withColumn(name, F.col(column) - F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_lag")))
+        .withColumn("rn", (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("bigint"))
+        .drop("_slice", "_rn", "_lag", "_last", "_before", "_carried")
     )

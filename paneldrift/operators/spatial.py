@@ -72,8 +72,8 @@ def spatial_join(
 ) -> DataFrame:
     """(a_id, b_id) of all polygons that share a point, touching included.
 
-    Both layers are bucketed by tiles and joined on the tile, tiles with many polygons of
-    layer a being salted. Tiles come in levels of doubling size (smallest side ``tile``,
+    Both layers are bucketed by tiles and joined on the tile, tiles with very many polygons of
+    either layer being split. Tiles come in levels of doubling size (smallest side ``tile``,
     default from layer b), and a pair meets on the coarser of its two levels, so neither large
     nor small polygons make many rows. A pair is kept only in the tile that holds the lower
     left corner of the two boxes' overlap, so nothing has to be de-duplicated afterwards;
@@ -85,18 +85,19 @@ def spatial_join(
     left = _tiled(one, "a", levels_b, tile)
     right = _tiled(two, "b", levels_a, tile)
     keys = ["level", "tx", "ty"]
-    counts = (
-        _tiled(one.select("a_box", "a_level"), "a", levels_b, tile)
+    per_tile = [
+        _tiled(prepared.select(f"{side}_box", f"{side}_level"), side, others, tile)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
-    )
+        for prepared, side, others in ((one, "a", levels_b), (two, "b", levels_a))
+    ]
     side = f"({tile!r}D * pow(2D, level))"
     owner = F.expr(
         "level = greatest(a_level, b_level) AND "
         f"tx = floor(greatest(a_box.x1, b_box.x1) / {side}) AND "
         f"ty = floor(greatest(a_box.y1, b_box.y1) / {side})"
     )
-    candidates = skew_join(left, right, keys, null_safe=False, counts=counts).where(
+    candidates = skew_join(left, right, keys, *per_tile).where(
         boxes_overlap("a_box", "b_box") & owner
     )
     exact = polygons_intersect("a_rings", "a_box", "b_rings", "b_box")
@@ -112,8 +113,10 @@ def assign_area(
     area_id: str = "id",
     tile: float | None = None,
     out: str = "area",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Each unit gets the last intersecting area in layer order, '' when there is none."""
+    """Each unit gets the last intersecting area in layer order, '' when there is none; ``keep``
+    names further columns of the units to return."""
     pairs = spatial_join(units, areas, tile, unit_id, area_id)
     labels = areas.select(F.col(area_id).alias("b_id"), name, order)
     last = (
@@ -121,7 +124,7 @@ def assign_area(
         .groupBy(F.col("a_id").alias(unit_id))
         .agg(F.max_by(name, order).alias(out))
     )
-    return join_on(units.select(unit_id), last, [unit_id], "left", null_safe=False).withColumn(
+    return join_on(units.select(unit_id, *keep), last, [unit_id], "left", null_safe=False).withColumn(
         out, F.coalesce(out, F.lit(""))
     )
 

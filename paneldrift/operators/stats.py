@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import equal_width_bin
 from ..functions.values import weighted_avg
-from .scale import durable_table, join_on, lookup_join, running_totals
+from .scale import durable_table, join_on, running_totals
 
 
 def weighted_means(
@@ -65,11 +65,12 @@ def quartiles(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
 
 def six_numbers(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Minimum, quartiles, median, mean and maximum per group."""
+    df = durable_table(df)
     q = quantiles(df, by, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     ends = df.groupBy(*by).agg(
         F.min(column).alias("lowest"), F.avg(column).alias("mean"), F.max(column).alias("highest")
     )
-    return join_on(ends, q, by, "left")
+    return join_on(ends, q, by, "left", null_safe=True)
 
 
 def outliers(
@@ -80,19 +81,21 @@ def outliers(
     fence: float = 1.5,
 ) -> DataFrame:
     """Rows above a fixed threshold, or above q3 + fence * iqr, with their group's quartiles."""
-    rows = lookup_join(df, quartiles(df, by, column), by)
+    df = durable_table(df)
+    rows = join_on(df, quartiles(df, by, column), by, "left", null_safe=True)
     limit = F.lit(above) if above is not None else F.col("q3") + fence * F.col("iqr")
     return rows.where(F.col(column) > limit)
 
 
 def boxplot(df: DataFrame, by: Sequence[str], column: str, fence: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (furthest values inside the fences) and number of outliers per group."""
+    df = durable_table(df.where(F.col(column).isNotNull()))
     q = quantiles(df, by, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = fence * (F.col("q3") - F.col("q1"))
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)
     stats = ["q1", "median", "q3"]
     return (
-        lookup_join(df.where(F.col(column).isNotNull()), q, by)
+        join_on(df, q, by, "left", null_safe=True)
         .groupBy(*by)
         .agg(
             *[F.any_value(s).alias(s) for s in stats],
@@ -227,5 +230,5 @@ def model_table(
 
     joined = changes
     for other in (layer, profile, levels):
-        joined = join_on(joined, other, [area], "left")
+        joined = join_on(joined, other, [area], "left", null_safe=True)
     return row_shares(joined, list(housing))

@@ -91,12 +91,13 @@ def part_panel(t: Tables) -> DataFrame:
     return as_panel(sums.join(kinds, "unit"), "unit", "group", "yr", "value")
 
 
-def part_layer(t: Tables) -> DataFrame:
-    """One rectangle per part on a strip 700 wide that grows with the number of parts."""
+def part_layer(t: Tables, *more: Column) -> DataFrame:
+    """One rectangle per part on a strip 700 wide that grows with the number of parts, with
+    ``more`` columns of the part."""
     box = rectangle(
         "p_partkey % 100 * 7", "floor(p_partkey / 100) * 5", "p_size % 6 + 1", "p_size % 4 + 1"
     )
-    return t.part.select(F.col("p_partkey").alias("id"), box.alias("rings"))
+    return t.part.select(F.col("p_partkey").alias("id"), box.alias("rings"), *more)
 
 
 def supplier_layer(t: Tables) -> DataFrame:

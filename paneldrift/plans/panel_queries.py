@@ -12,7 +12,7 @@ from ..operators.dictionary import clean_bridge, mean_coordinates
 from ..operators.reshape import category_order as ordered_categories
 from ..operators.scale import join_on
 from ..operators.areas import area_changes, area_levels as levels_by_area, rank_areas
-from ..functions.values import strict_sum
+from ..functions.values import strict_avg, strict_sum
 from . import sql as S
 from .bindings import (
     Tables,
@@ -58,13 +58,11 @@ def strict_sum_null(t: Tables) -> DataFrame:
          round(avg(lat), 6) AS lat_known, round(avg(lon), 6) AS lon_known FROM bridge GROUP BY 1"""
 )
 def centroid_mean(t: Tables) -> DataFrame:
-    bridge = clean_bridge(order_bridge(t))
-    strict = mean_coordinates(bridge, "unit", ["lat", "lon"])
-    known = mean_coordinates(bridge, "unit", ["lat", "lon"], skip_missing=True)
-    both = join_on(
-        strict, known.withColumnsRenamed({"lat": "lat_known", "lon": "lon_known"}), ["unit"]
+    means = clean_bridge(order_bridge(t)).groupBy("unit").agg(
+        *[strict_avg(c).alias(c) for c in ("lat", "lon")],
+        *[F.avg(c).alias(f"{c}_known") for c in ("lat", "lon")],
     )
-    return rounded(both, "lat", "lon", "lat_known", "lon_known")
+    return rounded(means, "lat", "lon", "lat_known", "lon_known")
 
 
 @query(
@@ -383,14 +381,18 @@ def net_by_area_period(t: Tables) -> DataFrame:
 
 
 @query(
-    S.with_(*CLASSIFIED)
-    + """SELECT area_lump, tot, row_number() OVER (ORDER BY tot DESC, area_lump)::BIGINT AS ord
-         FROM (SELECT area_lump, sum(CASE WHEN tt IS NOT NULL THEN d_m ELSE 0 END)::BIGINT AS tot
-               FROM class_area GROUP BY 1)"""
+    S.with_(S.PN, *S.NEXT, S.CLASSES, S.DICT)
+    + """SELECT segment, tot, row_number() OVER (ORDER BY tot DESC, segment)::BIGINT AS ord
+         FROM (SELECT segment, max(tot)::BIGINT AS tot
+               FROM (SELECT "group", segment, sum(CASE WHEN tt IS NOT NULL THEN d_m ELSE 0 END) AS tot
+                     FROM classes LEFT JOIN dict USING (unit) GROUP BY 1, 2) GROUP BY 1)"""
 )
 def category_order(t: Tables) -> DataFrame:
-    net = C.net_by(_classified(t), ["group", "area_lump"])
-    return ordered_categories(net, "area_lump", "d_m")
+    """Segments occur in every group: each is ordered by its largest total of a group."""
+    classified = C.change_class(P.pair_values(stored(order_panel_null(t)), by_unit_only=True))
+    segments = customer_dictionary(t).select("unit", "segment")
+    net = C.net_by(join_on(classified, segments, ["unit"], "left"), ["group", "segment"])
+    return ordered_categories(net, "segment", "d_m", within=["group"])
 
 
 def _net_by_area(t: Tables) -> DataFrame:
@@ -426,25 +428,28 @@ def ranked_areas(t: Tables) -> DataFrame:
     return rank_areas(P.pair_values(stored(order_panel_null(t))), customer_dictionary(t))
 
 
-def _urgent(t: Tables) -> DataFrame:
-    """Panel of pending urgent orders: many customers have none."""
-    return order_panel(t, where=F.expr("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"))
+def _wide_dictionary(t: Tables) -> DataFrame:
+    """The dictionary with one more unit, without orders, for each nation."""
+    more = t.nation.select(
+        (-1 - F.col("n_nationkey")).cast("bigint").alias("unit"), F.concat("n_name", F.lit(" (new)")).alias("area")
+    )
+    return customer_dictionary(t).unionByName(more, allowMissingColumns=True)
 
 
 @query(
-    S.with_(S.URGENT, *S.NEXT, S.CLASSES, S.DICT, S.PER_UNIT_NET, S.AREA_CHANGES)
+    S.with_(S.P, *S.NEXT, S.CLASSES, S.DICT_WIDE, S.PER_UNIT_NET, S.AREA_CHANGES)
     + "SELECT * FROM area_changes"
 )
 def right_join_keep_dict(t: Tables) -> DataFrame:
-    classified = C.change_class(P.pair_values(stored(_urgent(t))))
-    return area_changes(classified, customer_dictionary(t))
+    classified = C.change_class(P.pair_values(stored(order_panel(t))))
+    return area_changes(classified, _wide_dictionary(t))
 
 
 @query(
-    S.with_(S.URGENT, *S.NEXT, S.DICT, S.AREA_LEVELS) + "SELECT * FROM area_levels"
+    S.with_(S.P, *S.NEXT, S.DICT_WIDE, S.AREA_LEVELS) + "SELECT * FROM area_levels"
 )
 def area_levels(t: Tables) -> DataFrame:
-    return levels_by_area(P.pair_values(stored(_urgent(t))), customer_dictionary(t))
+    return levels_by_area(P.pair_values(stored(order_panel(t))), _wide_dictionary(t))
 
 
 GRID = """grid AS (SELECT "group", unit, yr, value

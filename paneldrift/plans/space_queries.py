@@ -6,7 +6,7 @@ and the areas' change is modelled on size, price and line-type shares.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point, polygon_area as area_of, polygon_centroid as centroid_of
@@ -34,14 +34,14 @@ TILE = 35.0
 PROFILE = ["singd", "semd", "row", "income", "apt"]
 
 
-def _holed(t: Tables) -> DataFrame:
+def _holed() -> Column:
     """Part rectangles grown by one on every side, with the rectangle itself as a hole."""
     outer = F.col("rings")
     ring = F.get(outer, F.lit(0))
     lo, hi = F.get(ring, F.lit(0)), F.get(ring, F.lit(2))
     x1, y1, x2, y2 = lo["x"] - 1, lo["y"] - 1, hi["x"] + 1, hi["y"] + 1
     frame = F.array(point(x1, y1), point(x2, y1), point(x2, y2), point(x1, y2))
-    return part_layer(t).select("id", F.array(frame, ring).alias("rings"))
+    return F.array(frame, ring)
 
 
 @query(
@@ -53,13 +53,12 @@ def _holed(t: Tables) -> DataFrame:
 )
 def polygon_area(t: Tables) -> DataFrame:
     lonlat = "transform(rings, r -> transform(r, p -> named_struct('x', p.x / 100, 'y', p.y / 100)))"
-    plain = part_layer(t).select(
+    return part_layer(t, _holed().alias("frame")).select(
         "id",
         area_of("rings").alias("area"),
         F.round(area_of(lonlat, "spherical"), 4).alias("km2"),
+        area_of("frame").alias("frame_area"),
     )
-    frames = _holed(t).select("id", area_of("rings").alias("frame_area"))
-    return join_on(plain, frames, ["id"], null_safe=False)
 
 
 @query(
@@ -77,8 +76,7 @@ def polygon_centroid(t: Tables) -> DataFrame:
          FROM parts JOIN part ON id = p_partkey GROUP BY 1"""
 )
 def layer_bbox(t: Tables) -> DataFrame:
-    kinds = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"))
-    return X.layer_bbox(join_on(part_layer(t), kinds, ["id"], null_safe=False), ["kind"])
+    return X.layer_bbox(part_layer(t, F.col("p_type").alias("kind")), ["kind"])
 
 
 @query(S.with_(S.PARTS, S.SUPPLIERS, S.HITS) + "SELECT a_id, b_id FROM hits")
@@ -88,11 +86,9 @@ def spatial_intersects(t: Tables) -> DataFrame:
 
 def _unit_areas(t: Tables) -> DataFrame:
     """unit, parent (brand), area ('' when outside all areas)."""
-    brands = t.part.select(F.col("p_partkey").alias("unit"), F.col("p_brand").alias("parent"))
-    assigned = X.assign_area(part_layer(t), supplier_layer(t), tile=TILE)
-    return join_on(
-        brands, assigned.withColumnRenamed("id", "unit"), ["unit"], null_safe=False
-    )
+    parts = part_layer(t, F.col("p_brand").alias("parent"))
+    assigned = X.assign_area(parts, supplier_layer(t), tile=TILE, keep=["parent"])
+    return assigned.withColumnRenamed("id", "unit")
 
 
 @query(S.with_(*S.SPACE) + "SELECT unit, parent, area FROM dict")
@@ -226,7 +222,8 @@ def _model_table(t: Tables) -> DataFrame:
     layer = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))
     pv = durable_table(pair_values(stored(part_panel(t))))
     levels = A.area_levels(pv, areas)
-    last = levels.where(F.col("y2") == 2001).select("area", F.col("m2").alias("level"))
+    latest = levels.agg(F.max("y2").alias("y")).scalar()
+    last = levels.where(F.col("y2") == latest).select("area", F.col("m2").alias("level"))
     return M.model_table(_rolled(t, areas, pv), layer, _area_profile(t, areas), last, "area")
 
 
@@ -249,12 +246,6 @@ def _fitted(t: Tables) -> DataFrame:
     return M.ols_table(M.growth_regression(table, "y"), M.MODEL_TERMS, table)
 
 
-@query()
-def ols_coefficients(t: Tables) -> DataFrame:
-    """Regression of area change (thousands) on standardised size, income and shares."""
-    return _fitted(t)
-
-
 def _estimates_sql() -> str:
     """Least squares by orthogonalising the terms one after the other and substituting back."""
 
@@ -287,15 +278,38 @@ def _estimates_sql() -> str:
         "b4 AS (SELECT *, v_4 AS e4, v_3 - c4_3 * v_4 AS e3 FROM k)",
         "b2 AS (SELECT *, v_2 - c3_2 * e3 - c4_2 * e4 AS e2 FROM b4)",
         "b AS (SELECT *, v_1 - c2_1 * e2 - c3_1 * e3 - c4_1 * e4 AS e1 FROM b2)",
+        # rows of the inverse of the unit triangular matrix that turns u into c
+        "w AS (SELECT *, -c2_1 AS w12, -c3_2 AS w23, -c4_3 AS w34, c2_1 * c3_2 - c3_1 AS w13, "
+        "c3_2 * c4_3 - c4_2 AS w24, c2_1 * c4_2 + c3_1 * c4_3 - c4_1 - c2_1 * c3_2 * c4_3 AS w14, "
+        "(v_1 ** 2 * s1 + v_2 ** 2 * s2 + v_3 ** 2 * s3 + v_4 ** 2 * s4) AS explained FROM b)",
+        "h AS (SELECT *, (syy - explained) / (n - 5) AS s2e, m1 AS h1, m2 + w12 * m1 AS h2, m3 + w13 * m1 + w23 * m2 AS h3, "
+        "m4 + w14 * m1 + w24 * m2 + w34 * m3 AS h4 FROM w)",
         """terms AS (SELECT unnest(['area', 'income', 'singd_semd', 'row_apt', '(Intercept)']) AS term,
-            unnest([e1, e2, e3, e4, my - e1 * m1 - e2 * m2 - e3 * m3 - e4 * m4]) AS estimate, n,
-            (v_1 ** 2 * s1 + v_2 ** 2 * s2 + v_3 ** 2 * s3 + v_4 ** 2 * s4) / syy AS r2 FROM b)""",
+            unnest([e1, e2, e3, e4, my - e1 * m1 - e2 * m2 - e3 * m3 - e4 * m4]) AS estimate,
+            unnest([sqrt(s2e * (1 / s1 + w12 ** 2 / s2 + w13 ** 2 / s3 + w14 ** 2 / s4)),
+                    sqrt(s2e * (1 / s2 + w23 ** 2 / s3 + w24 ** 2 / s4)), sqrt(s2e * (1 / s3 + w34 ** 2 / s4)),
+                    sqrt(s2e / s4), sqrt(s2e * (1.0 / n + h1 ** 2 / s1 + h2 ** 2 / s2 + h3 ** 2 / s3 + h4 ** 2 / s4))]) AS std_error,
+            n, explained / syy AS r2 FROM h)""",
     ]
-    chain = S.with_(*S.SPACE_CHAIN, S.PROFILE, S.AREA_PROFILE, S.MODEL, *ctes)
-    return chain + "SELECT term, round(estimate, 6) AS estimate, n, round(r2, 6) AS r2 FROM terms"
+    return S.with_(*S.SPACE_CHAIN, S.PROFILE, S.AREA_PROFILE, S.MODEL, *ctes)
+
+
+@query(
+    _estimates_sql()
+    + """SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+         round(estimate / std_error, 6) AS t_value, n, round(r2, 6) AS r2,
+         round(1 - (1 - r2) * (n - 1) / (n - 5), 6) AS r2_adj FROM terms"""
+)
+def ols_coefficients(t: Tables) -> DataFrame:
+    """Regression of area change (thousands) on standardised size, income and shares.
+
+    ``ols_table`` also gives p values and confidence limits, which need a t distribution."""
+    table = _fitted(t).withColumn("t_value", F.col("estimate") / F.col("std_error"))
+    columns = ["term", "estimate", "std_error", "t_value", "n", "r2", "r2_adj"]
+    return rounded(table.select(*columns), "estimate", "std_error", "t_value", "r2", "r2_adj")
 
 
-@query(_estimates_sql())
+@query(_estimates_sql() + "SELECT term, round(estimate, 6) AS estimate, n, round(r2, 6) AS r2 FROM terms")
 def ols_estimates(t: Tables) -> DataFrame:
     """Estimates and fit of the same regression."""
     return rounded(_fitted(t).select("term", "estimate", "n", "r2"), "estimate", "r2")

@@ -19,7 +19,6 @@ def order_panel(value: str = "count(*)", where: str = "TRUE", name: str = "P") -
 P = order_panel()
 PN = order_panel("nullif(count(*), 5)")
 PZ = order_panel("count(*) - 1")
-URGENT = order_panel(where="o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
 
 L = """P AS (
   SELECT p_type AS "group", l_partkey AS unit, year(l_shipdate)::INTEGER AS yr,
@@ -31,6 +30,12 @@ DICT = """dict AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey)"""
 
+DICT_WIDE = """dict AS (
+  SELECT c_custkey AS unit, n_name AS area, c_mktsegment AS segment, r_name AS region
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT -1 - n_nationkey, n_name || ' (new)', NULL, NULL FROM nation)"""
+
 PAIRS_NEXT = """pairs AS (
   SELECT y1, y2 FROM (SELECT yr AS y1, lead(yr) OVER (ORDER BY yr) AS y2
                       FROM (SELECT DISTINCT yr FROM P)) WHERE y2 IS NOT NULL)"""
@@ -159,4 +164,4 @@ MODEL = """model AS (
   FROM (SELECT *, singd + semd + "row" + apt AS t FROM rolled
         LEFT JOIN (SELECT name AS area, w, h FROM suppliers) USING (area)
         LEFT JOIN area_profile USING (area)
-        LEFT JOIN (SELECT area, m2 FROM area_levels WHERE y2 = 2001) USING (area)))"""
+        LEFT JOIN (SELECT area, m2 FROM area_levels WHERE y2 = (SELECT max(yr) FROM P)) USING (area)))"""

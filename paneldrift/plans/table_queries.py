@@ -55,9 +55,10 @@ def transposed_files(t: Tables) -> DataFrame:
     head = F.when(main, F.array(year_cell, F.concat(F.col("group"), F.lit(" CMA")))).otherwise(
         F.array(year_cell)
     )
+    # the label is quoted in main files and blank in those that continue them
     label = F.when(
         main, F.array(F.lit('"Population, all"'), F.col("total").cast("string"))
-    ).otherwise(F.array(F.lit('"Population, all"')))
+    ).otherwise(F.array(F.lit("")))
     name = F.concat(
         "group", F.lit("_"), F.lpad(F.col("chunk").cast("string"), 10, "0"),
         F.when(main, ".csv").otherwise("_v2.csv"),
@@ -287,6 +288,12 @@ def pivot_labels(t: Tables) -> DataFrame:
 YEARS = list(range(1995, 2002))
 
 
+def known_years(p: DataFrame) -> DataFrame:
+    """The panel; a year without a column in the pivot raises an error instead of being dropped."""
+    other = F.raise_error(F.concat(F.lit("no column for year "), F.col("yr").cast("string")))
+    return p.withColumn("yr", F.when(F.col("yr").isin(YEARS), F.col("yr")).otherwise(other))
+
+
 @query(
     S.with_(S.L)
     + 'SELECT "group", unit, '
@@ -294,7 +301,7 @@ YEARS = list(range(1995, 2002))
     + " FROM P GROUP BY 1, 2"
 )
 def pivot_years(t: Tables) -> DataFrame:
-    return R.pivot_values(part_panel(t), ["group", "unit"], "yr", "value", YEARS, prefix="y")
+    return R.pivot_values(known_years(part_panel(t)), ["group", "unit"], "yr", "value", YEARS, prefix="y")
 
 
 @query(

@@ -15,7 +15,7 @@ from ..operators.scale import carry_forward, join_on
 # File conventions of the sources.
 YEAR_FOLDER = "^[0-9]"
 CONTINUATION_MARK = "v2"
-CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+CELL = r',("(?:[^"]|"")*"|[^,]*)'
 
 
 def year_files(spark: SparkSession, root: str) -> DataFrame:
@@ -34,7 +34,8 @@ def year_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _cells(line: Column) -> Column:
     """Cells of one CSV line; quoted cells lose their quotes."""
-    raw = F.regexp_extract_all(line, F.lit(CELL), F.lit(1))
+    # with a comma in front every cell begins with one, a blank first cell too
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
     return F.transform(
         raw,
         lambda c: F.trim(
@@ -137,7 +138,7 @@ def read_long_panel(
 ) -> tuple[DataFrame, DataFrame]:
     """Panel and aggregate rows of a two-column CSV; further columns are not read."""
     rows = spark.read.schema("geo string, pop string").csv(
-        path, header=True, enforceSchema=True, mode="PERMISSIVE"
+        path, header=True, enforceSchema=True, mode="PERMISSIVE", escape='"'
     )
     return parse_long(rows, year, prefix_groups, other_group)
 

@@ -42,7 +42,7 @@ def read_csv(
     spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """CSV with an explicit schema; only ``columns`` are parsed when given."""
-    df = spark.read.schema(schema).csv(path, header=True)
+    df = spark.read.schema(schema).csv(path, header=True, escape='"')
     return df.select(*columns) if columns else df
 
 
@@ -55,18 +55,24 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     types = ", ".join(
         f"`{k}` {'bigint' if v == 'unit' else 'string'}" for k, v in DICTIONARY_COLUMNS.items()
     )
-    df = spark.read.schema(types).csv(path, header=True, enforceSchema=False)
+    df = spark.read.schema(types).csv(path, header=True, enforceSchema=False, escape='"')
     return rename_columns(df, DICTIONARY_COLUMNS).select("unit", "cma", "csd", "ccsd", "cd")
 
 
 def read_profile(
-    spark: SparkSession, path: str, units: DataFrame, terms: Mapping[str, str] | None = None
+    spark: SparkSession,
+    path: str,
+    units: DataFrame,
+    terms: Mapping[str, str] | None = None,
+    sums: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """One row per wanted unit from a large long profile, read as one distributed scan."""
+    """One row per wanted unit from a large long profile, read as one distributed scan.
+
+    ``sums`` adds up terms; its default belongs to the default terms."""
     schema = ", ".join(f"{c} string" for c in PROFILE_COLUMNS)
     long = (
         spark.read.schema(schema)
-        .csv(path, header=True, enforceSchema=True)
+        .csv(path, header=True, enforceSchema=True, escape='"')
         .select(
             F.col("year").try_cast("int").alias("year"),
             F.col("geo1").try_cast("bigint").alias("unit"),
@@ -74,7 +80,9 @@ def read_profile(
             F.col("total").alias("value"),
         )
     )
-    return profile_wide(long, terms or PROFILE_TERMS, units, PROFILE_SUMS, ids=["year", "unit"])
+    if sums is None:
+        sums = PROFILE_SUMS if terms is None else {}
+    return profile_wide(long, terms or PROFILE_TERMS, units, sums, ids=["year", "unit"])
 
 
 def read_polygons(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -119,7 +127,7 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
 
 

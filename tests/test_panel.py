@@ -176,12 +176,8 @@ IRREGULAR = [
 
 
 @pytest.mark.parametrize("mode", ["all", "consecutive"])
-@pytest.mark.parametrize("limit", [50_000, 2])
-def test_pairs_of_groups_with_gaps(spark, mode, limit, monkeypatch):
-    """Groups lacking periods follow the definition, with and without a broadcast calendar."""
-    from paneldrift.operators import scale
-
-    monkeypatch.setattr(scale, "SMALL_ROWS", limit)
+def test_pairs_of_groups_with_gaps(spark, mode):
+    """Groups lacking periods follow the definition."""
     p = spark.createDataFrame(IRREGULAR, "group string, unit bigint, yr int, value bigint")
     got = rows(P.pair_values(p, mode), "group", "unit", "y1", "y2", "m1", "m2")
     assert got == brute_pairs(IRREGULAR, mode)

@@ -21,41 +21,38 @@ def hot(spark):
     return spark.createDataFrame(data, "k string, v int")
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("null_safe", [True, False])
-def test_skew_join_equals_plain_join(spark, hot, how, null_safe):
+def counted(df, key="k"):
+    return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
+@pytest.mark.parametrize("limit", [10, 100, 10_000])
+def test_skew_join_equals_plain_join(spark, hot, limit):
     right = spark.createDataFrame(
         [("hot", 1), ("hot", 2), ("k3", 3), (None, 4), ("other", 5)], "k string, w int"
     )
-    plain = S.join_on(hot, right, ["k"], how, null_safe)
-    salted = S.skew_join(hot, right, ["k"], how, null_safe)
+    plain = S.join_on(hot, right, ["k"])
+    salted = S.skew_join(hot, right, ["k"], counted(hot), counted(right), limit)
     assert rows(salted, "k", "v", "w") == rows(plain, "k", "v", "w")
+    turned = S.skew_join(right, hot, ["k"], counted(right), counted(hot), limit)
+    assert rows(turned, "k", "v", "w") == rows(plain, "k", "v", "w")
 
 
-def test_heavy_keys_are_bounded(hot):
-    counts = hot.groupBy("k").agg(F.count("*").alias("n"))
-    assert rows(S.heavy_keys(counts, ["k"], "n", 4)) == [("hot",)]
-    assert S.heavy_keys(counts, ["k"], "n", 64).count() < 64
+def spread_of(joined):
+    """Rows of the largest salted group and how many groups there are."""
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    return "_sl" in text
 
 
-def test_hot_key_is_spread(spark, hot):
-    """The salted side of a hot key really takes several salts."""
-    right = spark.createDataFrame([("hot", 1)], "k string, w int")
-    plan = S.skew_join(hot.withColumn("id", F.monotonically_increasing_id()), right, ["k"])
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in text and plan.count() == 500
-    cold = hot.where("k <> 'hot'")
-    plain = S.skew_join(cold, right, ["k"], parts=4)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" not in plain
-
-
-@pytest.mark.parametrize("limit", [50_000, 1])
-def test_lookup_join_small_or_not(spark, hot, limit, monkeypatch):
-    monkeypatch.setattr(S, "SMALL_ROWS", limit)
-    right = spark.createDataFrame([("hot", 1), ("k3", 3), (None, 4)], "k string, w int")
-    assert rows(S.lookup_join(hot, right, ["k"]), "k", "v", "w") == rows(
-        S.join_on(hot, right, ["k"], "left"), "k", "v", "w"
-    )
+def test_keys_above_the_rows_of_a_task_are_split(spark):
+    right = spark.range(80).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    even = spark.range(7000).select((F.col("id") % 70).alias("k"), "id")
+    assert spread_of(S.skew_join(even, right, ["k"], counted(even), counted(right), 50))
+    assert not spread_of(S.skew_join(even, right, ["k"], counted(even), counted(right), 100))
+    one = spark.range(1000).select(F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("k"), "id")
+    assert spread_of(S.skew_join(one, right, ["k"], counted(one), counted(right), 100))
+    other = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("w"))
+    crowded = S.skew_join(right.select("k"), other, ["k"], counted(right), counted(other), 100)
+    assert spread_of(crowded) and crowded.count() == 1000
 
 
 def test_left_join_many_keeps_unmatched(spark, hot):
@@ -107,6 +104,13 @@ def test_ordered_gaps(spark):
     ]
 
 
+def test_gaps_across_slices(spark):
+    df = spark.range(500).select((F.col("id") * F.col("id")).alias("x"), F.lit("one").alias("k"))
+    got = S.ordered_gaps(df.repartition(7), ["k"], [F.col("x").asc()], "x").orderBy("rn").collect()
+    assert [r["rn"] for r in got] == list(range(1, 501))
+    assert [r["gap"] for r in got] == [None, *[2 * i - 1 for i in range(1, 500)]]
+
+
 def test_top_k_sample_and_order(spark):
     df = spark.createDataFrame(
         [("x", "a", 5), ("x", "b", 9), ("x", "c", -1), ("x", "d", -7), ("x", "e", 0), ("x", "f", 9)],
@@ -116,6 +120,8 @@ def test_top_k_sample_and_order(spark):
     assert rows(top, "sign", "rank", "name") == [
         ("Gain", 1, "b"), ("Gain", 2, "f"), ("Loss", 1, "d"), ("Loss", 2, "c"),
     ]
+    shared = spark.createDataFrame([("g", "a", 60), ("h", "a", 60), ("g", "b", 100)], "g string, c string, d int")
+    assert [r["c"] for r in R.category_order(shared, "c", "d", within=["g"]).orderBy("ord").collect()] == ["b", "a"]
     ordered = R.category_order(df, "name", "d")
     assert [r["name"] for r in ordered.orderBy("ord").collect()] == ["b", "f", "a", "e", "c", "d"]
     units = spark.range(100).select((F.col("id") % 2).alias("g"), "id")
