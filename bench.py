@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
+from paneldrift.operators.scale import release_tables
 from paneldrift.plans import QUERIES
 
 HEADLINE = [
@@ -48,6 +50,7 @@ def session(cpus: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -82,6 +85,7 @@ def main() -> None:
             }
         )
     )
+    release_tables(spark)
     spark.stop()
 
 

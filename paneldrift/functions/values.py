@@ -70,8 +70,9 @@ def safe_int(c: ColumnLike) -> Column:
     """Text to whole number, exact up to 64 bits; a decimal or exponent loses its fraction; NULL for
     anything that is no number."""
     c = col(c).cast("string")
-    decimal = F.when(F.trim(c).rlike(DECIMAL), c.try_cast("double").try_cast("bigint"))
-    return F.coalesce(F.when(F.trim(c).rlike(WHOLE), c.try_cast("bigint")), decimal)
+    return F.when(F.trim(c).rlike(WHOLE), c.try_cast("bigint")).when(
+        F.trim(c).rlike(DECIMAL), c.try_cast("double").try_cast("bigint")
+    )
 
 
 def weighted_avg(x: ColumnLike, w: ColumnLike) -> Column:

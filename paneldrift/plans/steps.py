@@ -23,7 +23,7 @@ from ..operators import stats as M
 from ..operators.pairs import churn, jaccard, pair_values, presence
 from ..operators.scale import join_on
 from ..sources import panels as SP
-from ..sources.tables import PROFILE_TERMS, read_dictionary, read_profile, rename_columns, write_table
+from ..sources.tables import read_dictionary, read_profile, rename_columns, write_table
 
 PROFILE_MEANS = ["singd", "semd", "row", "income", "apt"]
 
@@ -71,11 +71,17 @@ def describe_units(
     known = join_on(
         dictionary, panel.select("unit").distinct(), ["unit"], "left_semi", null_safe=False
     )
+    named = D.clean_bridge(bridge).select("unit", F.col("csd").alias("csd_bridge"))
+    K.assert_empty(
+        K.disagreements(known, named, ["unit"], "csd", "csd_bridge"), "dictionary and bridge name different areas"
+    )
     linked = D.build_dictionary(known, bridge, cities, panel, core, min_count)
     profile = None
     for tag, path in profile_paths.items():
-        one = read_profile(spark, path, panel, terms or PROFILE_TERMS).withColumn("prov", F.lit(tag))
+        one = read_profile(spark, path, panel, terms).withColumn("prov", F.lit(tag))
         profile = one if profile is None else profile.unionByName(one)
+    if profile is not None:
+        K.assert_empty(K.duplicate_keys(profile, ["unit"]), "units with several profile rows")
     return _written(spark, out, {"dictionary": known, "bridge": linked, "profile": profile})
 
 

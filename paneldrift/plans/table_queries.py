@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..operators.classes import lump_rare as lump
 from ..operators.growth import first_last_change as ends_change
 from ..operators.profile import profile_wide
 from ..operators.profile import row_shares as shares_of_row
-from ..operators.scale import durable_table, join_on, ordered_gaps as gaps_in_order
+from ..operators.scale import durable_table, join_on, ordered_gaps as gaps_in_order, run_folder
 from ..sources.panels import parse_long, parse_transposed
 from . import sql as S
 from .bindings import (
@@ -29,6 +31,7 @@ from .bindings import (
     part_profile,
     postcode_cities,
 )
+from ..sources.tables import read_csv, write_table
 from .registry import query, rounded
 
 UNITS_PER_FILE = 1000
@@ -285,6 +288,22 @@ def pivot_labels(t: Tables) -> DataFrame:
     return R.pivot_values(lines, ["l_partkey"], "l_returnflag", "q", ["A", "N", "R"])
 
 
+@query(
+    """SELECT p_partkey AS unit, 'say "' || p_name || '", ' || p_brand AS label, p_size::INTEGER AS size,
+       CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type END AS kind FROM part"""
+)
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Parts with quotes and commas in a column and missing values, written as CSV and read back."""
+    label = F.concat(F.lit('say "'), "p_name", F.lit('", '), "p_brand")
+    kind = F.when(F.col("p_size") % 5 != 0, F.col("p_type"))
+    parts = t.part.select(
+        F.col("p_partkey").alias("unit"), label.alias("label"), F.col("p_size").alias("size"), kind.alias("kind")
+    )
+    path = f"{run_folder(t.spark)}/csv-{uuid.uuid4().hex}"
+    write_table(parts, path, "csv")
+    return read_csv(t.spark, path, "unit bigint, label string, size int, kind string")
+
+
 YEARS = list(range(1995, 2002))
 
 

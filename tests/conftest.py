@@ -8,11 +8,14 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from paneldrift.operators.scale import release_tables, run_folder  # noqa: E402
+
 
 @pytest.fixture(scope="session")
-def spark() -> SparkSession:
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -21,7 +24,9 @@ def spark() -> SparkSession:
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    release_tables(session)
+    assert not os.path.exists(run_folder(session))
 
 
 def rows(df, *columns: str) -> list[tuple]:

@@ -257,3 +257,11 @@ def test_overlap_bounds_and_rollup_totals(spark):
     assert changes.where("y1 is null").select("tt", "d_m").distinct().collect() == [(None, None)]
     level = area_levels(pv, areas).agg(F.sum("m1")).first()[0]
     assert level == pv.agg(F.sum("m1")).first()[0]
+
+
+def test_duplicate_keys_raise(spark):
+    twice = [("A", 1, 2000, 5), ("A", 1, 2000, 6), ("A", 1, 2001, 7)]
+    p = spark.createDataFrame(twice, "group string, unit bigint, yr int, value bigint")
+    for build in (P.pair_values, lambda p: P.pair_values(p, "all"), P.presence):
+        with pytest.raises(Exception, match="duplicate panel key"):
+            build(p).collect()

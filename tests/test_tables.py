@@ -38,6 +38,40 @@ def test_text(spark):
     ]
     ints = spark.createDataFrame([("x",), ("..",), (" 12",), ("12.0",), (None,)], "t string")
     assert [r[0] for r in ints.select(V.safe_int("t")).collect()] == [None, None, 12, 12, None]
+    exact = ["9007199254740993", "-9223372036854775808", "9223372036854775808", "12f", "12D", "1e3", "+7", "1.9", ".", "NaN"]
+    ints = spark.createDataFrame([(t,) for t in exact], "t string")
+    wanted = [9007199254740993, -(2**63), None, None, None, 1000, 7, 1, None, None]
+    assert [r[0] for r in ints.select(V.safe_int("t")).collect()] == wanted
+    prices = spark.createDataFrame([("9,007,199,254,740,993[note]",), ("5f",)], "t string")
+    assert [r[0] for r in prices.select(T.plain_number("t")).collect()] == [9007199254740993, None]
+
+
+def test_blank_cells_keep_their_places(spark):
+    def parsed(values):
+        content = f"1971 Census,TORONTO CMA,1,2,3\n{values}"
+        files = spark.createDataFrame([("1971", "a.csv", content)], "folder string, file string, content string")
+        panel, totals = SP.parse_transposed(files)
+        return rows(panel, "unit", "value"), rows(totals, "pop")
+
+    assert parsed(",600,100,200,300") == ([(1, 100), (2, 200), (3, 300)], [(600,)])
+    assert parsed('"a, ""b""",600,100,,300') == ([(1, 100), (2, None), (3, 300)], [(600,)])
+    assert parsed("x,,100,200,") == ([(1, 100), (2, 200), (3, None)], [(None,)])
+
+
+def test_quoted_cells(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"x ""q"", y",2\nplain,3\n')
+    got = ST.read_csv(spark, str(tmp_path / "q.csv"), "a string, b int")
+    assert rows(got, "a", "b") == [("plain", 3), ('x "q", y', 2)]
+    ST.write_table(got, str(tmp_path / "back"), "csv")
+    assert rows(ST.read_csv(spark, str(tmp_path / "back"), "a string, b int")) == rows(got)
+
+
+def test_profile_with_other_terms(spark, tmp_path):
+    line = ",".join(["2016", "7", "", "", "", "", "", "", "Births", "", "", "12", "", ""])
+    (tmp_path / "p.csv").write_text(",".join(ST.PROFILE_COLUMNS) + "\n" + line + "\n")
+    units = spark.createDataFrame([(7,)], "unit bigint")
+    got = ST.read_profile(spark, str(tmp_path / "p.csv"), units, {"Births": "births"})
+    assert rows(got, "unit", "births") == [(7, 12)]
 
 
 def test_cut(spark):
