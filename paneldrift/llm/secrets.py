@@ -26,7 +26,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS = 4000
-MIN_RATIO = 12.0
+MIN_RATIO = 2.0
 
 
 def _spans(text: Column, pattern: str, ok) -> Column:
