@@ -13,7 +13,9 @@ from .scale import join_on
 
 # Labels of the decomposition and of the counterfactual curves.
 DENSITY, NEW, LOST = "Density", "New DAs", "Lost DAs"
+PART_ORDER = [DENSITY, NEW, LOST]
 ACTUAL, NET_UNITS = "Actual", "Net DAs"
+CURVE_ORDER = [DENSITY, NET_UNITS, ACTUAL]
 
 
 def period_totals(p: DataFrame) -> DataFrame:
@@ -117,6 +119,8 @@ def cohort_index(
     if base not in ("first", "cohort"):
         raise ValueError("base is 'first' or 'cohort'")
     series = F.collect_list(F.struct("yr", "value"))
+    twice = F.raise_error(F.lit("duplicate panel key: a unit has two rows in one period"))
+    series = F.when(F.count("yr") > F.size(F.collect_set("yr")), twice).otherwise(series)
     units = p.groupBy(*UNIT).agg(series.alias("_series"))
     members = units.select("group", "_series", F.explode("_series").alias("_i")).where(
         F.col("_i.value").isNotNull()
@@ -147,6 +151,19 @@ def cohort_index(
     )
 
 
+def cohort_curves(p: DataFrame) -> DataFrame:
+    """Cohort indices and, as series "Actual", the index of all units: group, series, yr, pop, idx.
+
+    All are based on the first period of the panel, the actual one on the group's first."""
+    cohorts = cohort_index(p).withColumn("series", F.col("iyear").cast("string"))
+    totals = p.groupBy("group", "yr").agg(filled(F.sum("value")).alias("pop"))
+    first = totals.groupBy("group").agg(F.min_by("pop", "yr").alias("_base"))
+    actual = join_on(totals, first, ["group"], null_safe=True).select(
+        "group", F.lit(ACTUAL).alias("series"), "yr", "pop", as_index("pop", "_base").alias("idx")
+    )
+    return cohorts.select(*actual.columns).unionByName(actual)
+
+
 def decompose(pv: DataFrame) -> DataFrame:
     """Change per pair split into existing, new and lost units: group, y1, y2, tt, dd, change."""
     has1, has2 = F.col("m1").isNotNull(), F.col("m2").isNotNull()

@@ -12,6 +12,7 @@ from ..operators.dictionary import clean_bridge, mean_coordinates
 from ..operators.reshape import category_order as ordered_categories
 from ..operators.scale import join_on
 from ..operators.areas import area_changes, area_levels as levels_by_area, rank_areas
+from ..functions.text import category_position
 from ..functions.values import strict_avg, strict_sum
 from . import sql as S
 from .bindings import (
@@ -258,6 +259,20 @@ def cohort_index(t: Tables) -> DataFrame:
     return rounded(G.cohort_index(stored(order_panel_null(t))), "idx")
 
 
+@query(
+    "SELECT \"group\", iyear::VARCHAR AS series, yr, pop, idx FROM (" + _cohort_sql("first") + ") UNION ALL "
+    + S.with_(S.PN).replace("WITH P", "SELECT * FROM (WITH P", 1)
+    + """, totals AS (SELECT "group", yr, coalesce(sum(value), 0)::BIGINT AS pop FROM P GROUP BY 1, 2)
+        SELECT a."group", 'Actual' AS series, a.yr, a.pop,
+               CASE WHEN b.pop <> 0 THEN round(a.pop * 100.0::DOUBLE / b.pop, 6) END AS idx
+        FROM totals a JOIN totals b ON a."group" = b."group"
+             AND b.yr = (SELECT min(yr) FROM totals c WHERE c."group" = a."group"))"""
+)
+def cohort_curves(t: Tables) -> DataFrame:
+    """Cohort indices beside the index of all units."""
+    return rounded(G.cohort_curves(stored(order_panel_null(t))), "idx")
+
+
 @query(_cohort_sql("cohort"))
 def cohort_index_own_base(t: Tables) -> DataFrame:
     return rounded(G.cohort_index(stored(order_panel_null(t)), base="cohort"), "idx")
@@ -271,10 +286,12 @@ DECOMPOSED = """parts AS (
 
 @query(
     S.with_(S.PN, *S.NEXT, DECOMPOSED)
-    + 'SELECT *, sum(dd) OVER (PARTITION BY "group", y1, y2)::BIGINT AS change FROM parts'
+    + '''SELECT *, sum(dd) OVER (PARTITION BY "group", y1, y2)::BIGINT AS change,
+         CASE tt WHEN 'Density' THEN 1 WHEN 'New DAs' THEN 2 ELSE 3 END::INTEGER AS tt_ord FROM parts'''
 )
 def growth_decompose(t: Tables) -> DataFrame:
-    return G.decompose(P.pair_values(stored(order_panel_null(t))))
+    parts = G.decompose(P.pair_values(stored(order_panel_null(t))))
+    return parts.withColumn("tt_ord", category_position("tt", G.PART_ORDER))
 
 
 @query(
@@ -288,12 +305,14 @@ def growth_decompose(t: Tables) -> DataFrame:
            UNION ALL SELECT "group", l, (SELECT min(yr) FROM P), 0
            FROM (SELECT DISTINCT "group" FROM P), (VALUES ('Actual'), ('Density'), ('Net DAs')) v(l)),
          base AS (SELECT "group", sum(value) AS b FROM P WHERE yr = (SELECT min(yr) FROM P) GROUP BY 1)
-         SELECT "group", tt, yr, (b + sum(dd) OVER (PARTITION BY "group", tt ORDER BY yr))::BIGINT AS pop
+         SELECT "group", tt, yr, (b + sum(dd) OVER (PARTITION BY "group", tt ORDER BY yr))::BIGINT AS pop,
+         CASE tt WHEN 'Density' THEN 1 WHEN 'Net DAs' THEN 2 ELSE 3 END::INTEGER AS tt_ord
          FROM steps JOIN base USING ("group")"""
 )
 def counterfactual_curve(t: Tables) -> DataFrame:
     p = stored(order_panel(t))
-    return G.counterfactual(G.decompose(P.pair_values(p)), G.period_totals(p))
+    curves = G.counterfactual(G.decompose(P.pair_values(p)), G.period_totals(p))
+    return curves.withColumn("tt_ord", category_position("tt", G.CURVE_ORDER))
 
 
 @query(
@@ -333,10 +352,12 @@ SIGN = "CASE WHEN d < 0 THEN 'Loss' WHEN d = 0 THEN 'No Change' ELSE 'Gain' END"
 
 @query(
     S.with_(S.P, *S.NEXT, S.WITHIN)
-    + f'SELECT "group", y2, {SIGN} AS sign, count(*)::BIGINT AS n FROM within_unit GROUP BY 1, 2, 3'
+    + f'''SELECT *, CASE sign WHEN 'Loss' THEN 1 WHEN 'No Change' THEN 2 ELSE 3 END::INTEGER AS sign_ord FROM (
+          SELECT "group", y2, {SIGN} AS sign, count(*)::BIGINT AS n FROM within_unit GROUP BY 1, 2, 3)'''
 )
 def count_by_sign(t: Tables) -> DataFrame:
-    return C.sign_counts(P.pair_values(stored(order_panel(t))))
+    counts = C.sign_counts(P.pair_values(stored(order_panel(t))))
+    return counts.withColumn("sign_ord", category_position("sign", C.SIGN_ORDER))
 
 
 @query(
