@@ -98,14 +98,10 @@ def _with_roles(rows: DataFrame, pairs: TimePairs) -> DataFrame:
     return join_on(rows, durable_table(_roles(pairs.df)), ["group", "yr"], null_safe=True)
 
 
-def unique_years(rows: DataFrame) -> DataFrame:
-    """The rows of a panel; a (group, unit, yr) that occurs twice raises an error.
-
-    Looks at the row before within the unit, so it shares the shuffle of the windows around it.
-    """
-    before = F.lag("yr").over(Window.partitionBy(*UNIT).orderBy("yr"))
+def unique_year(before: Column) -> Column:
+    """The row's period; an error if the unit's row before has the same."""
     twice = F.raise_error(F.lit("duplicate panel key: a unit has two rows in one period"))
-    return rows.withColumn("yr", F.when(before == F.col("yr"), twice).otherwise(F.col("yr")))
+    return F.when(before == F.col("yr"), twice).otherwise(F.col("yr"))
 
 
 def _entry(series: str, yr: str) -> Column:
@@ -134,17 +130,18 @@ def pair_values(
         chosen = time_pairs(p, mode, years)
     if by_unit_only:
         p = p.repartition("unit")
-    p = unique_years(p)
     by_year = Window.partitionBy(*UNIT).orderBy("yr")
     item = F.struct("yr", "value")
     if chosen.mode == "consecutive":
         rows = p.withColumns({"_before": F.lag(item).over(by_year), "_after": F.lead(item).over(by_year)})
+        rows = rows.withColumn("yr", unique_year(F.col("_before.yr")))
         first_other, second_other = F.col("_after"), F.col("_before")
         has_first = F.coalesce(second_other["yr"] == F.col("y1"), F.lit(False))
         m2 = F.when(first_other["yr"] == F.col("y2"), first_other["value"])
     else:
         whole = by_year.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = p.withColumn("_series", F.collect_list(item).over(whole))
+        rows = p.withColumns({"_series": F.collect_list(item).over(whole), "_before": F.lag("yr").over(by_year)})
+        rows = rows.withColumn("yr", unique_year(F.col("_before"))).drop("_before")
         has_first = _entry("_series", "y1").isNotNull()
         m2 = _entry("_series", "y2")["value"]
     first = F.col("first")
