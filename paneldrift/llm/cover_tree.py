@@ -8,6 +8,7 @@ radii, taken as a whole if even the furthest members are close enough, and opene
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,14 +109,26 @@ class Links:
         return self.edges[0]
 
 
+def saved(node: Node) -> tuple:
+    """A tree as plain values, to be written with its block."""
+    return node.centre, node.radius, node.members, [saved(c) for c in node.children]
+
+
+def restored(values: tuple) -> Node:
+    centre, radius, members, children = values
+    return Node(centre, radius, members, [restored(c) for c in children])
+
+
 def cosine_close(u: np.ndarray, v: np.ndarray, raw_u: np.ndarray, raw_v: np.ndarray, least: float) -> np.ndarray:
-    """Matrix of pairs with cosine >= least; values within rounding of the threshold are taken from the raw vectors."""
-    cos = u @ v.T
-    close = cos >= least
-    i, j = np.nonzero(np.abs(cos - least) < 1e-12)
-    if len(i):
-        x, y = raw_u[i], raw_v[j]
-        close[i, j] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= least
+    """Matrix of pairs with cosine >= least, decided in double precision.
+
+    Single precision only leaves out pairs that are clearly below the threshold."""
+    close = u.astype(np.float32) @ v.astype(np.float32).T >= np.float32(least - 1e-4)
+    i, j = np.nonzero(close)
+    for first in range(0, len(i), 1 << 16):
+        a, b = i[first : first + (1 << 16)], j[first : first + (1 << 16)]
+        x, y = raw_u[a], raw_v[b]
+        close[a, b] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= least
     return close
 
 
@@ -150,7 +163,16 @@ def traverse(a: Node, b: Node, ua, ub, ra, rb, na, nb, least: float, same: bool)
         rights = q.children or [q]
         near = distances(ua[[n.centre for n in lefts]], ub[[n.centre for n in rights]])
         bound = np.array([n.radius for n in lefts])[:, None] + np.array([n.radius for n in rights])[None, :]
-        stack += [(lefts[i], rights[j]) for i, j in zip(*np.nonzero(near - bound <= reach + SLACK), strict=True)]
+        meet = near - bound <= reach + SLACK
+        # pairs of nodes without children are compared at once, not one by one
+        flat = np.ix_([not n.children for n in lefts], [not n.children for n in rights])
+        if meet[flat].any():
+            rows, columns = meet[flat].any(axis=1), meet[flat].any(axis=0)
+            left = [n.members for n, use in zip([n for n in lefts if not n.children], rows, strict=True) if use]
+            right = [n.members for n, use in zip([n for n in rights if not n.children], columns, strict=True) if use]
+            compare(np.concatenate(left), np.concatenate(right), ua, ub, ra, rb, na, nb, least, same, out)
+        meet[flat] = False
+        stack += [(lefts[i], rights[j]) for i, j in zip(*np.nonzero(meet), strict=True)]
     return out
 
 
@@ -270,9 +292,11 @@ def _links(nodes: DataFrame, width: int, total: int, least: float) -> tuple[Data
             "ids": columns["id"].astype(np.int64).tobytes(),
             "counts": columns["n"].astype(np.int64).tobytes(),
             "data": x.tobytes(),
+            "tree": pickle.dumps(saved(grow(unit, np.arange(len(unit)), 0, 2.0, reach / 16))),
         }
 
-    schema = "cell bigint, size bigint, centre array<double>, radius double, ids binary, counts binary, data binary"
+    # every block carries its tree: pairs of blocks only walk
+    schema = "cell bigint, size bigint, centre array<double>, radius double, ids binary, counts binary, data binary, tree binary"
     blocks = written(pack(celled, width, ["cell", "size"], make, schema), "blocks")
 
     # cells are at most PIVOTS, so their radii and pairs are a bounded list
@@ -294,9 +318,9 @@ def _links(nodes: DataFrame, width: int, total: int, least: float) -> tuple[Data
         .where(F.sqrt(square) - F.col("a_radius") - F.col("b_radius") <= reach + SLACK)
         .select("a", "b")
     )
-    load = blocks.select("block", "ids", "counts", "data")
-    loaded = pairs.join(load.toDF("a", "a_ids", "a_counts", "a_data"), "a").join(
-        load.toDF("b", "b_ids", "b_counts", "b_data"), "b"
+    load = blocks.select("block", "ids", "counts", "data", "tree")
+    loaded = pairs.join(load.toDF("a", "a_ids", "a_counts", "a_data", "a_tree"), "a").join(
+        load.toDF("b", "b_ids", "b_counts", "b_data", "b_tree"), "b"
     )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +332,7 @@ def _links(nodes: DataFrame, width: int, total: int, least: float) -> tuple[Data
                     trees.pop(next(iter(trees)))
                 raw = np.frombuffer(row[f"{side}_data"], np.float64).reshape(-1, width)
                 unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                root = grow(unit, np.arange(len(unit)), 0, 2.0, reach / 16)
+                root = restored(pickle.loads(row[f"{side}_tree"]))
                 ids, counts = (np.frombuffer(row[f"{side}_{c}"], np.int64) for c in ("ids", "counts"))
                 trees[block] = root, unit, raw, counts, ids
             return trees[block]
@@ -333,6 +357,6 @@ def _links(nodes: DataFrame, width: int, total: int, least: float) -> tuple[Data
                         names=["is_count", "x", "y"],
                     )
 
-    columns = ["a", "b", "a_ids", "a_counts", "a_data", "b_ids", "b_counts", "b_data"]
+    columns = ["a", "b", *[f"{side}_{c}" for side in "ab" for c in ("ids", "counts", "data", "tree")]]
     found = written(loaded.select(*columns).mapInArrow(walk, "is_count boolean, x bigint, y bigint"), "links")
     return found.where("is_count").select("x", "y"), found.where("not is_count").select("x", "y")
