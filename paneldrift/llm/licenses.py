@@ -8,6 +8,9 @@ share of the template's k-grams that they hold. Only DataFrame functions.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +61,25 @@ def grams(column: str) -> Column:
     return two
 
 
+def markers(phrases: dict[str, str], notices: dict[str, str], coverage: float = COVERAGE) -> list[str]:
+    """Words of which a text must hold at least one to hold any template.
+
+    A phrase needs its longest word. A notice needs the share ``coverage`` of its k-grams; words are
+    chosen, those in most k-grams for their length first, until the k-grams without any are too few for it.
+    """
+    chosen = set()
+    for text, k, share in [(t, 2, 1.0) for t in phrases] + [(t, 4, coverage) for t in notices.values()]:
+        tokens = re.findall(WORD, text.lower())
+        rest = [set(tokens[i : i + k]) for i in range(len(tokens) - k + 1)]
+        need = math.ceil(share * len(rest) - 1e-9)
+        rest = [g for g in rest if not g & chosen]
+        while len(rest) >= max(need, 1):
+            word = max(sorted(set(tokens)), key=lambda w: (sum(w in g for g in rest) * len(w) ** 2, w))
+            chosen.add(word)
+            rest = [g for g in rest if word not in g]
+    return sorted(chosen)
+
+
 def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
     """label, kind, t_pos, two, four, n: k-grams of phrases (k = 2) and notices (k = 4)."""
     rows = [(label, "phrase", text) for text, label in phrases.items()]
@@ -141,14 +163,20 @@ def scan(
     One row per row of docs. Spans are found once for each distinct (id, text) and joined back, so
     repeated rows get the same spans; a null or empty text has no words and no spans. The join
     of k-grams with templates is a broadcast of the fixed template list; documents are shuffled only
-    as hits and as (id, text hash, number of words).
+    as hits and as (id, text hash, number of words). Texts without any of the words that every template
+    needs some of are not cut into k-grams, as they cannot hold a verified span.
     """
-    table = templates(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
+    phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
+    table = templates(docs.sparkSession, phrases, notices)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn(
         "text_hash", F.xxhash64("text")
     )
     keys = ["doc_id", "text_hash"]
-    found = spans(hits(rows, table, keys), keys)
+    lower = F.lower("text")
+    possible = F.lit(False)
+    for word in markers(phrases, notices):
+        possible = possible | lower.contains(word)
+    found = spans(hits(rows.where(possible), table, keys), keys)
     listed = found.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "label", "kind", "score"))).alias("spans")
     )
