@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hashes, range_hashes, text_chunks, written
+from .common import mix, prefix_hashes, range_hashes, slices, text_chunks, written
 
 SEED = 32
 #: Sync points of one seed that a task ranks together; larger groups are refined first.
 GROUP = 1024
 STRIP = 1 << 18
+#: Texts and contexts that a task holds in Python at once.
+TEXTS, CONTEXTS = 200, 2000
 NO_ID = -(1 << 63)
 
 
@@ -107,7 +109,7 @@ def packed_texts(keyed: DataFrame) -> DataFrame:
     """doc_id, doc, version, size, body: texts as compressed bytes, for shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             raw = [x.as_py().encode() for x in batch.column("text")]
             body = [pa.compress(x, "zstd", asbytes=True) for x in raw]
             yield pa.RecordBatch.from_arrays(
@@ -175,6 +177,9 @@ def ranked(batch: pa.RecordBatch, length: int, keep_first: bool) -> tuple[np.nda
     prefix, first = _prefix(batch.column("around"))
     place = np.empty(len(key), np.int64)
     place[np.lexsort((pos, version, doc))] = np.arange(len(key))
+    order = np.lexsort((pos, version, doc, key))
+    rows = np.stack([key, doc, version, pos])[:, order]
+    lo[order[1:][(rows[:, 1:] == rows[:, :-1]).all(axis=0)]] = length  # of repeated rows, one counts
     low, high = np.full(len(key), -1), np.full(len(key), -1)
     group = mix(key.view(np.uint64))
     for distance in range(int(lo.min()), int(hi.max()) + 1):
@@ -215,7 +220,7 @@ def decided(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 names=["doc", "version", "start", "end"],
             )
 
-        for batch in batches:
+        for batch in slices(batches, CONTEXTS):
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             keys = table.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
@@ -229,10 +234,13 @@ def decided(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 
 def refined(rows: DataFrame, length: int) -> DataFrame:
-    """Groups too large for a task, cut by what the strings of half of the distances have in common."""
+    """Groups too large for a task, cut by what the strings of half of the distances have in common.
+
+    ``key`` stands for those common bytes, ``hull`` for all bytes that these strings cover.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, CONTEXTS):
             key, lo, hi, left, near, wide = _numbers(batch, "key", "lo", "hi", "left", "from", "to")
             prefix, first = _prefix(batch.column("around"))
             middle = (near + wide) // 2
@@ -241,12 +249,16 @@ def refined(rows: DataFrame, length: int) -> DataFrame:
                 start = first[use] + left[use]
                 core = range_hashes(prefix, start - a[use], start - b[use] + length)
                 fresh = mix(core + (a[use] * 1000 + b[use]).astype(np.uint64)).view(np.int64)
+                near_, wide_ = np.maximum(lo, a)[use], np.minimum(hi, b)[use]
+                hull = range_hashes(prefix, start - wide_, start - near_ + length)
+                hull = mix(hull + (near_ * 1000 + wide_).astype(np.uint64)).view(np.int64)
                 part = batch.take(pa.array(use))
                 columns = {c: part.column(c) for c in part.schema.names}
                 columns |= {
                     "key": pa.array(fresh),
-                    "lo": pa.array(np.maximum(lo, a)[use].astype(np.int16)),
-                    "hi": pa.array(np.minimum(hi, b)[use].astype(np.int16)),
+                    "lo": pa.array(near_.astype(np.int16)),
+                    "hi": pa.array(wide_.astype(np.int16)),
+                    "hull": pa.array(hull),
                     "from": pa.array(a[use].astype(np.int16)),
                     "to": pa.array(b[use].astype(np.int16)),
                 }
@@ -289,24 +301,31 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
     ranges = whole.union(decided(small, length, keep_first))
 
     large = contexts(chosen.where(F.col("kinds") > GROUP), bodies, length)
-    large = large.withColumns({"from": F.lit(0).cast("smallint"), "to": F.lit(length - SEED).cast("smallint")})
+    large = large.withColumns(
+        {"from": F.lit(0).cast("smallint"), "to": F.lit(length - SEED).cast("smallint"), "hull": F.lit(0).cast("bigint")}
+    )
+    spot = F.struct("doc", "version", "pos")
     while not chosen.where(F.col("kinds") > GROUP).isEmpty():
         halves = written(refined(large, length), "refined")
-        sizes = halves.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        sized = written(halves.join(sizes, "key"), "sized")
-        small = sized.where((F.col("kinds") <= GROUP) & (F.col("from") < F.col("to"))).drop("kinds", "from", "to")
-        ranges = ranges.union(decided(small, length, keep_first))
-        # one distance left: the key stands for the string itself
-        single = sized.where(F.col("from") == F.col("to"))
-        earliest = single.groupBy("key").agg(F.min(F.struct("doc", "version", "pos")).alias("first"))
-        copies = single.join(earliest, "key").where(
-            F.col("wanted") & (F.lit(not keep_first) | (F.struct("doc", "version", "pos") != F.col("first")))
-        )
-        begin = F.col("pos") - F.col("from")
+        alike = halves.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("first"))
+        told = halves.join(alike, ["key", "hull"])
+        # the same hull as another: all these strings are copied
+        copies = told.where(F.col("wanted") & (F.col("n") > 1))
+        if keep_first:
+            copies = copies.where(spot != F.col("first"))
         ranges = ranges.union(
-            copies.select("doc", "version", begin.cast("int").alias("start"), (begin + length).cast("int").alias("end"))
+            copies.select(
+                "doc", "version", (F.col("pos") - F.col("hi")).cast("int").alias("start"), (F.col("pos") - F.col("lo") + length).cast("int").alias("end")
+            )
         )
-        chosen = sized.where((F.col("kinds") > GROUP) & (F.col("from") < F.col("to")))
+        # the rest: one for each distinct hull
+        rest = told.where(spot == F.col("first")).withColumn("wanted", F.col("wanted") & (F.lit(keep_first) | (F.col("n") == 1)))
+        rest = written(rest.drop("n", "first"), "rest")
+        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("wanted").alias("open"))
+        sized = written(rest.join(sizes.where("kinds > 1 and open").drop("open"), "key"), "sized")
+        small = sized.where(F.col("kinds") <= GROUP).drop("kinds", "from", "to", "hull")
+        ranges = ranges.union(decided(small, length, keep_first))
+        chosen = sized.where(F.col("kinds") > GROUP)
         large = chosen.drop("kinds")
     return ranges
 
@@ -329,7 +348,7 @@ def remove_copies(
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             spans, kept = [], []
             for k in range(batch.num_rows):
                 raw = unpacked(batch.column("size")[k], batch.column("body")[k])

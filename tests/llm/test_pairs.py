@@ -133,4 +133,7 @@ def test_copied_strings_of_repeated_rows_and_empty_tables(spark):
     table = docs_table(spark, [t, t, "other"], [None, None, 3])
     got = suffix_dedup.remove_copies(table, 200, keep_first=False).collect()
     assert sorted(len(r["kept"]) for r in got) == [0, 0, 5]
+    table = docs_table(spark, [t, t, t[5:] + " end", "other"], [1, 1, 2, 3])
+    got = sorted((r["doc_id"], len(r["spans"])) for r in suffix_dedup.remove_copies(table, 200, keep_first=True).collect())
+    assert got == [(1, 0), (1, 0), (2, 1), (3, 0)]
     assert suffix_dedup.remove_copies(table.limit(0)).collect() == []
