@@ -14,7 +14,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, components, mix, prefix_hashes, range_hashes, text_chunks, written
@@ -112,10 +112,10 @@ def signatures(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> Da
 
 
 def postings(nodes: DataFrame, coordinates: int, least: int) -> DataFrame:
-    """token, node, prefix: each node under its rarest coordinate-value pairs.
+    """node, prefix, score: the rarest coordinate-value pairs under which each node is posted.
 
-    Pairs that occur once are never posted, but fill a node's prefix first. ``prefix`` is the list of
-    a node's posted tokens, rarest first.
+    Pairs that occur once are never posted, but fill a node's prefix first. ``score`` is how often all its
+    pairs occur.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +128,23 @@ def postings(nodes: DataFrame, coordinates: int, least: int) -> DataFrame:
             )
 
     tokens = nodes.select("node", "signature").mapInArrow(run, "token bigint, node bigint")
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tokens.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    room = F.lit(coordinates - least + 1) - (F.lit(coordinates) - F.size("t"))
-    prefix = F.transform(F.slice("t", F.lit(1), F.greatest(room, F.lit(0))), lambda x: x["token"])
-    return shared.select("node", prefix.alias("prefix")).select(F.explode("prefix").alias("token"), "node", "prefix")
+    listed = rarest(tokens, ["token"], ["node"], F.lit(coordinates), F.lit(coordinates - least + 1))
+    return listed.where(F.size("prefix") > 0).select("node", "prefix", "score")
+
+
+def rarest(items: DataFrame, token: list[str], keys: list[str], size: Column, room: Column) -> DataFrame:
+    """keys, tokens, prefix, score: tokens of each key that occur more than once, rarest first, and those
+    of them among the ``room`` rarest of all its ``size`` tokens."""
+    common = items.groupBy(*token).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = items.join(common, token).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    left = F.greatest(room - (size - F.size("t")), F.lit(0))
+    score = F.aggregate("t", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    return shared.select(
+        *keys,
+        F.col("t.token").alias("tokens"),
+        F.slice("t.token", F.lit(1), left).alias("prefix"),
+        score.alias("score"),
+    )
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, coordinates: int, least: int) -> DataFrame:
@@ -172,6 +184,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def differences(hubs: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, node, size, diff, token: the shingles in which a node (of ``size``) differs from its hub, ``diff`` many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in ("sa", "sb"))
+                tokens = np.setxor1d(a, b, assume_unique=True).view(np.int64)
+                n = len(tokens)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, batch.column("a")[k].as_py(), np.int64)),
+                        pa.array(np.full(n, batch.column("b")[k].as_py(), np.int64)),
+                        pa.array(np.full(n, len(b), np.int32)),
+                        pa.array(np.full(n, n, np.int32)),
+                        pa.array(tokens),
+                    ],
+                    names=["hub", "node", "size", "diff", "token"],
+                )
+
+    both = hubs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "hub bigint, node bigint, size int, diff int, token bigint")
+
+
+def around_hubs(near: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one hub's nodes that may be linked, though they lie in different components.
+
+    Two sets x, y with Jaccard similarity t or more differ in at most (1 - t) / t * |x| shingles, and so do
+    their differences from the hub. So the rarest differences, one more than that many, share a
+    token, unless both are so close to the hub that both are linked to it. Near copies with edits of
+    their own differ in rare shingles, and share none. And of their differences, d and e many, they
+    share at least (d + e - m) / 2, where m = (1 - t) / (1 + t) * (|x| + |y|).
+    """
+    grouped = near.join(joined, F.col("b") == F.col("id"), "left").withColumn("group", F.coalesce("component", "b"))
+    hub_group = joined.select(F.col("id").alias("a"), F.col("component").alias("hub_group"))
+    grouped = grouped.join(hub_group, "a", "left")
+    grouped = grouped.withColumn("apart", F.col("group") != F.coalesce("hub_group", "a")).select("a", "b", "group", "apart")
+    grouped = written(grouped, "hub_members")
+    torn = grouped.groupBy("a").agg(F.bool_or("apart").alias("torn")).where("torn").select("a")
+    items = written(differences(grouped.join(torn, "a").select("a", "b"), sets), "differences")
+    room = (F.floor(F.col("size") * ((100 - percent) / percent) + 1e-9) + 1).cast("int")
+    posted = rarest(items, ["hub", "token"], ["hub", "node", "size", "diff"], F.col("diff"), room)
+    posted = posted.where(F.size("prefix") > 0).join(grouped.select(F.col("b").alias("node"), "group", "apart"), "node")
+    posted = written(posted.drop("score"), "hub_postings").withColumn("token", F.explode("prefix")).drop("prefix")
+    x = posted.where("apart").toDF(*[f"x_{c}" for c in posted.columns])
+    y = posted.toDF(*[f"y_{c}" for c in posted.columns])
+    most = (F.col("x_size") + F.col("y_size")) * ((100 - percent) / (100 + percent)) + 1e-9
+    shared = F.array_intersect("x_tokens", "y_tokens")
+    met = x.join(
+        y,
+        (F.col("x_hub") == F.col("y_hub"))
+        & (F.col("x_token") == F.col("y_token"))
+        & (F.col("x_group") != F.col("y_group"))
+        & (~F.col("y_apart") | (F.col("x_node") < F.col("y_node")))
+        & (F.abs(F.col("x_diff") - F.col("y_diff")) <= most)
+        & (F.get(shared, F.lit(0)) == F.col("x_token"))
+        & (2 * F.size(shared) >= F.col("x_diff") + F.col("y_diff") - most),
+    )
+    return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """node, shingles (sorted fingerprints, 8 bytes each) for the wanted (node, doc_id)."""
 
@@ -223,11 +296,11 @@ def near_duplicates(
     Repeated rows and equal sets are one node, so rows that repeat a kept id and text are all kept; a
     null doc_id becomes a component's id only if the component has no other.
 
-    Equal sets collapse by aggregation first. In each list of a token, members meet the list's first
-    node, so a list of g near copies costs g comparisons, not g^2; components of these links
-    leave out what is already joined; only members outside a list's largest component then meet the
-    rest of the list, each pair at its first common token. Every pair that shares a posted token is thus
-    compared, or already lies in one component.
+    Equal sets collapse by aggregation first. In each list of a token, members meet the list's hub,
+    so a list of g near copies costs g comparisons, not g^2. What is not linked to its hub then meets
+    those of the hub's nodes that differ from it in the same way (``around_hubs``), and members of a list
+    with different hubs meet at their first common token. Every pair that shares a posted token is thus
+    compared, shown not to be linked, or already in one component.
     """
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     least = least_agreements(percent, coordinates)
@@ -238,35 +311,54 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature")),
         "nodes",
     )
-    posted = written(postings(nodes, coordinates, least), "postings")
-    lists = posted.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    lists = written(lists, "lists")
+    prefixes = written(postings(nodes, coordinates, least), "prefixes")
+    posted = prefixes.select(F.explode("prefix").alias("token"), "node", "score")
+    # a list's hub is the member whose pairs are the most common: of near copies, their original
+    lists = posted.groupBy("token").agg(
+        F.max_by("node", F.struct("score", "node")).alias("a"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("score").alias("top")
+    )
+    lists = written(lists.where("lo <> hi").select("token", "a", "top"), "lists")
     members = posted.join(lists, "token")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = written(shingle_sets(docs, wanted, size), "sets")
 
-    first = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = written(confirmed(agreeing(first, nodes, coordinates, least), sets, percent), "links")
+    first = members.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max("top").alias("top"))
+    first = written(first, "hub_pairs")
+    near = written(agreeing(first.select("a", "b"), nodes, coordinates, least), "agreeing")
+    links = written(confirmed(near, sets, percent), "links")
     joined = written(components(links), "components")
 
-    named = members.select("token", "node", "prefix").join(joined, F.col("node") == F.col("id"), "left")
-    named = named.select("token", "node", "prefix", F.coalesce("component", "node").alias("group"))
-    shares = named.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = shares.groupBy("token").agg(
-        F.max_by("group", F.struct("n", "group")).alias("largest"), F.min("group").alias("lo"), F.max("group").alias("hi")
+    # what is not linked to its hub may be linked to others around it
+    own = near.join(first, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("top", "a")).alias("a")).select("a", "b")
+    own = written(own, "hubs")
+    itself = own.select("a").distinct().join(own.select(F.col("b").alias("a")), "a", "left_anti").select("a", F.col("a").alias("b"))
+    around = around_hubs(own.union(itself), sets, joined, percent)
+
+    # and members of a list may have different hubs
+    named = members.select("token", "node").join(joined, F.col("node") == F.col("id"), "left")
+    named = named.join(own.select(F.col("b").alias("node"), F.col("a").alias("own_hub")), "node", "left").select(
+        "token", "node", F.coalesce("component", "node").alias("group"), F.coalesce("own_hub", "node").alias("hub")
     )
-    open_lists = written(named.join(largest.where("lo <> hi").select("token", "largest"), "token"), "open_lists")
-    x = open_lists.where(F.col("group") != F.col("largest")).toDF(*[f"x_{c}" for c in open_lists.columns])
-    y = open_lists.toDF(*[f"y_{c}" for c in open_lists.columns])
+    mixed = named.groupBy("token").agg(
+        F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("hub").alias("hub_lo"), F.max("hub").alias("hub_hi")
+    ).where("lo <> hi and hub_lo <> hub_hi").select("token")
+    named = written(named.join(mixed, "token"), "mixed_lists")
+    sizes = named.groupBy("token", "hub").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("token").agg(F.max_by("hub", F.struct("n", "hub")).alias("largest"))
+    named = written(named.join(largest, "token").join(prefixes.select("node", "prefix"), "node"), "open_lists")
+    x = named.where(F.col("hub") != F.col("largest")).toDF(*[f"x_{c}" for c in named.columns])
+    y = named.toDF(*[f"y_{c}" for c in named.columns])
     met = x.join(
         y,
         (F.col("x_token") == F.col("y_token"))
         & (F.col("x_group") != F.col("y_group"))
-        & ((F.col("y_group") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
+        & (F.col("x_hub") != F.col("y_hub"))
+        & ((F.col("y_hub") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
         & (F.get(F.array_intersect("x_prefix", "y_prefix"), F.lit(0)) == F.col("x_token")),
     )
-    second = met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    more = written(confirmed(agreeing(second, nodes, coordinates, least), sets, percent), "more_links")
+    across = agreeing(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")), nodes, coordinates, least)
+    second = around.union(across).distinct()
+    more = written(confirmed(second, sets, percent), "more_links")
     whole = written(components(links.union(more)), "all_components")
 
     reach = whole.join(nodes.select("node", "doc_id"), F.col("id") == F.col("node"))
