@@ -95,13 +95,13 @@ def points(keyed: DataFrame, length: int) -> DataFrame:
                     pa.array(lo.astype(np.int16)),
                     pa.array(hi.astype(np.int16)),
                     pa.array(seeds.view(np.int64)),
-                    pa.array((contexts >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array(contexts.view(np.int64)),
                 ],
                 names=["doc", "version", "pos", "lo", "hi", "seed", "context"],
             )
 
     return keyed.select("doc", "version", "text").mapInArrow(
-        run, "doc bigint, version int, pos int, lo smallint, hi smallint, seed bigint, context int"
+        run, "doc bigint, version int, pos int, lo smallint, hi smallint, seed bigint, context bigint"
     )
 
 
@@ -274,12 +274,14 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
     repeated = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     shared = written(found.join(repeated, "seed"), "shared_points")
     place = F.struct("doc", "version", "pos", "lo", "hi")
-    alike = shared.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    # lo and hi tell how long a context is and where the point lies in it
+    same = ["seed", "context", "lo", "hi"]
+    alike = shared.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     alike = written(alike, "contexts")
 
     # points with the same context as another: all their strings are copied
-    twins = alike.where("n > 1").select("seed", "context", "first")
-    whole = shared.join(twins, ["seed", "context"])
+    twins = alike.where("n > 1").select(*same, "first")
+    whole = shared.join(twins, same)
     if keep_first:
         whole = whole.where(place != F.col("first"))
     whole = whole.select(

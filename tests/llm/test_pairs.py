@@ -137,3 +137,15 @@ def test_copied_strings_of_repeated_rows_and_empty_tables(spark):
     got = sorted((r["doc_id"], len(r["spans"])) for r in suffix_dedup.remove_copies(table, 200, keep_first=True).collect())
     assert got == [(1, 0), (1, 0), (2, 1), (3, 0)]
     assert suffix_dedup.remove_copies(table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_contexts_that_agree_in_half_of_their_bits_are_not_copies(spark, keep_first):
+    # found by search: around this passage, the upper 32 bits of both texts' context hashes agree
+    passage = "ignsclghorqkixyljwkfelvhefipbuuz"
+    texts = [f"{i:06d} " * 20 + passage + f" {i:06d}" * 20 for i in (35719, 66241)]
+    found = suffix_dedup.points(suffix_dedup._keyed(docs_table(spark, texts), "text", "doc_id"), 200).where("pos = 140").collect()
+    assert len({r["seed"] for r in found}) == 1 and len({r["context"] for r in found}) == 2
+    got = suffix_dedup.remove_copies(docs_table(spark, texts), 200, keep_first).collect()
+    assert [r["spans"] for r in got] == [[], []]
+    assert sorted(r["kept"].decode() for r in got) == texts
