@@ -260,7 +260,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    found = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = wanted.select(F.col("doc_id").alias("_asked")).distinct()
+    found = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi")
     sets = found.mapInArrow(run, "node bigint, shingles binary")
     # an id may stand for several texts: keep what was asked for, each node once
     return sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])

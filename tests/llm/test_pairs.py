@@ -37,6 +37,18 @@ def texts_with_copies() -> list:
     return texts + base + [base[3]] * 3 + [brute.prose(77, 6000)]
 
 
+def test_minhash_links_near_texts_with_null_ids(spark):
+    w = brute.prose(21, 120).split()
+    far, middle, near = " ".join(w), " ".join([*w[:-9], *["p"] * 9]), " ".join([*["q"] * 9, *w[9:-9], *["p"] * 9])
+    sets = [brute.shingles(t, 5) for t in (far, middle, near)]
+    assert sorted(sorted(x) for x in brute.near_links(sets, 80)) == [[0, 1], [1, 2]]
+    # the row without an id joins the two others
+    got = minhash.near_duplicates(docs_table(spark, [far, middle, near], [4, None, 9])).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(4, 4, True), (None, 4, False), (9, 4, False)}
+    both = minhash.near_duplicates(docs_table(spark, [far, middle], [None, None])).collect()
+    assert [(r["component_id"], r["kept"]) for r in both] == [(None, True)] * 2
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(5, i) for i in range(200, 260)]
