@@ -1,11 +1,12 @@
-"""Exact substring dedup in suffix order: longest previous and next factors at sync points.
+"""Exact substring dedup by winnowing: equal strings are found around shared sync points.
 
 A byte string of ``length`` that occurs twice is found through a sync point: the smallest hash of its
-``SEED``-byte substrings, which both occurrences share at the same offset. So only suffixes at offsets
-around sync points are ranked. Within the strings of one seed and offset, sorted in suffix order and then
-by position, the neighbour before is the previous smaller position with a common prefix of at least
-``length`` (the longest previous factor reaches it), the neighbour after the next one. Removing what has
-a previous factor keeps first copies; removing what has either leaves none.
+``SEED``-byte substrings, which both occurrences share at the same offset. So only strings at offsets
+around sync points are compared. Within the strings of one seed and offset, those with equal 64-bit hashes
+are put in order of position; one with an equal string before it is a later copy, one with an equal
+string after it has a later copy. Removing the former keeps first copies; removing both leaves none.
+No suffix order and no longest-previous-factor array are built: a string of ``length`` bytes has a previous
+factor that long exactly if an equal string stands before it, so equality decides the same removals.
 """
 
 from __future__ import annotations
@@ -171,7 +172,7 @@ def _prefix(around: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def ranked(batch: pa.RecordBatch, length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest distance whose string has another occurrence that counts; -1: none.
 
-    For each distance, strings are put in suffix order and, where they are equal, in order of position.
+    For each distance, strings are grouped by their hashes and, where those are equal, put in order of position.
     """
     key, doc, version, pos, lo, hi, left = _numbers(batch, "key", "doc", "version", "pos", "lo", "hi", "left")
     prefix, first = _prefix(batch.column("around"))
@@ -189,9 +190,9 @@ def ranked(batch: pa.RecordBatch, length: int, keep_first: bool) -> tuple[np.nda
         order = np.lexsort((place[use], value)) if keep_first else np.argsort(value)
         same = value[order][1:] == value[order][:-1]
         copied = np.zeros(len(use), bool)
-        copied[order[1:][same]] = True  # a previous factor
+        copied[order[1:][same]] = True  # an equal string before
         if not keep_first:
-            copied[order[:-1][same]] = True  # a next factor
+            copied[order[:-1][same]] = True  # an equal string after
         hit = use[copied]
         low[hit] = np.where(low[hit] < 0, distance, low[hit])
         high[hit] = distance
