@@ -84,6 +84,10 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
     """label, kind, t_pos, two, four, n: k-grams of phrases (k = 2) and notices (k = 4)."""
     rows = [(label, "phrase", text) for text, label in phrases.items()]
     rows += [(label, "notice", text) for label, text in notices.items()]
+    for label, kind, text in rows:
+        least = 2 if kind == "phrase" else 4
+        if len(re.findall(WORD, text.lower())) < least:
+            raise ValueError(f"a {kind} needs {least} words or more: {label}: {text!r}")
     raw = spark.createDataFrame(rows, "label string, kind string, text string").select("label", "kind", words(F.col("text")).alias("w"))
     return _hashed(raw, ["label", "kind"]).where(
         F.col("two").isNotNull() & ((F.col("kind") == "phrase") | F.col("four").isNotNull())
@@ -164,7 +168,8 @@ def scan(
     repeated rows get the same spans; a null or empty text has no words and no spans. The join
     of k-grams with templates is a broadcast of the fixed template list; documents are shuffled only
     as hits and as (id, text hash, number of words). Texts without any of the words that every template
-    needs some of are not cut into k-grams, as they cannot hold a verified span.
+    needs some of are not cut into k-grams, as they cannot hold a verified span. A phrase of one word and a
+    notice of fewer than four words have no k-gram and raise a ValueError.
     """
     phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
     table = templates(docs.sparkSession, phrases, notices)

@@ -233,6 +233,12 @@ def test_markers_are_needed_by_every_template():
         assert any(w in phrase for w in chosen)
 
 
+@pytest.mark.parametrize("given", [{"phrases": {"copyleft": "copyleft"}}, {"notices": {"short": "all rights reserved"}}, {"phrases": {"": "none"}}])
+def test_templates_too_short_for_a_gram_are_refused(spark, given):
+    with pytest.raises(ValueError, match="words or more"):
+        licenses.scan(table(spark, ["copyleft, all rights reserved"]), **given)
+
+
 # ---------------------------------------------------------------- languages
 
 
