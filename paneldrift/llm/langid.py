@@ -1,4 +1,4 @@
-"""Language identification: multinomial naive Bayes over hashed byte n-grams of the text."""
+"""Language identification: multinomial naive Bayes over hashed character n-grams of the text."""
 
 from __future__ import annotations
 
@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, mix, required, text_chunks
+from .common import mix, required, text_chunks
 
-BUCKETS = 1 << 14
-SIZES = (2, 3)
+BUCKETS = 1 << 16
+SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
 
 
@@ -28,17 +28,26 @@ class Model:
     sizes: Sequence[int]
 
 
+def _letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of case-folded texts, and their offsets."""
+    raw = data.tobytes()
+    ends = offsets.tolist()
+    texts = [raw[a:b].decode("utf-8", "replace").casefold() for a, b in zip(ends, ends[1:])]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    return codes, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray, sizes: Sequence[int], buckets: int):
-    """Buckets of all n-grams of a slice and, for each text, where its n-grams begin."""
-    lower = LOWER[data].astype(np.uint64)
+    """Buckets of all n-grams of a slice's characters and, for each text, where its n-grams begin."""
+    letters, offsets = _letters(data, offsets)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     for n in sizes:
-        if len(data) < n:
+        if len(letters) < n:
             yield np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
             continue
-        code = lower[: len(lower) - n + 1].copy()
+        code = letters[: len(letters) - n + 1].copy()
         for k in range(1, n):
-            code = (code << np.uint64(8)) | lower[k : len(lower) - n + 1 + k]
+            code = code * np.uint64(0xD6E8FEB86659FD93) + letters[k : len(letters) - n + 1 + k]
         inside = np.arange(len(code)) + n <= ends[: len(code)]
         ids = (mix(code + np.uint64(n << 56)) % np.uint64(buckets)).astype(np.int64)
         counts = np.maximum(np.diff(offsets) - n + 1, 0)

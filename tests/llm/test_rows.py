@@ -270,3 +270,17 @@ def test_language_scores_are_naive_bayes(spark):
     best, score = langid.score_texts(model, np.frombuffer(text.encode(), np.uint8), np.array([0, 4]))
     odds = np.exp(np.array(logs) - max(logs))
     assert model.languages[best[0]] == "xy"[int(np.argmax(logs))] and score[0] == pytest.approx(1 / odds.sum())
+
+
+def test_language_grams_are_of_characters_in_any_case():
+    def grams(text, n):
+        raw = text.encode()
+        ((ids, starts),) = langid._grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), (n,), 1 << 16)
+        assert starts.tolist() == [0, len(ids)]
+        return ids.tolist()
+
+    for text in ("привет", "日本語", "élève", "aé😀"):
+        for n in (1, 2, 3, 4):
+            assert len(grams(text, n)) == max(0, len(text) - n + 1)
+    assert grams("ÉLÈVE ПРИВЕТ", 2) == grams("élève привет", 2)
+    assert set(grams("日本", 2)).isdisjoint(grams("日木", 2))
