@@ -25,8 +25,8 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SAMPLE_DOCS = 4000
-MIN_RATIO = 2.0
+#: For each pair of neighbouring characters; the largest with the best F1 on held-out strings, see the README.
+MIN_RATIO = 0.1
 
 
 def _spans(text: Column, pattern: str, ok) -> Column:
@@ -94,27 +94,23 @@ class Markov:
         return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Markov:
-    """Fit both models on the labelled strings of at most ``sample_docs`` distinct ids.
-
-    The sample takes the ids with the smallest hashes. In it, what the base patterns find is labelled
-    random, and words of six or more characters elsewhere are labelled ordinary. Pair counts are
-    aggregated by Spark; the driver receives one count for each pair of characters and label.
-    """
-    hashed = docs.select(F.xxhash64(F.col(f"`{doc_id}`").cast("string")).alias("h"))
-    last = hashed.distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    if last is None:
-        return Markov([0.0] * len(ALPHABET) ** 2)
-    chosen = docs.where(F.xxhash64(F.col(f"`{doc_id}`").cast("string")) <= last).select(
-        F.col(f"`{text}`").alias("text")
-    )
-    scanned = base_scan(chosen)
+def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """token, label: what the base patterns find is random (1), words of six or more characters elsewhere are not (0)."""
+    scanned = base_scan(docs.select(F.col(f"`{text}`").alias("text")))
     hits = F.concat("_assign", "_access", "_hex")
     value = F.regexp_extract(F.col("s.hit"), r"([A-Za-z0-9+/_=-]+)[.]*$", 1)
     random = scanned.select(F.explode(hits).alias("s")).select(value.alias("token"), F.lit(1).alias("label"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = scanned.select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("token"))
-    tokens = random.union(words.select("token", F.lit(0).alias("label"))).where(F.length("token") > 1)
+    return random.union(words.select("token", F.lit(0).alias("label"))).where(F.length("token") > 1)
+
+
+def train(docs: DataFrame, text: str = "text") -> Markov:
+    """Fit both models on the labelled strings of all documents.
+
+    Pair counts are aggregated by Spark; the driver receives one count for each pair of characters and label.
+    """
+    tokens = labelled(docs, text)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2)))
     counts = tokens.select("label", pair.alias("pair")).groupBy("label", "pair").count().collect()
     n = len(ALPHABET)
@@ -137,7 +133,8 @@ def scan(docs: DataFrame, model: Markov, text: str = "text", min_ratio: float =
     """docs plus secrets: array of (start, order, end) sorted, order = place of the kind in KINDS.
 
     Base kinds hold the patterns' matches. "markov" adds strings of 16 or more letters, digits and
-    +/_=- that overlap no base span and whose log-likelihood ratio is at least ``min_ratio``.
+    +/_=- that overlap no base span and whose log-likelihood ratio, for each pair of neighbouring
+    characters, is at least ``min_ratio``.
     A null or empty text has no spans. Rows stay as they are, repeated ones too; work is per row.
     """
     found = base_scan(docs, text)
@@ -146,7 +143,7 @@ def scan(docs: DataFrame, model: Markov, text: str = "text", min_ratio: float =
     free = F.filter(
         "_long", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     )
-    more = _kind(F.filter(free, lambda s: model.score(s["hit"]) >= min_ratio), len(base))
+    more = _kind(F.filter(free, lambda s: model.score(s["hit"]) >= min_ratio * (F.length(s["hit"]) - 1)), len(base))
     found = found.withColumn("secrets", F.array_sort(F.concat("_base", more)))
     return found.drop("_text", "_assign", "_access", "_hex", "_base", "_long")
 

@@ -143,6 +143,21 @@ def test_markov_models_find_random_strings(spark):
         assert [(s["start"], s["order"], s["end"]) for s in got[i]["secrets"]] == [(4, 3, 28)]
 
 
+def test_markov_models_learn_from_every_document(spark):
+    docs = spark.range(4200).selectExpr("id AS doc_id", "xxhash64(cast(id AS string)) AS h").orderBy("h").collect()
+    rows = [(r["doc_id"], "plain otherwise words" + (" token=ZqZqZqZqZqZqZqZq" if i >= 4100 else "")) for i, r in enumerate(docs)]
+    model = secrets.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    n, at = len(secrets.ALPHABET), secrets.ALPHABET.index
+    assert model.ratios[at("Z") * n + at("q")] > 1 > model.ratios[at("Z") * n + at("z")]
+
+
+def test_markov_threshold_is_for_each_pair(spark):
+    docs = table(spark, ["x" * 81, "y" * 16])
+    for ratio, marked in ((0.03, 0), (0.2, 1)):
+        got = secrets.scan(docs, secrets.Markov([ratio] * len(secrets.ALPHABET) ** 2)).collect()
+        assert [len(r["secrets"]) for r in got] == [marked] * 2
+
+
 def test_redaction_keeps_the_rest(spark):
     docs = table(spark, SECRET_TEXTS)
     clean = secrets.redact(docs, secrets.Markov([0.0] * len(secrets.ALPHABET) ** 2))
