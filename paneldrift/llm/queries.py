@@ -284,3 +284,81 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+# ---------------------------------------------------------------- 13 conversations
+
+
+def _inserted(state: str, role: str) -> str:
+    return f"{{'c': {state}.c + 3, 'a': {state}.a || 'I', 't': list_append({state}.t, '{role}:')}}"
+
+
+def _deleted(state: str) -> str:
+    return f"{{'c': {state}.c + 4, 'a': {state}.a || 'D', 't': {state}.t}}"
+
+
+def _kept(state: str, initial: str) -> str:
+    cost = f"CASE WHEN left(role, 1) = '{initial}' AND NOT gone THEN cut ELSE 1000000 END"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || 'K', 't': list_append({state}.t, role || ':' || text)}}"
+
+
+def _reroled(state: str, role: str) -> str:
+    cost = "CASE WHEN gone THEN 1000000 ELSE 3 + cut END"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || 'R', 't': list_append({state}.t, '{role}:' || text)}}"
+
+
+_NOWHERE = "{'c': 1000000::BIGINT, 'a': '', 't': CAST([] AS VARCHAR[])}"
+#: Forward walk over the rows: the least (cost, audit) of each state, its text beside it.
+CONVERSATION_SQL = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(flatten(list_transform(range(1, len(k) + 1), lambda i: [CAST(ord(substr(k, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+         lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS fault FROM keyed),
+said AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE fault <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         rtrim(text, E' \\t\\n\\x0b\\x0c\\r') AS body FROM said),
+judged AS (
+  SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         CASE WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS cut,
+         left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM numbered),
+rows AS (SELECT *, blank OR again AS gone FROM judged),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': CAST([] AS VARCHAR[])}} AS s0,
+         {_NOWHERE} AS s1, {_NOWHERE} AS s2, {_NOWHERE} AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {_deleted('s0')}, list_min([{_deleted('s1')}, {_kept('s0', 's')}]),
+         list_min([{_deleted('r2')}, {_kept('s0', 'u')}, {_kept('s1', 'u')}, {_kept('r3', 'u')},
+                   {_reroled('s0', 'user')}, {_reroled('s1', 'user')}, {_reroled('r3', 'user')}]),
+         list_min([{_deleted('r3')}, {_kept('r2', 'a')}, {_reroled('r2', 'assistant')}])
+  FROM (SELECT *, list_min([s3, {_inserted('r2', 'assistant')}]) AS r3
+        FROM (SELECT w.s0, w.s1, w.s3, r.conv_id, r.i, r.role, r.text, r.gone, r.cut,
+                     list_min([s2, {_inserted('s0', 'user')}, {_inserted('s1', 'user')}, {_inserted('s3', 'user')}]) AS r2
+              FROM walk w JOIN rows r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1))),
+ended AS (
+  SELECT conv_id, i, list_min([s0, s3, {_inserted('r2', 'assistant')}]) AS best
+  FROM (SELECT *, list_min([s2, {_inserted('s0', 'user')}, {_inserted('s1', 'user')}, {_inserted('s3', 'user')}]) AS r2 FROM walk)),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (cut > 0 AND NOT gone) AS truncated,
+         count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit,
+       sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id WHERE e.i = coalesce(c.n, 0)
+"""
+
+
+@query("op13_conversation_repair", CONVERSATION_SQL)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from .conversations import damage, repair
+
+    return repair(damage(spark.read.parquet(f"{folder}/conversations.parquet")))
