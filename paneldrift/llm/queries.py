@@ -362,3 +362,16 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     from .conversations import damage, repair
 
     return repair(damage(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
+# ---------------------------------------------------------------- 12 two tokenizers
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    paths = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align(documents(spark, folder), *paths)
