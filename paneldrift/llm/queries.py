@@ -30,8 +30,8 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def remainder(of: int) -> Column:
-    """Fold of a document: crc32 of its id as text."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+    """Fold of a document: crc32 of its id as text, that of nothing for a null id."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
 
 
 # ---------------------------------------------------------------- 2 mixing
@@ -375,3 +375,13 @@ def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
     paths = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return align(documents(spark, folder), *paths)
+
+
+# ---------------------------------------------------------------- 11 language model
+
+
+@query("op11_lm_score")
+def op11_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    from .lm import score
+
+    return score(documents(spark, folder).withColumn("held_out", remainder(7) == 2))
