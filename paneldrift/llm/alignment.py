@@ -33,11 +33,16 @@ RANGE_CHARS = 1 << 16
 BLOCK_BYTES = 1 << 22
 #: Fragments that one step of the tree reduction composes.
 FAN = 16
+#: Texts that are encoded at once, words that make one, and words of documents whose links are summed at once: bounds on memory.
+ENCODED_WORDS = 256
+JOINED_WORDS = 64
+SUMMED_WORDS = 1 << 16
 #: Links of a group that are listed one by one; larger groups multiply their ids' counts.
 LISTED = 4096
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 SPACE_MARK = "▁"
+_NONE = np.zeros(0, np.int64)
 
 
 # ---------------------------------------------------------------- tokenizers
@@ -96,12 +101,45 @@ def _byte_alphabet() -> dict[str, int]:
 def encoded(stretches: list[str], t: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids and numbers of ids of stretches that begin with a space, by both tokenizers; the second adds
     that space itself."""
-    ids_a = [e.ids for e in t.a.encode_batch_fast(stretches, add_special_tokens=False)]
-    ids_b = t.b.encode([s[1:] for s in stretches], num_threads=1)
-    out = []
-    for ids in (ids_a, ids_b):
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        out += [np.fromiter((i for one in ids for i in one), np.int64, int(n.sum())), n]
+    found: tuple[list, ...] = ([], [], [], [])
+    for i in range(0, len(stretches), ENCODED_WORDS):
+        part = stretches[i : i + ENCODED_WORDS]
+        ids_a = [e.ids for e in t.a.encode_batch_fast(part, add_special_tokens=False)]
+        ids_b = t.b.encode([s[1:] for s in part], num_threads=1)
+        for k, ids in ((0, ids_a), (2, ids_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            found[k].append(np.fromiter((i for one in ids for i in one), np.int64, int(n.sum())))
+            found[k + 1].append(n)
+    return tuple(np.concatenate([_NONE, *x]) for x in found)
+
+
+def encoded_words(words: list[bytes], t: Tokenizers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``encoded`` of single words. Words that a text could be cut behind are encoded as one text of
+    JOINED_WORDS, and the ends of its tokens tell the words apart; others alone."""
+    joins = np.array([len(w) > 1 and 33 <= w[-1] < 127 for w in words], bool)
+    order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+    stretches = []
+    of = np.flatnonzero(joins).tolist()
+    for i in range(0, len(of), JOINED_WORDS):
+        stretches.append(b"".join([words[k] for k in of[i : i + JOINED_WORDS]]).decode())
+    stretches += [words[k].decode() for k in np.flatnonzero(~joins).tolist()]
+    a, n_a, b, n_b = encoded(stretches, t)
+    sizes = np.fromiter((len(words[k]) for k in order.tolist()), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    out: list[np.ndarray] = []
+    for ids, n, table in ((a, n_a, t.sizes_a), (b, n_b, t.sizes_b)):
+        # where tokens do not add up to the text, each word must be looked at alone
+        held = np.diff(np.concatenate([[0], np.cumsum(table[ids])])[np.concatenate([[0], np.cumsum(n)])])
+        whole = np.fromiter((len(s.encode()) for s in stretches), np.int64, len(stretches))
+        if not np.array_equal(held, whole):
+            return encoded([w.decode() for w in words], t)
+        counts = np.diff(np.searchsorted(np.cumsum(table[ids]), ends, "right"), prepend=0)
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        first = np.cumsum(counts) - counts
+        n_word = counts[back]
+        at = np.repeat(first[back] - np.cumsum(n_word) + n_word, n_word) + np.arange(int(n_word.sum()))
+        out += [ids[at], n_word]
     return out[0], out[1], out[2], out[3]
 
 
@@ -159,12 +197,26 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def spelled(g: Groups) -> list[str]:
-    """Each group as a1,a2|b1."""
+    """Each group as a1,a2|b1. Pairs of single ids, the most common groups, need no joining."""
     a, b = list(map(str, g.a.tolist())), list(map(str, g.b.tolist()))
+    plain = (np.diff(g.at_a) == 1) & (np.diff(g.at_b) == 1)
     at_a, at_b = g.at_a.tolist(), g.at_b.tolist()
-    return [
-        f"{','.join(a[at_a[k] : at_a[k + 1]])}|{','.join(b[at_b[k] : at_b[k + 1]])}" for k in range(len(at_a) - 1)
-    ]
+    out = [f"{a[i]}|{b[j]}" if one else "" for i, j, one in zip(at_a, at_b, plain.tolist())]
+    for k in np.flatnonzero(~plain).tolist():
+        out[k] = f"{','.join(a[at_a[k] : at_a[k + 1]])}|{','.join(b[at_b[k] : at_b[k + 1]])}"
+    return out
+
+
+def spelled_lines(g: Groups, upto: np.ndarray) -> list[str]:
+    """The groups upto[i] to upto[i + 1] as one line, for each i; SUMMED_WORDS lines at a time."""
+    out: list[str] = []
+    for i in range(0, len(upto) - 1, SUMMED_WORDS // 4):
+        own = upto[i : i + SUMMED_WORDS // 4 + 1]
+        at_a, at_b = g.at_a[own[0] : own[-1] + 1], g.at_b[own[0] : own[-1] + 1]
+        part = Groups(g.a[at_a[0] : at_a[-1]], g.b[at_b[0] : at_b[-1]], at_a - at_a[0], at_b - at_b[0])
+        groups, own = spelled(part), (own - own[0]).tolist()
+        out += [";".join(groups[j:k]) for j, k in zip(own, own[1:])]
+    return out
 
 
 class Fragment(NamedTuple):
@@ -181,9 +233,6 @@ class Fragment(NamedTuple):
     tail_b: np.ndarray
 
 
-_NONE = np.zeros(0, np.int64)
-
-
 def _closed(g: Groups) -> tuple[str, tuple[int, int, int, int], np.ndarray, np.ndarray]:
     _, pairs, times = links(g)
     n = np.diff(g.at_a) * np.diff(g.at_b)
@@ -277,7 +326,7 @@ class Block:
         """The block as one row: counts and hash of each document, its id pairs as places in the
         block's list of pairs, and in how many of its documents a pair is linked."""
         t, words = self.t, self.words
-        a, n_a, b, n_b = encoded([w.decode() for w in words], t)
+        a, n_a, b, n_b = encoded_words(words, t)
         sizes = np.array([len(w) for w in words], np.int64)
         good = self._exact(a, n_a, b, n_b, sizes)
         a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
@@ -288,9 +337,8 @@ class Block:
         at_b = np.concatenate([[0], np.searchsorted(ends_b, common) + 1])
         g = Groups(a, b, at_a, at_b)
         word = np.searchsorted(np.cumsum(sizes), common)
-        groups = spelled(g)
-        upto = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]).tolist()
-        text = [";".join(groups[i:j]) for i, j in zip(upto, upto[1:])]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
+        text = spelled_lines(g, upto)
         n_groups = np.diff(upto)
         n_links = np.zeros(len(words), np.int64)
         np.add.at(n_links, word, np.diff(at_a) * np.diff(at_b))
@@ -319,11 +367,20 @@ class Block:
             line = ";".join([text[w] for w in plain[k : k + n]])
             hashes.append(hashlib.sha256(line.encode()).hexdigest() if n else "")
             k += n
-        in_doc, often = summed(doc * max(len(words), 1) + used, np.ones(len(used), np.int64))
-        w, d = in_doc % max(len(words), 1), in_doc // max(len(words), 1)
-        n = of_word[w + 1] - of_word[w]
-        at = np.repeat(of_word[w] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        keys, links_of = summed(np.repeat(d, n) * wide + word_pairs[at], times[at] * np.repeat(often, n))
+        parts = [(_NONE, _NONE)]
+        upto_words = np.concatenate([[0], np.cumsum(n_words)])
+        first = 0
+        while first < len(n_words):
+            last = int(np.searchsorted(upto_words, upto_words[first] + SUMMED_WORDS, "right")) - 1
+            last = min(max(last, first + 1), len(n_words))
+            here = slice(upto_words[first], upto_words[last])
+            in_doc, often = summed(doc[here] * max(len(words), 1) + used[here], np.ones(here.stop - here.start, np.int64))
+            w, d = in_doc % max(len(words), 1), in_doc // max(len(words), 1)
+            n = of_word[w + 1] - of_word[w]
+            at = np.repeat(of_word[w] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            parts.append(summed(np.repeat(d, n) * wide + word_pairs[at], times[at] * np.repeat(often, n)))
+            first = last
+        keys, links_of = (np.concatenate(x) for x in zip(*parts))
         return block_row(self.ids, totals, hashes, pairs, keys // wide, keys % wide, links_of)
 
     def _exact(self, a, n_a, b, n_b, sizes) -> np.ndarray:
