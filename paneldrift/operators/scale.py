@@ -41,17 +41,44 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/paneldrift-{spark.sparkContext.applicationId}"
 
 
-def durable_table(df: DataFrame) -> DataFrame:
-    """Write df once and read it back: later steps see fixed rows and survive lost executors."""
-    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting that deletes an execution's shuffle files when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df once and read it back: later steps see fixed rows and survive lost executors.
+
+    The shuffle files of the write are deleted when it ends, as nothing can read them again, so a chain
+    of tables takes the disk of one step and not of all."""
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    try:
+        if before is not None:
+            spark.conf.set(CLEAN_SHUFFLES, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``durable_table`` made; all frames that read them must have been computed."""
+    for table in tables:
+        _delete(table.sparkSession, table._durable_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_tables(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; frames that read them are void then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, run_folder(spark))
 
 
 def join_on(
@@ -116,7 +143,8 @@ def skew_join(
 
     def spread(df: DataFrame, own: str, others: str, mine: str, theirs: str) -> DataFrame:
         one = join_on(df, hot, keys, "left")
-        slot = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.coalesce(own, F.lit(1)))
+        # by the row's values alone: a recomputed task deals its rows to the same slots
+        slot = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1)))
         copies = F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)
         return one.withColumn(mine, slot.cast("int")).withColumn(theirs, F.explode(copies)).drop("_pl", "_pr")
 
