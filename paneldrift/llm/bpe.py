@@ -38,8 +38,8 @@ def _loaded(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, list[byte
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table
 
 
-def pieces(text: str, pattern: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """Parts of a long text whose ids, joined, are the ids of the whole.
+def pieces(text: str, pattern: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool]]:
+    """Parts of a long text whose ids, joined, are the ids of the whole, and whether a part is one match.
 
     The text is cut before white space that follows a non-space. A stretch of more than ``size``
     characters without such a place is cut into single matches of the pattern.
@@ -49,20 +49,27 @@ def pieces(text: str, pattern: str, size: int = PIECE_CHARS) -> Iterator[str]:
         cut = SAFE.search(text, start + size)
         end = cut.start() if cut else len(text)
         if end - start <= 2 * size:
-            yield text[start:end]
+            yield text[start:end], False
         else:
             for match in regex.finditer(pattern, text[start:end]):
-                yield match.group()
+                yield match.group(), True
         start = end
-    yield text[start:]
+    yield text[start:], False
 
 
 def encode(text: str, ranks_path: str, pattern: str) -> np.ndarray:
-    """Token ids of a text of any length; strings of special tokens are ordinary text."""
+    """Token ids of a text of any length; strings of special tokens are ordinary text.
+
+    A single match is merged as bytes: the encoder's own pattern engine cannot take a million blanks.
+    """
     enc, _ = encoding(ranks_path, pattern)
     if len(text) <= PIECE_CHARS:
         return np.asarray(enc.encode_ordinary(text), np.int32)
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), np.int32) for p in pieces(text, pattern)])
+    ids = [
+        enc._encode_single_piece(part.encode()) if single else enc.encode_ordinary(part)
+        for part, single in pieces(text, pattern)
+    ]
+    return np.concatenate([np.asarray(x, np.int32) for x in ids])
 
 
 def decode(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:
@@ -77,8 +84,9 @@ def encode_documents(
     """doc_id, ids array<int>, decoded binary: each text's tokens and the bytes they decode to.
 
     One pass without a shuffle; every row is independent. A null or empty text has no tokens and
-    decodes to no bytes; repeated rows stay; other columns are not read. ``ranks_path`` is a file
-    that every executor has.
+    decodes to no bytes; repeated rows stay; other columns are not read. Very long texts, runs of
+    millions of blanks or letters included, are encoded in parts by the task that reads them.
+    ``ranks_path`` is a file that every executor has.
     """
     schema = T.StructType(
         [
