@@ -25,8 +25,52 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: For each pair of neighbouring characters; the largest with the best F1 on held-out strings, see the README.
+#: For each pair of neighbouring characters, see the README.
 MIN_RATIO = 0.1
+#: Weight of a model's own character frequencies in its transitions, in pairs.
+PRIOR = 5.0
+#: Texts with more spans are redacted through an array of their characters.
+MANY_SPANS = 64
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value), with the value computed once: a lambda's argument is not computed for each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(values: Column, op, start: int) -> Column:
+    """Inclusive running totals of an array of ints under ``op``.
+
+    Chunks of about the square root of the array are totalled on their own and then shifted, so no
+    long array is copied for each of its elements.
+    """
+
+    def totals(chunk: Column) -> Column:
+        zero = F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = op(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(chunk, zero, step, lambda acc: acc["out"])
+
+    def shifted(chunks: Column) -> Column:
+        ends = totals(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)))
+        before = F.concat(F.array(F.lit(start)), ends)
+        moved = F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda c, o: F.transform(c, lambda x: op(o, x)))
+        return F.flatten(moved)
+
+    def chunked(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"), F.lit(1))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), width)
+        return F.transform(firsts, lambda i: totals(F.slice(v, i, width)))
+
+    none = F.array().cast("array<int>")
+    return F.when(F.size(values) > 0, _bound(_bound(values, chunked), shifted)).otherwise(none)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _spans(text: Column, pattern: str, ok) -> Column:
@@ -36,23 +80,50 @@ def _spans(text: Column, pattern: str, ok) -> Column:
     their lengths add up to positions. ``ok`` gets all matches and gives an array of booleans.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), ok.alias("ok")
-    )
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("spans")
-    )
+    pieces = F.struct(found.alias("hits"), F.split(text, pattern, -1).alias("gaps"), ok.alias("ok"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(
-            end.alias("at"), F.when(x["ok"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")
+    def placed(m: Column) -> Column:
+        sizes = F.zip_with(
+            F.slice(m["gaps"], F.lit(1), F.size(m["hits"])), m["hits"], lambda g, h: F.length(g) + F.length(h)
+        )
+        rows = F.arrays_zip(_running(sizes, _sum, 0).alias("end"), m["hits"].alias("hit"), m["ok"].alias("ok"))
+        return F.transform(
+            F.filter(rows, lambda r: r["ok"]),
+            lambda r: F.struct((r["end"] - F.length(r["hit"])).alias("start"), r["end"].alias("end"), r["hit"].alias("hit")),
         )
 
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+    return F.when(text.rlike(pattern), _bound(pieces, placed)).otherwise(none)
+
+
+def _free(spans: Column, base: Column) -> Column:
+    """The spans that overlap no base span: both are walked once in order of their starts.
+
+    A span is free if no base span that begins before it reaches into it, and the next one begins
+    behind it.
+    """
+    none = F.lit(None).cast("string")
+    both = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("own"), b["end"].alias("end"), none.alias("hit"))),
+            F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("own"), s["end"].alias("end"), s["hit"].alias("hit"))),
+        )
+    )
+    far = (1 << 31) - 1
+
+    def walked(rows: Column) -> Column:
+        reach = _running(F.transform(rows, lambda r: F.when(r["own"] == 0, r["end"]).otherwise(0)), F.greatest, 0)
+        starts = F.transform(F.reverse(rows), lambda r: F.when(r["own"] == 0, r["start"]).otherwise(F.lit(far)))
+        following = F.reverse(_running(starts, F.least, far))
+        kept = F.filter(
+            F.arrays_zip(rows.alias("r"), reach.alias("reach"), following.alias("next")),
+            lambda x: (x["r"]["own"] == 1) & (x["reach"] <= x["r"]["start"]) & (x["next"] >= x["r"]["end"]),
+        )
+        return F.transform(
+            kept, lambda x: F.struct(x["r"]["start"].alias("start"), x["r"]["end"].alias("end"), x["r"]["hit"].alias("hit"))
+        )
+
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), _bound(both, walked)).otherwise(spans)
 
 
 def _assign(text: Column) -> Column:
@@ -113,17 +184,33 @@ def train(docs: DataFrame, text: str = "text") -> Markov:
     tokens = labelled(docs, text)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2)))
     counts = tokens.select("label", pair.alias("pair")).groupBy("label", "pair").count().collect()
-    n = len(ALPHABET)
-    seen = [[1.0] * (n * n) for _ in range(2)]
+    seen: list[dict[tuple[int, int], int]] = [{}, {}]
     for row in counts:
         a, b = (ALPHABET.find(c) for c in row["pair"])
         if a >= 0 and b >= 0:
-            seen[row["label"]][a * n + b] += row["count"]
-    logs = []
-    for table in seen:
-        rows = [sum(table[a * n : (a + 1) * n]) for a in range(n)]
-        logs.append([math.log(table[k] / rows[k // n]) for k in range(n * n)])
-    return Markov([round(r - o, 4) for o, r in zip(logs[0], logs[1], strict=True)])
+            seen[row["label"]][a, b] = row["count"]
+    ordinary, random = (_transitions(pairs) for pairs in seen)
+    ratios = [round(r - o, 4) for o, r in zip(ordinary, random, strict=True)]
+    # a repeated character is no sign of randomness: rulers hold nothing else
+    repeated = {a * len(ALPHABET) + a for a in range(len(ALPHABET))}
+    return Markov([min(x, 0.0) if k in repeated else x for k, x in enumerate(ratios)])
+
+
+def _transitions(pairs: dict[tuple[int, int], int]) -> list[float]:
+    """Log probabilities of a character after another: counts, backed off to the frequencies of characters.
+
+    A character that the labelled strings never hold before another is followed by what is frequent
+    in them, so a model's rare rows are not flat.
+    """
+    n = range(len(ALPHABET))
+    before, after = [0] * len(n), [1] * len(n)
+    for (a, b), count in pairs.items():
+        before[a] += count
+        after[b] += count
+    total = sum(after)
+    return [
+        math.log((pairs.get((a, b), 0) + PRIOR * after[b] / total) / (before[a] + PRIOR)) for a in n for b in n
+    ]
 
 
 # ---------------------------------------------------------------- the scan
@@ -135,14 +222,14 @@ def scan(docs: DataFrame, model: Markov, text: str = "text", min_ratio: float =
     Base kinds hold the patterns' matches. "markov" adds strings of 16 or more letters, digits and
     +/_=- that overlap no base span and whose log-likelihood ratio, for each pair of neighbouring
     characters, is at least ``min_ratio``.
-    A null or empty text has no spans. Rows stay as they are, repeated ones too; work is per row.
+    A null or empty text has no spans. Rows stay as they are, repeated ones too; work is per row. In a
+    text of n matches positions cost about n^1.5 small steps, so tens of thousands of secrets in one
+    text are no problem.
     """
     found = base_scan(docs, text)
     base = [_kind(F.col(c), k) for k, c in enumerate(("_assign", "_access", "_hex"))]
     found = found.withColumns({"_base": F.concat(*base), "_long": _always(F.col("_text"), CANDIDATE)})
-    free = F.filter(
-        "_long", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
+    free = _free(F.col("_long"), F.col("_base"))
     more = _kind(F.filter(free, lambda s: model.score(s["hit"]) >= min_ratio * (F.length(s["hit"]) - 1)), len(base))
     found = found.withColumn("secrets", F.array_sort(F.concat("_base", more)))
     return found.drop("_text", "_assign", "_access", "_hex", "_base", "_long")
@@ -167,19 +254,28 @@ def redact(docs: DataFrame, model: Markov, text: str = "text", mark: str = "[SEC
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     found = scan(rows, model, "text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["parts"], F.array(gap, F.lit(mark)))).otherwise(acc["parts"]).alias("parts"),
-        )
-
-    clean = F.aggregate(
-        "secrets", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", a["at"] + 1, F.length("text")))
-    )
+    many = F.size("secrets") > MANY_SPANS
+    # substring walks the text from its beginning, so texts with many spans are taken as arrays
+    characters = F.when(many, F.split("text", "(?!^)")).otherwise(F.array().cast("array<string>"))
+    row = F.struct(F.col("text"), F.col("secrets"), characters.alias("characters"))
+
+    def marked(r: Column) -> Column:
+        def cut(first: Column, last: Column) -> Column:
+            some = F.array_join(F.slice(r["characters"], first + 1, last - first), "")
+            return F.when(F.size(r["characters"]) > 0, some).otherwise(F.substring(r["text"], first + 1, last - first))
+
+        def joined(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+            fresh = F.filter(
+                F.arrays_zip(r["secrets"].alias("s"), before.alias("before")), lambda x: x["s"]["start"] >= x["before"]
+            )
+            parts = F.transform(fresh, lambda x: F.concat(cut(x["before"], x["s"]["start"]), F.lit(mark)))
+            tail = cut(F.get(reach, F.size(reach) - 1), F.length(r["text"]))
+            return F.concat(F.array_join(parts, ""), tail)
+
+        return _bound(_running(F.transform(r["secrets"], lambda s: s["end"]), F.greatest, 0), joined)
+
+    clean = _bound(row, marked)
     clean = F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))
     return found.select(
         *[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns]
