@@ -2,56 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
-
-
-# ---------------------------------------------------------------- written tables
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only a session that runs in one process and has no such setting gets a folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paneldrift-llm-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+from ..operators.scale import discard, durable_table, release_tables
 
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: later steps see fixed rows, and a lost executor costs a read, not a recomputation.
-    The tables of a session lie below one folder, see ``release``.
-    """
-    spark = df.sparkSession
-    path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _session_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
+CHUNK_BYTES = 1 << 20
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made in this session; frames that read them are void then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Tables between steps: written into the shared folder and read back, see operators/scale.py.
+written = durable_table
+release = release_tables
 
 
 # ---------------------------------------------------------------- bytes of Arrow batches
@@ -151,10 +116,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = (
             both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         )
-        large = written(large, "large_star")
+        large, old = written(large, "large_star"), e
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         e = written(small.union(lowest.select("a", F.col("low").alias("b"))).distinct(), "small_star")
+        discard(old, large)
         before, state = state, _fingerprint(e)
         if state == before:
             break
