@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, mix, prefix_hashes, range_hashes, required, text_chunks, written
+from .common import LOWER, SPACE, discard, mix, prefix_hashes, range_hashes, required, text_chunks, written
 from .elias_fano import Trie, log10_of, quantised
 
 #: Bytes of text of a block, and n-grams that blocks send to a shard, on average.
@@ -280,6 +280,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
         return row | {"n_grams": len(line.bigrams(model).sent(1)[0])}
 
     state = written(_mapped(_with_answers(blocks, found), with_words, second), "bigrams")
+    discard(blocks, found)
     s2 = shards(state.agg(F.sum("n_grams")).first()[0])
 
     def two(row: dict) -> tuple[Line, Grams]:
@@ -300,7 +301,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
         row |= {"bigram_counts": pack(counts), "bigram_codes": pack(codes)}
         return row | {"n_grams": len(three(row)[1].sent(1)[0])}
 
-    state = written(_mapped(_with_answers(state, found), with_bigrams, third), "trigrams")
+    bigrams, state = state, written(_mapped(_with_answers(state, found), with_bigrams, third), "trigrams")
+    discard(bigrams)
     s3 = shards(state.agg(F.sum("n_grams")).first()[0])
     found = _answered(_asked(state, lambda row: (three(row)[1], s3)), s3)
     result = T.StructType(
