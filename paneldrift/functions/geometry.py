@@ -165,6 +165,20 @@ def _sql_edges_meet(e: str, f: str) -> str:
     return f"({boxes} AND {across} AND {back})"
 
 
+def edges_meet(e: str, f: str) -> Column:
+    """Do two edge columns share a point? Touching counts."""
+    return F.expr(_sql_edges_meet(e, f))
+
+
+def sql_gcd(a: str, b: str) -> str:
+    """Greatest common divisor of two whole numbers that are not both zero; 92 steps of Euclid's
+    algorithm reach it for any 64-bit numbers."""
+    step = "(s, i) -> IF(s.b = 0, s, named_struct('a', s.b, 'b', s.a - s.b * (s.a div nullif(s.b, 0))))"
+    start = f"named_struct('a', nullif(abs({a}), -1), 'b', nullif(abs({b}), -1))"
+    euclid = f"aggregate(sequence(1, 92), {start}, {step}, s -> s.a)"
+    return f"IF({a} = 0 OR {b} = 0, abs({a} + {b}), {euclid})"
+
+
 def polygons_intersect(rings_a: str, box_a: str, rings_b: str, box_b: str) -> Column:
     """Do two polygons share a point? Touching counts; a polygon inside a hole does not.
 

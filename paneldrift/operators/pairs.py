@@ -32,10 +32,11 @@ def as_panel(df: DataFrame, unit: str, group: str, time: str, value: str) -> Dat
 
 @dataclass(frozen=True)
 class TimePairs:
-    """Period pairs per group."""
+    """Period pairs per group; ``years`` is the calendar of all pairs, as a scalar array."""
 
     df: DataFrame
     mode: str
+    years: Column | None = None
 
 
 def time_pairs(
@@ -77,7 +78,7 @@ def time_pairs(
         .select("group", "pair.y1", "pair.y2")
         .where(F.col("y2").isNotNull())
     )
-    return TimePairs(pairs, mode)
+    return TimePairs(pairs, mode, all_years)
 
 
 def _roles(pairs: DataFrame) -> DataFrame:
@@ -92,9 +93,18 @@ def _roles(pairs: DataFrame) -> DataFrame:
 def _with_roles(rows: DataFrame, pairs: TimePairs) -> DataFrame:
     """The rows once for each role of their period.
 
-    The roles, a few rows for each group and period, are written: their real size tells Spark
-    whether to broadcast them.
+    A row shows that its group has its period, so all pairs of that period with others of the calendar
+    belong to the group: they come from the calendar alone. Otherwise the roles, a few rows for
+    each group and period, are written: their real size tells Spark whether to broadcast them.
     """
+    if pairs.mode == "all":
+        role = F.transform(
+            F.filter("_years", lambda y: y != F.col("yr")),
+            lambda y: F.struct(
+                F.least(y, "yr").alias("y1"), F.greatest(y, "yr").alias("y2"), (y > F.col("yr")).alias("first")
+            ),
+        )
+        return rows.withColumn("_years", pairs.years).select(*rows.columns, F.inline(role))
     return join_on(rows, durable_table(_roles(pairs.df)), ["group", "yr"], null_safe=True)
 
 

@@ -119,6 +119,23 @@ def supplier_grid(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_nationkey").alias("nation"), square.alias("rings"))
 
 
+def brick_wall(t: Tables) -> DataFrame:
+    """A gapless wall of one brick per customer, grouped by nation: rows of sixty bricks, one, two or
+    three wide from row to row, so that neighbours in different rows seldom share vertices."""
+    brick = rectangle("c_custkey % 60 * wide", "floor(c_custkey / 60)", "wide", "1")
+    rows = t.customer.withColumn("wide", F.expr("floor(c_custkey / 60) % 3 + 1"))
+    return rows.select(F.col("c_nationkey").alias("nation"), brick.alias("rings"))
+
+
+def part_corners(t: Tables) -> DataFrame:
+    """The lower left corner of every part's rectangle, as coordinates of a point feature."""
+    return t.part.select(
+        F.col("p_partkey").alias("id"),
+        F.expr("p_partkey % 100 * 7").alias("lon"),
+        F.expr("floor(p_partkey / 100) * 5").alias("lat"),
+    )
+
+
 def order_bridge(t: Tables) -> DataFrame:
     """Many-to-many link unit - postcode with coordinates; one postcode is missing."""
     return t.orders.select(

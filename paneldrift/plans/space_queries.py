@@ -21,6 +21,8 @@ from ..operators.scale import durable_table, join_on
 from . import sql as S
 from .bindings import (
     Tables,
+    brick_wall,
+    part_corners,
     part_layer,
     part_panel,
     part_profile,
@@ -109,28 +111,56 @@ def dissolve_edges(t: Tables) -> DataFrame:
     return X.dissolve(supplier_grid(t), ["nation"])
 
 
+@query(
+    """WITH bricks AS (SELECT c_nationkey AS nation, c_custkey // 60 AS y, c_custkey // 60 % 3 + 1 AS w,
+                             c_custkey % 60 * (c_custkey // 60 % 3 + 1) AS x FROM customer),
+    units AS (SELECT nation, 'h' AS way, y + d AS line, x + u AS t FROM bricks, range(2) a(d), range(3) b(u) WHERE u < w
+              UNION ALL SELECT nation, 'v', x + d * w, y FROM bricks, range(2) a(d)),
+    odd AS (SELECT nation, way, line, t FROM units GROUP BY ALL HAVING count(*) % 2 = 1),
+    runs AS (SELECT nation, way, line, min(t) AS t1, max(t) + 1 AS t2
+             FROM (SELECT *, t - row_number() OVER (PARTITION BY nation, way, line ORDER BY t) AS run FROM odd)
+             GROUP BY nation, way, line, run)
+    SELECT nation, (CASE way WHEN 'h' THEN t1 ELSE line END)::DOUBLE AS x1, (CASE way WHEN 'h' THEN line ELSE t1 END)::DOUBLE AS y1,
+           (CASE way WHEN 'h' THEN t2 ELSE line END)::DOUBLE AS x2, (CASE way WHEN 'h' THEN line ELSE t2 END)::DOUBLE AS y2
+    FROM runs"""
+)
+def dissolve_bricks(t: Tables) -> DataFrame:
+    """Boundary of each nation's bricks, whose neighbours meet in T-junctions."""
+    return X.dissolve_noded(brick_wall(t), ["nation"])
+
+
+@query(
+    S.with_(S.SUPPLIERS)
+    + """SELECT p_partkey AS id, upper(name) AS name, area_id, 'EPSG:4269' AS crs
+         FROM part JOIN (SELECT s.id AS area_id, s.* FROM suppliers s JOIN supplier ON s.id = s_suppkey WHERE s_acctbal > 0) s
+         ON p_partkey % 100 * 7 BETWEEN x AND x + w AND p_partkey // 100 * 5 BETWEEN y AND y + h"""
+)
+def points_in_areas(t: Tables) -> DataFrame:
+    """Point features in a prepared layer: the areas of suppliers in credit, touching counts."""
+    credit = t.supplier.where("s_acctbal > 0").select(F.col("s_name").alias("name"))
+    layer = X.prepare_layer(supplier_layer(t), credit, "name", drop=["ord"], recode=("name", F.upper("name")))
+    corners = X.points(part_corners(t), "lon", "lat").select("id", "crs", "point.x", "point.y")
+    found = X.points_in(corners, layer, TILE)
+    names = layer.select(F.col("id").alias("area_id"), "name")
+    return join_on(found, names, ["area_id"]).select("id", "name", "area_id", "crs")
+
+
 def _area_table(t: Tables) -> DataFrame:
     """The unit dictionary, written once: the roll-ups read it several times."""
     return durable_table(_unit_areas(t))
 
 
-def _changes(t: Tables, areas: DataFrame, pv: DataFrame | None = None) -> DataFrame:
-    pv = pair_values(stored(part_panel(t))) if pv is None else pv
-    return A.area_changes(C.change_class(pv), areas)
+def _cube(t: Tables, areas: DataFrame) -> DataFrame:
+    return A.area_cube(C.change_class(pair_values(stored(part_panel(t)))), areas, parent="parent")
 
 
-def _rolled(t: Tables, areas: DataFrame, pv: DataFrame | None = None) -> DataFrame:
-    return A.rollup_area(
-        _changes(t, areas, pv),
-        areas,
-        breaks=S.ROLLUP_BREAKS,
-        rename={"Brand#1": "Old Brand"},
-    )
+def _rolled(cube: DataFrame) -> DataFrame:
+    return A.cube_rollup(cube, breaks=S.ROLLUP_BREAKS, rename={"Brand#1": "Old Brand"})
 
 
 @query(S.with_(*S.SPACE_CHAIN) + "SELECT area, d_m, parent, gg FROM rolled")
 def rollup_area(t: Tables) -> DataFrame:
-    return A.largest_first(_rolled(t, _area_table(t)), "d_m", "area")
+    return A.largest_first(_rolled(_cube(t, _unit_areas(t))), "d_m", "area")
 
 
 @query(
@@ -141,7 +171,7 @@ def rollup_area(t: Tables) -> DataFrame:
          FROM rolled GROUP BY 1"""
 )
 def enrichment_share(t: Tables) -> DataFrame:
-    return rounded(A.enrichment(_rolled(t, _area_table(t)), "parent"), "pct")
+    return rounded(A.enrichment(_rolled(_cube(t, _unit_areas(t))), "parent"), "pct")
 
 
 @query(
@@ -154,7 +184,7 @@ def enrichment_share(t: Tables) -> DataFrame:
 )
 def outlier_filter(t: Tables) -> DataFrame:
     """Areas above a fixed change with the quartiles of their parent."""
-    rolled = durable_table(_rolled(t, _area_table(t)))
+    rolled = durable_table(_rolled(_cube(t, _unit_areas(t))))
     return rounded(M.outliers(rolled, ["parent"], "d_m", above=-100), "q1", "q3", "iqr")
 
 
@@ -170,7 +200,7 @@ def outlier_filter(t: Tables) -> DataFrame:
 def topk_gain_loss(t: Tables) -> DataFrame:
     from ..functions.values import strict_sum
 
-    totals = _changes(t, _area_table(t)).groupBy("tt", "area").agg(strict_sum("d_m").alias("d_m"))
+    totals = A.cube_changes(_cube(t, _unit_areas(t))).groupBy("tt", "area").agg(strict_sum("d_m").alias("d_m"))
     return top_k_signed(totals, "d_m", 10, ["tt"], "area")
 
 
@@ -180,7 +210,7 @@ def topk_gain_loss(t: Tables) -> DataFrame:
          FROM area_levels JOIN suppliers ON area = name"""
 )
 def density_level(t: Tables) -> DataFrame:
-    levels = A.area_levels(pair_values(stored(part_panel(t))), _area_table(t))
+    levels = A.cube_levels(_cube(t, _unit_areas(t)))
     sizes = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))
     joined = join_on(levels.drop("m1"), sizes, ["area"], null_safe=False)
     return rounded(A.density(joined, "m2", "size"), "density")
@@ -198,7 +228,7 @@ def _area_profile(t: Tables, areas: DataFrame) -> DataFrame:
          round(income, 4) AS income, round(apt, 6) AS apt FROM area_profile"""
 )
 def weighted_mean(t: Tables) -> DataFrame:
-    means = _area_profile(t, _area_table(t))
+    means = _area_profile(t, _unit_areas(t))
     return rounded(means, "singd", "semd", "row", "apt").withColumn("income", F.round("income", 4))
 
 
@@ -220,11 +250,11 @@ def unit_profile_change(t: Tables) -> DataFrame:
 def _model_table(t: Tables) -> DataFrame:
     areas = _area_table(t)
     layer = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))
-    pv = durable_table(pair_values(stored(part_panel(t))))
-    levels = A.area_levels(pv, areas)
-    latest = levels.agg(F.max("y2").alias("y")).scalar()
+    cube = _cube(t, areas)
+    levels = A.cube_levels(cube)
+    latest = cube.agg(F.max("y2").alias("y")).scalar()
     last = levels.where(F.col("y2") == latest).select("area", F.col("m2").alias("level"))
-    return M.model_table(_rolled(t, areas, pv), layer, _area_profile(t, areas), last, "area")
+    return M.model_table(_rolled(cube), layer, _area_profile(t, areas), last, "area")
 
 
 @query(
@@ -295,18 +325,19 @@ def _estimates_sql() -> str:
 
 
 @query(
-    _estimates_sql()
-    + """SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+    _estimates_sql().replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", degrees AS (SELECT n - 5 AS v FROM terms), {S.t_quantile('degrees')}
+         SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
          round(estimate / std_error, 6) AS t_value, n, round(r2, 6) AS r2,
-         round(1 - (1 - r2) * (n - 1) / (n - 5), 6) AS r2_adj FROM terms"""
+         round(1 - (1 - r2) * (n - 1) / (n - 5), 6) AS r2_adj,
+         round(estimate - t * std_error, 5) AS ci_low, round(estimate + t * std_error, 5) AS ci_high,
+         round(1 - {S.t_within('abs(estimate / std_error)', 'v')}, 6) AS p_value FROM terms JOIN quantiles ON v = n - 5"""
 )
 def ols_coefficients(t: Tables) -> DataFrame:
-    """Regression of area change (thousands) on standardised size, income and shares.
-
-    ``ols_table`` also gives p values and confidence limits, which need a t distribution."""
+    """Regression of area change (thousands) on standardised size, income and shares."""
     table = _fitted(t).withColumn("t_value", F.col("estimate") / F.col("std_error"))
-    columns = ["term", "estimate", "std_error", "t_value", "n", "r2", "r2_adj"]
-    return rounded(table.select(*columns), "estimate", "std_error", "t_value", "r2", "r2_adj")
+    wide = table.withColumns({c: F.round(c, 5) for c in ("ci_low", "ci_high")})
+    return rounded(wide, "estimate", "std_error", "t_value", "r2", "r2_adj", "p_value")
 
 
 @query(_estimates_sql() + "SELECT term, round(estimate, 6) AS estimate, n, round(r2, 6) AS r2 FROM terms")
@@ -315,15 +346,19 @@ def ols_estimates(t: Tables) -> DataFrame:
     return rounded(_fitted(t).select("term", "estimate", "n", "r2"), "estimate", "r2")
 
 
+_LONG = """, long AS (""" + " UNION ALL ".join(
+    f"SELECT '{v}' AS variable, {x} AS value, d_m / 1000.0::DOUBLE AS y FROM model"
+    for v, x in [
+        ("size", "size"), ("income", "income / 1000"), ("singd", "singd"), ("semd", "semd"),
+        ("row", '"row"'), ("apt", "apt"),
+    ]
+) + ")"
+
+
 @query(
     S.with_(*S.SPACE_CHAIN, S.PROFILE, S.AREA_PROFILE, S.MODEL)
-    + """, long AS (""" + " UNION ALL ".join(
-        f"SELECT '{v}' AS variable, {x} AS value, d_m / 1000.0::DOUBLE AS y FROM model"
-        for v, x in [
-            ("size", "size"), ("income", "income / 1000"), ("singd", "singd"), ("semd", "semd"),
-            ("row", '"row"'), ("apt", "apt"),
-        ]
-    ) + """)
+    + _LONG
+    + """
         SELECT variable, round(regr_slope(y, value), 6) AS slope, round(regr_intercept(y, value), 6) AS intercept,
         round(regr_r2(y, value), 6) AS r2, regr_count(y, value)::BIGINT AS n,
         round(regr_avgx(y, value), 6) AS mean_x, round(regr_sxx(y, value), 6) AS sxx,
@@ -332,12 +367,32 @@ def ols_estimates(t: Tables) -> DataFrame:
         FROM long GROUP BY 1"""
 )
 def regr_by_variable(t: Tables) -> DataFrame:
+    fit = M.regr_by(_model_long(t), "variable", "y", "value")
+    return rounded(fit, "slope", "intercept", "r2", "mean_x", "sxx", "resid_error")
+
+
+def _model_long(t: Tables) -> DataFrame:
     table = _model_table(t).select(
         (F.col("d_m") / 1000).alias("y"),
         "size", (F.col("income") / 1000).alias("income"), "singd", "semd", "row", "apt",
     )
-    long = table.unpivot(
-        ["y"], ["size", "income", "singd", "semd", "row", "apt"], "variable", "value"
-    )
-    fit = M.regr_by(long, "variable", "y", "value")
-    return rounded(fit, "slope", "intercept", "r2", "mean_x", "sxx", "resid_error")
+    return table.unpivot(["y"], ["size", "income", "singd", "semd", "row", "apt"], "variable", "value")
+
+
+@query(
+    S.with_(*S.SPACE_CHAIN, S.PROFILE, S.AREA_PROFILE, S.MODEL).replace("WITH ", "WITH RECURSIVE ", 1)
+    + _LONG
+    + f""", fits AS (SELECT variable, regr_slope(y, value) AS b, regr_intercept(y, value) AS a, regr_count(y, value)::BIGINT - 2 AS v,
+          regr_avgx(y, value) AS mean, regr_sxx(y, value) AS sxx,
+          sqrt((regr_syy(y, value) - regr_sxy(y, value) ** 2 / regr_sxx(y, value)) / (regr_count(y, value) - 2)) AS s,
+          min(value) FILTER (y IS NOT NULL) AS x1, max(value) FILTER (y IS NOT NULL) AS x2 FROM long GROUP BY 1),
+        {S.t_quantile('fits')},
+        grid AS (SELECT *, x1 + (x2 - x1) * k / 20.0::DOUBLE AS x FROM fits JOIN quantiles USING (v), range(21) r(k))
+        SELECT variable, round(x, 6) AS x, round(a + b * x, 5) AS fit,
+               round(a + b * x - t * s * sqrt(1.0 / (v + 2) + (x - mean) ** 2 / sxx), 5) AS low,
+               round(a + b * x + t * s * sqrt(1.0 / (v + 2) + (x - mean) ** 2 / sxx), 5) AS high FROM grid"""
+)
+def confidence_bands(t: Tables) -> DataFrame:
+    """Fitted lines of area change on each variable with their 95 % bands."""
+    band = M.confidence_band(_model_long(t), "variable", "y", "value", points=21)
+    return band.select("variable", F.round("x", 6).alias("x"), *[F.round(c, 5).alias(c) for c in ("fit", "low", "high")])

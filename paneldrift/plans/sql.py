@@ -165,3 +165,27 @@ MODEL = """model AS (
         LEFT JOIN (SELECT name AS area, w, h FROM suppliers) USING (area)
         LEFT JOIN area_profile USING (area)
         LEFT JOIN (SELECT area, m2 FROM area_levels WHERE y2 = (SELECT max(yr) FROM P)) USING (area)))"""
+
+
+def t_within(t: str, v: str) -> str:
+    """P(-t < T < t) for whole degrees of freedom: closed forms with gamma functions."""
+    q = f"({v} / ({v} + {t} * {t}))"
+    sine = f"({t} / sqrt({v} + {t} * {t}))"
+    even = f"""list_sum(list_transform(range(0, CAST(({v} - 2) // 2 + 1 AS BIGINT)),
+      lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) / sqrt(pi()) * pow({q}, k)))"""
+    odd = f"""coalesce(list_sum(list_transform(range(0, CAST(({v} - 3) // 2 + 1 AS BIGINT)),
+      lambda k: exp(lgamma(k + 1.0::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * sqrt(pi()) / 2 * pow({q}, k))), 0)"""
+    return (
+        f"CASE WHEN {v} % 2 = 0 THEN {sine} * {even} "
+        f"ELSE 2 / pi() * (atan2({t}, sqrt({v}::DOUBLE)) + {sine} * sqrt({q}) * {odd}) END"
+    )
+
+
+def t_quantile(source: str, level: float = 0.95) -> str:
+    """CTE quantiles (v, t): bisection for every number of degrees of freedom v of a CTE."""
+    middle = "((lo + hi) / 2)"
+    return f"""bisected AS (
+  SELECT DISTINCT v, 0::DOUBLE AS lo, 700::DOUBLE AS hi, 0 AS step FROM {source}
+  UNION ALL SELECT v, CASE WHEN below THEN middle ELSE lo END, CASE WHEN below THEN hi ELSE middle END, step + 1
+  FROM (SELECT *, {middle} AS middle, {t_within(middle, 'v')} < {level} AS below FROM bisected WHERE step < 64)),
+quantiles AS (SELECT v, lo AS t FROM bisected WHERE step = 64)"""

@@ -19,7 +19,7 @@ from ..operators.growth import first_last_change as ends_change
 from ..operators.profile import profile_wide
 from ..operators.profile import row_shares as shares_of_row
 from ..operators.scale import durable_table, join_on, ordered_gaps as gaps_in_order, run_folder
-from ..sources.panels import parse_long, parse_transposed
+from ..sources.panels import parse_long, parse_transposed, read_transposed_panel
 from . import sql as S
 from .bindings import (
     Tables,
@@ -91,6 +91,14 @@ def panel_ingest_totals(t: Tables) -> DataFrame:
     return parse_transposed(transposed_files(t))[1]
 
 
+@query(S.with_(S.PN) + f'SELECT {CITY} AS "group", unit, yr, value FROM P')
+def panel_files(t: Tables) -> DataFrame:
+    """The transposed files written into folders and read back by ranges of their wide lines."""
+    root = f"{run_folder(t.spark)}/{uuid.uuid4().hex}"
+    transposed_files(t).write.partitionBy("folder", "file").text(root)
+    return read_transposed_panel(t.spark, root, "partitions")[0]
+
+
 def _long_rows(t: Tables) -> DataFrame:
     p = order_panel_null(t)
     prefix = F.when(F.col("group") == "AFRICA", "35").otherwise("59")

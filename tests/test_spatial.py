@@ -141,3 +141,82 @@ def test_one_huge_polygon_makes_few_rows(spark):
     got = rows(X.spatial_join(small, huge, 1.0), "a_id", "b_id")
     assert got == sorted([(i, 1) for i in range(40)] + [(3, 2), (4, 2)], key=repr)
     assert len(rows(X.spatial_join(huge, small, 1.0))) == 42
+
+
+def test_no_shuffle_carries_rings(spark, capsys):
+    """Polygons of 10,000 vertices meet by boxes, single edges and bands of edges."""
+    def wheel(cx, cy, size):
+        return [(cx + size * math.cos(k / 5000 * math.pi), cy + size * math.sin(k / 5000 * math.pi)) for k in range(10000)]
+
+    one = layer(spark, [(1, [wheel(0, 0, 10)]), (2, [wheel(30, 0, 5)])])
+    two = layer(spark, [(7, [wheel(0, 0, 3)]), (8, [wheel(15, 0, 5.5)]), (9, [wheel(22, 0, 2)])])
+    met = X.spatial_join(one, two)
+    assert rows(met, "a_id", "b_id") == [(1, 7), (1, 8)]
+    met.explain("formatted")
+    operators = [p.strip("\n") for p in capsys.readouterr().out.split("\n\n")]
+    exchanges = [p for p in operators if "Exchange" in p.split("\n")[0] and p.startswith("(")]
+    assert exchanges and not any("rings" in p for p in exchanges)
+    widest = X._banded(one, "id").agg(F.max(F.size("edges"))).first()[0]
+    assert widest < 1000
+
+
+def boundary(shapes, n):
+    """Cells of an n x n grid that shapes cover, and the outline's unit segments."""
+    cells = {(x, y) for sx, sy, w, h in shapes for x in range(sx, sx + w) for y in range(sy, sy + h)}
+    sides = {}
+    for x, y in cells:
+        for s in ((x, y, x + 1, y), (x, y + 1, x + 1, y + 1), (x, y, x, y + 1), (x + 1, y, x + 1, y + 1)):
+            sides[s] = sides.get(s, 0) + 1
+    return {s for s, k in sides.items() if k == 1}
+
+
+def split(rnd, x, y, w, h):
+    """Random unequal rectangles that tile a rectangle: neighbours meet in T-junctions."""
+    if w * h < 6 or (w < 2 and h < 2):
+        return [(x, y, w, h)]
+    if w >= h:
+        k = rnd.randint(1, w - 1)
+        return split(rnd, x, y, k, h) + split(rnd, x + k, y, w - k, h)
+    k = rnd.randint(1, h - 1)
+    return split(rnd, x, y, w, k) + split(rnd, x, y + k, w, h - k)
+
+
+@pytest.mark.parametrize("slant", [(1, 0, 0, 1), (3, 1, -1, 2), (0.5, -0.25, 0.75, 1)])
+def test_dissolve_of_unequal_rectangles(spark, slant):
+    """The outline of random tiles, also under a linear map that slants them."""
+    a, b, c, d = slant
+    rnd = random.Random(8)
+    tiles = [(rnd.choice("pqr"), t) for t in split(rnd, 0, 0, 17, 13)]
+
+    def at(x, y):
+        return (float(a * x + c * y), float(b * x + d * y))
+
+    frame = spark.createDataFrame(
+        [(k, [[at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)]]) for k, (x, y, w, h) in tiles],
+        f"k string, rings {Y.RINGS_TYPE}",
+    )
+    got = X.dissolve_noded(frame, ["k"]).collect()
+    for key in "pqr":
+        want = boundary([t for k, t in tiles if k == key], 17)
+        length = sum(math.dist(at(*s[:2]), at(*s[2:])) for s in want)
+        mine = [r for r in got if r["k"] == key]
+        assert sum(math.dist((r["x1"], r["y1"]), (r["x2"], r["y2"])) for r in mine) == pytest.approx(length)
+        ends = {p for r in mine for p in ((r["x1"], r["y1"]), (r["x2"], r["y2"]))}
+        corners = {at(*p) for s in want for p in (s[:2], s[2:])}
+        assert {tuple(round(v, 6) for v in p) for p in ends} <= {tuple(round(v, 6) for v in p) for p in corners}
+
+
+def test_points_in_polygons(spark):
+    rnd = random.Random(12)
+    stars = [(i, star(rnd, rnd.uniform(0, 20), rnd.uniform(0, 20), rnd.uniform(1, 6), 40)) for i in range(25)]
+    spots = [(i, rnd.uniform(0, 20), rnd.uniform(0, 20)) for i in range(300)] + [(500, *stars[0][1][3]), (501, 99.0, 99.0)]
+    want = sorted((i, j) for i, x, y in spots[:300] for j, ring in stars if holds(ring, (x, y)))
+    areas = layer(spark, [(i, [r]) for i, r in stars])
+    for tile in (0.5, 4.0, None):
+        found = X.points_in(spark.createDataFrame(spots, "id int, x double, y double"), areas, tile).collect()
+        assert sorted((r["id"], r["area_id"]) for r in found if r["id"] < 500) == want
+        assert (500, 0) in {(r["id"], r["area_id"]) for r in found}
+    holed = layer(spark, [(1, [box(0, 0, 4, 4), box(1, 1, 2, 2)])])
+    places = [(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 1.0, 2.0), (4, 4.0, 4.0), (5, 2.0, 0.0), (6, 4.0, 5.0)]
+    inside = X.points_in(spark.createDataFrame(places, "id int, x double, y double"), holed)
+    assert rows(inside, "id") == [(1,), (3,), (4,), (5,)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -223,6 +224,44 @@ def test_transposed_files(spark, tmp_path):
         SP.checked_panel(panel.union(panel))
 
 
+def test_wide_lines_are_read_in_ranges(spark, tmp_path):
+    """A line of 100,000 units spreads over tasks; quoted commas and line breaks may lie at any range's edge."""
+    n = 100_000
+    rnd = random.Random(3)
+    heads = [f'"{i}"' if rnd.random() < 0.3 else str(i) for i in range(n)]
+    values = [rnd.choice(["", "7", '"1,200"', '" 5 "', "x", '"a ""b"", c"']) for _ in range(n)]
+    folder = tmp_path / "1991 data"
+    folder.mkdir()
+    title = '"1991 Census, revised",TORONTO CMA,'
+    (folder / "a.csv").write_text(title + ",".join(heads) + '\r\n"Population, all",12,' + ",".join(values) + "\r\n")
+    (folder / "a_v2.csv").write_text("1991 Census,200001,200002\n,3\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        cells = SP.file_cells(spark, str(tmp_path))
+        scan = spark.read.option("lineSep", ",").text(f"{tmp_path}/*/*.csv")
+        assert scan.rdd.getNumPartitions() > 10
+        panel, totals = SP.parse_cells(cells)
+        got = {r["unit"]: r["value"] for r in panel.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = {"": None, "7": 7, '"1,200"': None, '" 5 "': 5, "x": None, '"a ""b"", c"': None}
+    assert got == {i: whole[v] for i, v in enumerate(values)} | {200001: 3, 200002: None}
+    assert rows(totals, "yr", "group", "pop") == [(1991, "Toronto", 12)]
+    plain = SP.parse_transposed(SP.year_files(spark, str(tmp_path)))[0]
+    assert plain.exceptAll(panel).count() == 0 and panel.exceptAll(plain).count() == 0
+
+
+def test_layouts_of_panel_folders(spark, tmp_path):
+    content = "1971 Census,TORONTO CMA,1,2\nPopulation,9,4,5"
+    frame = spark.createDataFrame([("1971 data", "t 1.csv", content), ("notes", "x.csv", "1,2")], "folder string, file string, content string")
+    frame.write.partitionBy("folder", "file").text(f"{tmp_path}/p")
+    panel, _ = SP.read_transposed_panel(spark, f"{tmp_path}/p", "partitions")
+    assert rows(panel, "group", "unit", "yr", "value") == [("Toronto", 1, 1971, 4), ("Toronto", 2, 1971, 5)]
+    with pytest.raises(ValueError):
+        SP.file_cells(spark, str(tmp_path), "other")
+
+
 def test_long_file(spark, tmp_path):
     (tmp_path / "p.csv").write_text(
         "Geo,Pop,Extra\nTORONTO CMA (x),10,1\n35200001 (00000),7,1\n59000001 (00010),..,1\n"
