@@ -86,6 +86,11 @@ def _sql_over_edges(ring: str, term: str) -> str:
     return _sql_sum(f"transform({sql_ring_edges(ring)}, e -> {term})")
 
 
+def sql_ring_turn(ring: str) -> str:
+    """Twice the signed area of a ring: positive if it runs counter-clockwise."""
+    return _sql_over_edges(ring, _CROSS)
+
+
 def _sql_signed(rings: str, per_ring: str) -> str:
     """Sum of a value per ring ``r``, holes counted negative."""
     return _sql_sum(

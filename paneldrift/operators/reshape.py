@@ -27,6 +27,36 @@ def pivot_values(
     )
 
 
+def labels_of(df: DataFrame, label: str, most: int = 1000) -> list[object]:
+    """The different labels of a column in order, missing ones left out.
+
+    They become columns, so there must be few: with more than ``most`` this is an error, and no more
+    than that many reach the driver."""
+    rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.lit(1)).select(label).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"column {label} has more than {most} labels")
+    return sorted(r[0] for r in rows)
+
+
+def pivot_found(
+    df: DataFrame,
+    ids: Sequence[str],
+    label: str,
+    value: str,
+    agg: Callable[[Column], Column] = F.sum,
+    prefix: str = "",
+    most: int = 1000,
+) -> DataFrame:
+    """Long to wide on the labels that the data hold: one job finds them, the plan is then made for them."""
+    return pivot_values(df, ids, label, value, labels_of(df, label, most), agg, prefix)
+
+
+def select_matching(df: DataFrame, keep: Sequence[str], pattern: str) -> DataFrame:
+    """The named columns and all whose name contains the pattern."""
+    names = [c for c in columns_matching(df, pattern) if c not in keep]
+    return df.select(*keep, *[F.col(f"`{c}`") for c in names])
+
+
 def columns_matching(df: DataFrame, pattern: str) -> list[str]:
     """Names of the columns that contain the pattern."""
     return [c for c in df.columns if re.search(pattern, c)]

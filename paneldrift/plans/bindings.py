@@ -157,6 +157,55 @@ def postcode_cities(t: Tables) -> DataFrame:
     )
 
 
+def profile_files(t: Tables) -> DataFrame:
+    """The part profile as long files (bucket, content) of a thousand parts with a header line each.
+
+    Counts are text; the apartments come in three terms, one term is not wanted. Every fiftieth part has
+    a line that stops after three cells, every seventieth a line with a year that is no number.
+    """
+    terms = {
+        "Population, 2016": F.col("pop"),
+        "Single-detached house": F.col("singd"),
+        "Semi-detached house": F.col("semd"),
+        "Row house": F.col("row"),
+        "Apartment in a building that has five or more storeys": F.col("apt"),
+        "Apartment or flat in a duplex": F.col("pop"),
+        "Apartment in a building that has fewer than five storeys": F.lit(1),
+        "Median total income in 2015 among recipients ($)": F.col("income"),
+        "Births": F.col("pop"),
+    }
+    unit = F.col("unit").cast("string")
+
+    def row(term: str, value: Column) -> Column:
+        cells = ["2016", unit, "1", "2", "a", "b", "0", "c", f'"{term}"', "9", "n", F.coalesce(value.cast("string"), F.lit("..")), "3", "4"]
+        return F.concat_ws(",", *[c if isinstance(c, Column) else F.lit(c) for c in cells])
+
+    none = F.array().cast("array<string>")
+    lines = F.concat(
+        F.array(*[row(term, value) for term, value in terms.items()]),
+        F.when(F.col("unit") % 50 == 0, F.array(F.concat(F.lit("2016,"), unit, F.lit(",1")))).otherwise(none),
+        F.when(F.col("unit") % 70 == 0, F.array(F.concat(F.lit("year,"), unit, F.lit(",1,2,a,b,0,c,Births,9,n,5,3,4")))).otherwise(none),
+    )
+    text = part_profile(t).select(F.floor(F.col("unit") / 1000).alias("bucket"), F.array_join(lines, "\n").alias("lines"))
+    header = ",".join(f"c{i}" for i in range(14))
+    return text.groupBy("bucket").agg(
+        F.concat(F.lit(header + "\n"), F.array_join(F.collect_list("lines"), "\n")).alias("content")
+    )
+
+
+def holed_layer(t: Tables) -> DataFrame:
+    """id, name and rings of frames around the parts' rectangles; those of even size have an island in
+    their hole and a second part far away."""
+    size = {"x": "p_partkey % 100 * 7", "y": "floor(p_partkey / 100) * 5", "w": "p_size % 6 + 1", "h": "p_size % 4 + 1"}
+    one = t.part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size", *[F.expr(e).alias(k) for k, e in size.items()]
+    )
+    frame = F.concat(rectangle("x - 1", "y - 1", "w + 2", "h + 2"), rectangle("x", "y", "w", "h"))
+    more = F.concat(rectangle("x + 0.25", "y + 0.25", "0.5", "0.5"), rectangle("x + 9000", "y", "2", "2"))
+    none = F.filter(more, lambda r: F.lit(False))
+    return one.select("id", "name", F.concat(frame, F.when(F.col("p_size") % 2 == 0, more).otherwise(none)).alias("rings"))
+
+
 def part_profile(t: Tables) -> DataFrame:
     """Profile of a part: pop, housing counts by line flags, income from its price in cents."""
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")

@@ -24,14 +24,17 @@ from . import sql as S
 from .bindings import (
     Tables,
     customer_dictionary,
+    holed_layer,
     order_bridge,
     order_panel,
     order_panel_null,
     part_panel,
     part_profile,
     postcode_cities,
+    profile_files,
 )
-from ..sources.tables import read_csv, write_table
+from ..functions.geometry import polygon_area, sql_ring_turn
+from ..sources.tables import read_checked_profile, read_csv, read_polygons, write_geojson, write_table
 from .registry import query, rounded
 
 UNITS_PER_FILE = 1000
@@ -148,6 +151,94 @@ def profile_pivot(t: Tables) -> DataFrame:
     return profile_wide(long, terms, sums={"apt": ["apt1", "apt2", "apt3"]})
 
 
+def _checked_profile(t: Tables) -> tuple[DataFrame, DataFrame]:
+    root = f"{run_folder(t.spark)}/{uuid.uuid4().hex}"
+    profile_files(t).write.partitionBy("bucket").text(root)
+    units = t.part.where("p_size > 5").select(F.col("p_partkey").alias("unit"))
+    return read_checked_profile(t.spark, root, units)
+
+
+@query(
+    S.with_(S.PROFILE)
+    + """SELECT 2016 AS year, unit, pop, singd, semd, "row", apt + pop + 1 AS apt, income
+         FROM profile JOIN part ON unit = p_partkey WHERE p_size > 5"""
+)
+def profile_files_read(t: Tables) -> DataFrame:
+    """Long profile files with broken rows among them: the good rows of the wanted units."""
+    return _checked_profile(t)[0]
+
+
+@query(
+    S.with_(S.PROFILE)
+    + """SELECT 'cells' AS reason, '2016,' || unit || ',1' AS record FROM profile WHERE unit % 50 = 0
+         UNION ALL SELECT 'year', 'year,' || unit FROM profile WHERE unit % 70 = 0"""
+)
+def profile_quarantine(t: Tables) -> DataFrame:
+    """The broken rows of the same files, with what is wrong."""
+    return _checked_profile(t)[1]
+
+
+@query(
+    S.with_(S.PARTS)
+    + """SELECT id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 4 ELSE 2 END AS n_rings,
+         CASE WHEN p_size % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind,
+         ((w + 2) * (h + 2) - w * h + CASE WHEN p_size % 2 = 0 THEN 4.25 ELSE 0 END)::DOUBLE AS area,
+         CASE WHEN p_size % 2 = 0 THEN 4.25 ELSE 0 END + (w + 2) * (h + 2) - w * h::DOUBLE AS turned
+         FROM parts JOIN part ON id = p_partkey"""
+)
+def geojson_round_trip(t: Tables) -> DataFrame:
+    """Frames with holes, islands and distant parts written as GeoJSON lines and read back.
+
+    ``turned`` adds up the rings' signed areas: outer rings count, holes subtract by their direction."""
+    root = f"{run_folder(t.spark)}/{uuid.uuid4().hex}"
+    write_geojson(holed_layer(t), root)
+    kind = F.get_json_object("value", "$.geometry.type").alias("kind")
+    written = t.spark.read.text(root).select(F.get_json_object("value", "$.properties.id").alias("id"), kind)
+    layer = read_polygons(t.spark, root, "geojson").select("properties.id", "properties.name", "rings")
+    turn = F.expr(f"aggregate(rings, 0D, (total, r) -> total + {sql_ring_turn('r')} / 2)")
+    return join_on(layer, written, ["id"]).select(
+        F.col("id").cast("bigint").alias("id"), "name", "kind", F.size("rings").alias("n_rings"),
+        polygon_area("rings").alias("area"), turn.alias("turned"),
+    )
+
+
+@query(
+    """SELECT n_name AS nation, """
+    + ", ".join(
+        f"sum(CASE WHEN o_orderpriority = '{p}' THEN 1 END)::BIGINT AS \"{p}\""
+        for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    )
+    + """ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
+)
+def pivot_found(t: Tables) -> DataFrame:
+    """Orders by nation and priority, one column for each priority that the orders have."""
+    return R.pivot_found(_priorities(t), ["nation"], "o_orderpriority", "one")
+
+
+def _priorities(t: Tables) -> DataFrame:
+    rows = join_on(
+        t.orders.select(F.col("o_custkey").alias("unit"), "o_orderpriority"), customer_dictionary(t), ["unit"]
+    )
+    return rows.select(F.col("area").alias("nation"), F.col("region"), "o_orderpriority", F.lit(1).cast("bigint").alias("one"))
+
+
+@query(
+    """WITH wide AS (SELECT r_name AS region, n_name, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END)::BIGINT AS a,
+         sum(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 END)::BIGINT AS b
+       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+       JOIN region ON n_regionkey = r_regionkey WHERE o_custkey % 3 = 0 GROUP BY 1, 2)
+       SELECT region, CASE WHEN count(a) = count(*) THEN sum(a)::BIGINT END AS "1-URGENT",
+         CASE WHEN count(b) = count(*) THEN sum(b)::BIGINT END AS "2-HIGH" FROM wide GROUP BY 1"""
+)
+def sum_by_pattern(t: Tables) -> DataFrame:
+    """Columns found by a pivot, chosen by a pattern of their names and summed by region."""
+    rows = join_on(
+        t.orders.where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("unit"), "o_orderpriority"), customer_dictionary(t), ["unit"]
+    ).withColumn("one", F.lit(1).cast("bigint"))
+    wide = R.pivot_found(rows, ["region", "area"], "o_orderpriority", "one")
+    return R.sum_matching(R.select_matching(wide, ["region"], "URGENT|HIGH"), ["region"], "URGENT|HIGH")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(red|blue) .*t$')")
 def regex_filter(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", "p_name").where(F.col("p_name").rlike("^(red|blue) .*t$"))
