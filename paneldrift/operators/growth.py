@@ -34,17 +34,24 @@ def index_series(
     return agg.withColumn(name, as_index(value, first))
 
 
-def stacked_index(series: dict[str, DataFrame]) -> DataFrame:
-    """Several (group, yr, pop) series with their indices, stacked and long: group, yr, tt, measure, value."""
+def stacked_index(
+    series: dict[str, DataFrame], index_only: Sequence[str] = (), scale: float = 1.0
+) -> DataFrame:
+    """Several (group, yr, pop) series with their indices, stacked and long: group, yr, tt, measure, value.
+
+    Series named in ``index_only`` (external ones, whose level has nothing to do with the others')
+    keep their index alone; the levels of the others are divided by ``scale``.
+    """
     out = None
     for label, df in series.items():
         one = index_series(df.select("group", "yr", "pop"), ["group"], "yr", "pop").withColumn(
             "tt", F.lit(label)
         )
         out = one if out is None else out.unionByName(one)
-    return out.select(
-        "group", "yr", "tt", F.col("pop").cast("double").alias("pop"), "idx"
+    long = out.select(
+        "group", "yr", "tt", (F.col("pop") / scale).cast("double").alias("pop"), "idx"
     ).unpivot(["group", "yr", "tt"], ["pop", "idx"], "measure", "value")
+    return long.where(~((F.col("measure") == "pop") & F.col("tt").isin(list(index_only))))
 
 
 def reconcile(reference: DataFrame, units: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_number
 from ..functions.values import ratio, strict_sum
 from .scale import join_on, numbered, running_totals
 
@@ -48,7 +49,10 @@ def pivot_found(
     most: int = 1000,
 ) -> DataFrame:
     """Long to wide on the labels that the data hold: one job finds them, the plan is then made for them."""
-    return pivot_values(df, ids, label, value, labels_of(df, label, most), agg, prefix)
+    labels = labels_of(df, label, most)
+    if not labels:
+        return df.select(*ids).distinct()
+    return pivot_values(df, ids, label, value, labels, agg, prefix)
 
 
 def select_matching(df: DataFrame, keep: Sequence[str], pattern: str) -> DataFrame:
@@ -77,6 +81,19 @@ def union_tagged(frames: dict[str, DataFrame], tag: str = "tt") -> DataFrame:
     return out
 
 
+def stack_external(
+    frames: dict[str, DataFrame], value: str, key: str = "year", name: str = "pop", tag: str = "city"
+) -> DataFrame:
+    """External tables of one series each, under one another: tag, key, name.
+
+    The value column is text with thousands commas and footnotes; only it and the key are kept."""
+    clean = {
+        label: df.select(F.col(key).try_cast("int").alias(key), plain_number(value).alias(name))
+        for label, df in frames.items()
+    }
+    return union_tagged(clean, tag).select(tag, key, name)
+
+
 def except_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of a that b does not have."""
     return join_on(a.select(*keys).distinct(), b.select(*keys).distinct(), keys, "left_anti", null_safe=True)

@@ -11,6 +11,7 @@ from ..operators import pairs as P
 from ..operators.dictionary import clean_bridge, mean_coordinates
 from ..operators.reshape import category_order as ordered_categories
 from ..operators.scale import join_on
+from ..functions.text import recode
 from ..operators.areas import area_changes, area_levels as levels_by_area, rank_areas
 from ..functions.text import category_position
 from ..functions.values import strict_avg, strict_sum
@@ -195,15 +196,17 @@ P_CLOSED = S.order_panel(where=CLOSED)
 
 
 def _reported(t: Tables) -> DataFrame:
-    """Reported totals per region and year, counted from the orders themselves."""
-    homes = customer_dictionary(t).select(
-        F.col("unit").alias("o_custkey"), F.col("region").alias("group")
-    )
-    return (
-        t.orders.join(homes, "o_custkey")
-        .groupBy("group", F.year("o_orderdate").alias("yr"))
-        .agg(F.count(F.lit(1)).alias("pop"))
+    """Reported totals per region and year: orders are counted per customer before they meet names."""
+    homes = customer_dictionary(t).select("unit", F.col("region").alias("group"))
+    counted = t.orders.groupBy(F.col("o_custkey").alias("unit"), F.year("o_orderdate").alias("yr")).agg(
+        F.count(F.lit(1)).alias("n")
     )
+    return counted.join(homes, "unit").groupBy("group", "yr").agg(F.sum("n").alias("pop"))
+
+
+def _world(t: Tables) -> DataFrame:
+    years = t.orders.groupBy(F.year("o_orderdate").alias("yr")).agg(F.count(F.lit(1)).alias("pop"))
+    return years.withColumn("group", F.lit("World"))
 
 
 @query(
@@ -213,19 +216,29 @@ def _reported(t: Tables) -> DataFrame:
          UNION ALL SELECT "group", yr, tt, 'idx', idx FROM i"""
 )
 def index_to_base(t: Tables) -> DataFrame:
-    world = t.orders.groupBy(F.year("o_orderdate").alias("yr")).agg(
-        F.count(F.lit(1)).alias("pop")
-    )
     stacked = G.stacked_index(
         {
             "reported": _reported(t),
             "summed": G.period_totals(order_panel(t, where=F.expr(CLOSED))),
-            "external": world.withColumn("group", F.lit("World")),
+            "external": _world(t),
         }
     )
     return rounded(stacked, "value")
 
 
+@query(
+    S.with_(P_CLOSED, SERIES)
+    + """, i AS (SELECT *, round(pop * 100.0::DOUBLE / first(pop) OVER (PARTITION BY tt, "group" ORDER BY yr), 6) AS idx FROM series
+         WHERE tt <> 'summed')
+         SELECT "group", yr, tt, 'Population (000)' AS measure, round(pop / 1000.0::DOUBLE, 6) AS value FROM i WHERE tt = 'reported'
+         UNION ALL SELECT "group", yr, tt, 'Index', idx FROM i"""
+)
+def index_external(t: Tables) -> DataFrame:
+    """Regional totals in thousands, and their indices beside that of an external series."""
+    stacked = G.stacked_index({"reported": _reported(t), "external": _world(t)}, index_only=["external"], scale=1000.0)
+    return rounded(stacked.withColumn("measure", recode("measure", {"pop": "Population (000)", "idx": "Index"})), "value")
+
+
 @query(
     S.with_(P_CLOSED, SERIES)
     + """SELECT "group", yr, a.pop AS reported, b.pop AS summed, round(a.pop::DOUBLE / b.pop - 1, 6) AS err

@@ -247,6 +247,19 @@ def unit_profile_change(t: Tables) -> DataFrame:
     return join_on(joined, sizes, ["unit"], "left", null_safe=False)
 
 
+@query(
+    S.with_(S.L, *S.NEXT, S.PARTS)
+    + """SELECT parts.id AS unit, (w * h)::DOUBLE AS size, "group", y1, y2, (coalesce(m2, 0) - coalesce(m1, 0))::BIGINT AS d_m
+         FROM parts LEFT JOIN pv ON unit = parts.id"""
+)
+def layer_yearly_change(t: Tables) -> DataFrame:
+    """Every polygon of the layer with its changes from period to period; polygons without any stay."""
+    sizes = part_layer(t).select(F.col("id").alias("unit"), area_of("rings").alias("size"))
+    change = C.change_class(pair_values(stored(part_panel(t)))).select("unit", "group", "y1", "y2", "d_m")
+    joined = join_on(sizes, change, ["unit"], "left", null_safe=False)
+    return joined.withColumn("d_m", F.coalesce("d_m", F.lit(0)))
+
+
 def _model_table(t: Tables) -> DataFrame:
     areas = _area_table(t)
     layer = supplier_layer(t).select(F.col("name").alias("area"), area_of("rings").alias("size"))

@@ -482,6 +482,23 @@ def string_number_clean(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", T.plain_number(written).alias("price"))
 
 
+@query(
+    """SELECT status AS city, year(o_orderdate)::INTEGER AS year, count(*)::BIGINT * 1000 AS pop
+       FROM orders JOIN (VALUES ('F', 'Finished'), ('O', 'Open')) s(code, status) ON o_orderstatus = code GROUP BY 1, 2
+       UNION ALL SELECT status, 1, NULL FROM (VALUES ('Finished'), ('Open')) s(status)"""
+)
+def external_stack(t: Tables) -> DataFrame:
+    """Two tables of yearly totals written as '1,234,000[note]', cleaned and stacked."""
+
+    def table(status: str) -> DataFrame:
+        years = t.orders.where(F.col("o_orderstatus") == status).groupBy(F.year("o_orderdate").alias("year"))
+        rows = years.agg(F.concat(F.format_number(F.count(F.lit(1)) * 1000, 0), F.lit("[3]")).alias("total"))
+        total = t.region.limit(1).select(F.lit(1).alias("year"), F.lit("unknown[1]").alias("total"))
+        return rows.union(total).withColumn("cma", F.lit("1"))
+
+    return R.stack_external({"Finished": table("F"), "Open": table("O")}, "total")
+
+
 @query(
     """SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS whole, NULL::BIGINT AS word,
        CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS maybe FROM orders"""
