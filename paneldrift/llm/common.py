@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import discard, durable_table, release_tables
@@ -132,6 +132,11 @@ def _fingerprint(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first())
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once: a lambda's argument is not computed for each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns: whatever else a table holds cannot clash with working columns."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

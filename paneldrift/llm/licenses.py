@@ -8,12 +8,14 @@ share of the template's k-grams that they hold. Only DataFrame functions.
 
 from __future__ import annotations
 
-import math
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import bound
+
 # Words of a text, phrases and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {
@@ -38,10 +40,52 @@ NOTICES = {
     "notice, this list of conditions and the following disclaimer",
     "cc-notice": "This work is licensed under a Creative Commons Attribution",
 }
+# Whole texts of short licenses.
+TEXTS = {
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+    "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+    "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+    "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS "
+    "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+    "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+    "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+    "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+    "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+    "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+    "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+    "CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+    "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+    "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+    "authors be held liable for any damages arising from the use of this software. Permission is granted to anyone "
+    "to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+    "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you "
+    "must not claim that you wrote the original software. If you use this software in a product, an acknowledgment "
+    "in the product documentation would be appreciated but is not required. 2. Altered source versions must be "
+    "plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not "
+    "be removed or altered from any source distribution.",
+}
 #: Diagonals at most this far apart belong together: words that an editor put in or left out.
 SLACK = 3
 #: Share of a notice's k-grams that a span must hold.
 COVERAGE = 0.6
+#: Places of the table that tells k-grams of no template apart before the join.
+BUCKETS = 1 << 14
 
 
 def words(text: Column) -> Column:
@@ -53,31 +97,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def grams(column: str) -> Column:
-    """Array of (two, four): hashes of the two and the four words from each position; four may be null."""
-    two = F.zip_with(
-        column, F.slice(column, F.lit(2), F.size(column)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))
-    )
-    return two
-
+def grams(w: Column) -> Column:
+    """Hashes of the two words from each position of an array of words: every word is hashed once."""
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
 
-def markers(phrases: dict[str, str], notices: dict[str, str], coverage: float = COVERAGE) -> list[str]:
-    """Words of which a text must hold at least one to hold any template.
+    def two(h: Column) -> Column:
+        firsts = F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0)))
+        return F.zip_with(firsts, F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b))
 
-    A phrase needs its longest word. A notice needs the share ``coverage`` of its k-grams; words are
-    chosen, those in most k-grams for their length first, until the k-grams without any are too few for it.
-    """
-    chosen = set()
-    for text, k, share in [(t, 2, 1.0) for t in phrases] + [(t, 4, coverage) for t in notices.values()]:
-        tokens = re.findall(WORD, text.lower())
-        rest = [set(tokens[i : i + k]) for i in range(len(tokens) - k + 1)]
-        need = math.ceil(share * len(rest) - 1e-9)
-        rest = [g for g in rest if not g & chosen]
-        while len(rest) >= max(need, 1):
-            word = max(sorted(set(tokens)), key=lambda w: (sum(w in g for g in rest) * len(w) ** 2, w))
-            chosen.add(word)
-            rest = [g for g in rest if word not in g]
-    return sorted(chosen)
+    return bound(hashed, two)
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
@@ -88,10 +116,9 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
         least = 2 if kind == "phrase" else 4
         if len(re.findall(WORD, text.lower())) < least:
             raise ValueError(f"a {kind} needs {least} words or more: {label}: {text!r}")
-    raw = spark.createDataFrame(rows, "label string, kind string, text string").select("label", "kind", words(F.col("text")).alias("w"))
-    return _hashed(raw, ["label", "kind"]).where(
-        F.col("two").isNotNull() & ((F.col("kind") == "phrase") | F.col("four").isNotNull())
-    ).select(
+    raw = spark.createDataFrame(rows, "label string, kind string, text string")
+    rolled = _hashed(raw.select("label", "kind", words(F.col("text")).alias("w")), ["label", "kind"], None)
+    return rolled.where((F.col("kind") == "phrase") | F.col("four").isNotNull()).select(
         "label",
         "kind",
         F.col("pos").alias("t_pos"),
@@ -101,24 +128,42 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
     )
 
 
-def _hashed(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each word position: pos, two, four."""
-    two = df.select(*keep, grams("w").alias("two"))
-    both = two.select(
-        *keep,
-        F.zip_with(
-            "two",
-            F.slice("two", F.lit(3), F.size("two")),
-            lambda a, b: F.struct(a.alias("two"), F.when(b.isNotNull(), F.xxhash64(a, b)).alias("four")),
-        ).alias("grams"),
-    )
-    return both.select(*keep, F.posexplode("grams").alias("pos", "g")).select(*keep, "pos", "g.two", "g.four")
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def _hashed(df: DataFrame, keep: list[str], filled: Column | None) -> DataFrame:
+    """A row for each word position with a k-gram: pos, two, four (null at the end of a text).
+
+    The k-grams of all positions are hashed. With ``filled``, an array that tells which buckets
+    template k-grams fall into, only those in such a bucket become rows.
+    """
+    def rows(two: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(two) - 1)
+        if filled is not None:
+            places = F.filter(places, lambda i: F.get(filled, _bucket(F.get(two, i))))
+        some = F.transform(
+            places,
+            lambda i: F.struct(
+                i.alias("pos"),
+                F.get(two, i).alias("two"),
+                F.when(F.get(two, i + 2).isNotNull(), F.xxhash64(F.get(two, i), F.get(two, i + 2))).alias("four"),
+            ),
+        )
+        return F.when(F.size(two) > 0, some)
+
+    return df.select(*keep, F.explode(bound(grams(F.col("w")), rows)).alias("g")).select(*keep, "g.pos", "g.two", "g.four")
 
 
 def hits(docs: DataFrame, table: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, label, kind, n, pos, t_pos: where k-grams of texts meet those of templates."""
-    rolled = _hashed(docs.select(*keys, words(F.col(text)).alias("w")), keys).where(F.col("two").isNotNull())
-    # the templates are a fixed list: their k-grams are broadcast
+    """keys, label, kind, n, pos, t_pos: where k-grams of texts meet those of templates.
+
+    The templates are a fixed list: their k-grams are broadcast, and so is, as a folded literal, the
+    table of the buckets they fall into, by which a text's k-grams are sorted out before they become rows.
+    """
+    taken = {r[0] for r in table.select(_bucket(F.col("t_two"))).distinct().collect()}
+    filled = F.from_json(F.lit(json.dumps([i in taken for i in range(BUCKETS)])), "array<boolean>")
+    rolled = _hashed(docs.select(*keys, words(F.col(text)).alias("w")), keys, filled)
     return rolled.join(
         F.broadcast(table),
         (F.col("two") == F.col("t_two")) & (F.col("t_four").isNull() | (F.col("four") == F.col("t_four"))),
@@ -167,21 +212,16 @@ def scan(
     One row per row of docs. Spans are found once for each distinct (id, text) and joined back, so
     repeated rows get the same spans; a null or empty text has no words and no spans. The join
     of k-grams with templates is a broadcast of the fixed template list; documents are shuffled only
-    as hits and as (id, text hash, number of words). Texts without any of the words that every template
-    needs some of are not cut into k-grams, as they cannot hold a verified span. A phrase of one word and a
-    notice of fewer than four words have no k-gram and raise a ValueError.
+    as hits and as (id, text hash, number of words). The k-grams of every text are hashed and looked up. A
+    phrase of one word and a notice of fewer than four words have no k-gram and raise a ValueError.
     """
-    phrases, notices = PHRASES if phrases is None else phrases, NOTICES if notices is None else notices
+    phrases, notices = PHRASES if phrases is None else phrases, NOTICES | TEXTS if notices is None else notices
     table = templates(docs.sparkSession, phrases, notices)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn(
         "text_hash", F.xxhash64("text")
     )
     keys = ["doc_id", "text_hash"]
-    lower = F.lower("text")
-    possible = F.lit(False)
-    for word in markers(phrases, notices):
-        possible = possible | lower.contains(word)
-    found = spans(hits(rows.where(possible), table, keys), keys)
+    found = spans(hits(rows, table, keys), keys)
     listed = found.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "label", "kind", "score"))).alias("spans")
     )

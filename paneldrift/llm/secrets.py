@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 # The base patterns, the kinds in order, and the shortest match that counts.
 ASSIGN = (
     r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -33,11 +35,6 @@ PRIOR = 5.0
 MANY_SPANS = 64
 
 
-def _bound(value: Column, f) -> Column:
-    """f(value), with the value computed once: a lambda's argument is not computed for each use."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _running(values: Column, op, start: int) -> Column:
     """Inclusive running totals of an array of ints under ``op``.
 
@@ -66,7 +63,7 @@ def _running(values: Column, op, start: int) -> Column:
         return F.transform(firsts, lambda i: totals(F.slice(v, i, width)))
 
     none = F.array().cast("array<int>")
-    return F.when(F.size(values) > 0, _bound(_bound(values, chunked), shifted)).otherwise(none)
+    return F.when(F.size(values) > 0, bound(bound(values, chunked), shifted)).otherwise(none)
 
 
 def _sum(a: Column, b: Column) -> Column:
@@ -93,7 +90,7 @@ def _spans(text: Column, pattern: str, ok) -> Column:
         )
 
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.when(text.rlike(pattern), _bound(pieces, placed)).otherwise(none)
+    return F.when(text.rlike(pattern), bound(pieces, placed)).otherwise(none)
 
 
 def _free(spans: Column, base: Column) -> Column:
@@ -123,7 +120,7 @@ def _free(spans: Column, base: Column) -> Column:
             kept, lambda x: F.struct(x["r"]["start"].alias("start"), x["r"]["end"].alias("end"), x["r"]["hit"].alias("hit"))
         )
 
-    return F.when((F.size(spans) > 0) & (F.size(base) > 0), _bound(both, walked)).otherwise(spans)
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), bound(both, walked)).otherwise(spans)
 
 
 def _assign(text: Column) -> Column:
@@ -273,9 +270,9 @@ def redact(docs: DataFrame, model: Markov, text: str = "text", mark: str = "[SEC
             tail = cut(F.get(reach, F.size(reach) - 1), F.length(r["text"]))
             return F.concat(F.array_join(parts, ""), tail)
 
-        return _bound(_running(F.transform(r["secrets"], lambda s: s["end"]), F.greatest, 0), joined)
+        return bound(_running(F.transform(r["secrets"], lambda s: s["end"]), F.greatest, 0), joined)
 
-    clean = _bound(row, marked)
+    clean = bound(row, marked)
     clean = F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))
     return found.select(
         *[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns]
