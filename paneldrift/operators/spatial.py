@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounding_box, boxes_overlap, edges, edges_meet, sql_gcd, sql_point_inside
+from ..functions.geometry import bounding_box, boxes_overlap, edges, edges_meet, polygons_intersect, sql_gcd, sql_point_inside
 from .scale import join_on, numbered
 
 
@@ -165,9 +165,21 @@ def spatial_join(
     bucketed by tiles of their own (smallest side ``tile``, default from layer b), so only edges of a
     shared tile meet. For the other case ids and boxes meet first, and a ring's start is then tested
     against the few edges of its band, for both directions at once. No row holds a polygon's rings,
-    however many vertices they have.
+    however many vertices they have. Only where no polygon of either layer has more vertices than a band
+    holds, as in layers of rectangles, they travel with their boxes and one join does.
     """
     tile = suggest_tile(b) if tile is None else float(tile)
+    vertices = F.expr("aggregate(rings, 0, (n, r) -> n + size(r))")
+    widest = a.select(vertices.alias("n")).union(b.select(vertices.alias("n"))).agg(F.max("n")).first()[0]
+    if (widest or 0) <= BAND_EDGES:
+        one, two = (
+            layer.select(
+                F.col(identity).alias(f"{p}_id"), F.col("rings").alias(f"{p}_rings"), bounding_box("rings").alias(f"{p}_box")
+            )
+            for layer, identity, p in ((a, a_id, "a"), (b, b_id, "b"))
+        )
+        exact = polygons_intersect("a_rings", "a_box", "b_rings", "b_box")
+        return box_join(one, two, tile).where(exact).select("a_id", "b_id")
     crossing = box_join(_edge_items(a, a_id, "a"), _edge_items(b, b_id, "b"), tile)
     crossing = crossing.where(edges_meet("a_edge", "b_edge")).select("a_id", "b_id")
 
