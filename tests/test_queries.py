@@ -39,4 +39,4 @@ def test_entry_points(spark):
     # of the queries on panels, layers and tables every one has SQL, whether or not corpus queries join them
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert entry.entry(spark).columns == ["group", "y1", "y2", "tt", "dd", "change"]
+    assert entry.entry(spark).columns == ["group", "y1", "y2", "tt", "dd", "change", "tt_ord"]
