@@ -10,6 +10,8 @@ import numpy as np
 MOST_LOW_BITS = 56
 CODES_PER_DECADE = 3000
 MOST_CODE = 65535
+#: Values that are packed, and tuples that are looked up, at once: a bound on memory.
+SLICE = 1 << 15
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -43,10 +45,15 @@ class Sequence:
         high[(values >> low_bits) + np.arange(n)] = 1
         low = np.zeros(0, np.uint8)
         if low_bits:
-            bits = np.zeros((n, low_bits), np.uint8)
-            for b in range(low_bits):
-                bits[:, b] = values >> b & 1
-            low = np.packbits(bits.ravel(), bitorder="little")
+            packed = []
+            # whole bytes at the end of each slice, as SLICE is a multiple of eight
+            for i in range(0, n, SLICE):
+                part = values[i : i + SLICE]
+                bits = np.zeros((len(part), low_bits), np.uint8)
+                for b in range(low_bits):
+                    bits[:, b] = part >> b & 1
+                packed.append(np.packbits(bits.ravel(), bitorder="little"))
+            low = np.concatenate([low, *packed])
         return cls(n, low_bits, np.concatenate([low, np.zeros(8, np.uint8)]), np.packbits(high, bitorder="little"))
 
     def _low(self, at: np.ndarray) -> np.ndarray:
@@ -144,8 +151,12 @@ class Trie:
 
     def code(self, columns: list[np.ndarray]) -> np.ndarray:
         """Code of each tuple, 0 for those that are not there."""
-        found = self.find(columns)
-        return np.where(found >= 0, np.append(self.codes, np.zeros(1, np.uint16))[found], 0)
+        codes = np.append(self.codes, np.zeros(1, np.uint16))
+        out = [np.zeros(0, np.uint16)]
+        for i in range(0, len(columns[0]), SLICE):
+            # -1 is the place of the zero behind the codes
+            out.append(codes[self.find([c[i : i + SLICE] for c in columns])])
+        return np.concatenate(out)
 
     def tobytes(self) -> bytes:
         parts = [np.array([len(self.levels), len(self.codes)], "<i8").view(np.uint8)]

@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from .common import LOWER, SPACE, discard, mix, prefix_hashes, range_hashes, required, text_chunks, written
 from .elias_fano import Trie, log10_of, quantised
 
-#: Bytes of text of a block, and n-grams that blocks send to a shard, on average.
-BLOCK_BYTES = 1 << 23
-SHARD_GRAMS = 1 << 20
+#: Bytes of text of a block, and n-grams (as tokens that have a known context) for each shard.
+BLOCK_BYTES = 1 << 22
+SHARD_GRAMS = 1 << 19
 #: Weight of the shorter context, in tokens, and the least count of a context with successors of its own.
 PRIOR = 4.0
 LEAST = 2
@@ -114,6 +114,10 @@ class Line:
         self.second = word
         return Grams([self.ids[self.earlier], self.ids[word]], self.counted(self.at2, len(keys)), context, self.p1[word])
 
+    def pair_counts(self, model: dict, counts2: np.ndarray) -> np.ndarray:
+        """Count of the pair of words before each token."""
+        return np.append(counts2, model["documents"])[np.where(self.first, len(counts2), np.roll(self.at2, 1))]
+
     def trigrams(self, model: dict, two: Grams, counts2: np.ndarray, p2: np.ndarray) -> Grams:
         none = len(counts2)
         before = np.where(self.first, none, np.roll(self.at2, 1))
@@ -189,31 +193,30 @@ def answers(shard: int, shards: int, sent: list[dict]) -> Iterator[dict]:
     """What the blocks asked of a shard: counts of all training documents, and for single words their
     ids, for longer n-grams the codes of the trie (0: not in it)."""
     order = len(sent[0]["ids"])
-    parts = [[unpack(c) for c in m["ids"]] for m in sent]
-    for p in parts:
-        p[0] = np.cumsum(p[0])
-    columns = [np.concatenate(c) for c in zip(*parts)]
+    firsts = [np.cumsum(unpack(m["ids"][0])) for m in sent]
+    upto = np.concatenate([[0], np.cumsum([len(f) for f in firsts])])
+    columns = [np.concatenate(firsts), *[np.concatenate([unpack(m["ids"][k]) for m in sent]) for k in range(1, order)]]
+    del firsts
     number, first = distinct(columns)
     counts = np.bincount(number, weights=np.concatenate([unpack(m["counts"]) for m in sent])).astype(np.int64)
     known = counts > 0
     if order == 1:
         codes = np.arange(len(first)) * shards + shard
     else:
-        contexts = []
-        for p, m in zip(parts, sent):
-            new = np.ones(len(p[0]), np.int64)
-            new[1:] = np.any([c[1:] != c[:-1] for c in p[:-1]], axis=0)
-            contexts.append(unpack(m["context"])[np.cumsum(new) - 1])
-        context = np.concatenate(contexts)[first]
+        # a context's count stands once, where the context begins
+        new = np.zeros(len(number), bool)
+        for c in columns[:-1]:
+            new[1:] |= c[1:] != c[:-1]
+        new[upto[:-1]] = True
+        context = np.concatenate([unpack(m["context"]) for m in sent])[(np.cumsum(new) - 1)[first]]
         lower = 10.0 ** log10_of(np.concatenate([unpack(m["lower"]) for m in sent])[first])
-        p = quantised(np.minimum((counts + PRIOR * lower) / (context + PRIOR), 1.0))
         grams = [c[first] for c in columns]
+        del columns, new
+        p = quantised(np.minimum((counts + PRIOR * lower) / (context + PRIOR), 1.0))
         trie = Trie.open(Trie.of([c[known] for c in grams], p[known]).tobytes())
         codes = trie.code(grams).astype(np.int64)
-    at = 0
-    for i, (p, m) in enumerate(zip(parts, sent)):
-        own = number[at : at + len(p[0])]
-        at += len(own)
+    for i, m in enumerate(sent):
+        own = number[upto[i] : upto[i + 1]]
         yield {
             "shard": shard,
             "block": m["block"],
@@ -274,10 +277,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
 
     def with_words(row: dict) -> dict:
         counts, ids = received(_single(row), s1, row["answer"])
-        row |= {"word_ids": pack(ids), "word_counts": pack(counts)}
-        line = Line(row)
-        line.words(model)
-        return row | {"n_grams": len(line.bigrams(model).sent(1)[0])}
+        return row | {"word_ids": pack(ids), "word_counts": pack(counts), "n_grams": sum(row["n_tokens"])}
 
     state = written(_mapped(_with_answers(blocks, found), with_words, second), "bigrams")
     discard(blocks, found)
@@ -288,7 +288,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
         line.words(model)
         return line, line.bigrams(model)
 
-    found = _answered(_asked(state, lambda row: (two(row)[1], s2)), s2)
+    # written, so that the messages' shuffle is gone before blocks and answers meet
+    found = written(_answered(_asked(state, lambda row: (two(row)[1], s2)), s2), "answers")
     third = fields("word_ids binary, word_counts binary, bigram_counts binary, bigram_codes binary, n_grams bigint")
 
     def three(row: dict) -> tuple[Line, Grams]:
@@ -297,14 +298,15 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
         return line, line.trigrams(model, g, unpack(row["bigram_counts"]), p2)
 
     def with_bigrams(row: dict) -> dict:
-        counts, codes = received(two(row)[1], s2, row["answer"])
+        line, g = two(row)
+        counts, codes = received(g, s2, row["answer"])
         row |= {"bigram_counts": pack(counts), "bigram_codes": pack(codes)}
-        return row | {"n_grams": len(three(row)[1].sent(1)[0])}
+        return row | {"n_grams": int((line.pair_counts(model, counts) >= LEAST).sum())}
 
     bigrams, state = state, written(_mapped(_with_answers(state, found), with_bigrams, third), "trigrams")
-    discard(bigrams)
+    discard(bigrams, found)
     s3 = shards(state.agg(F.sum("n_grams")).first()[0])
-    found = _answered(_asked(state, lambda row: (three(row)[1], s3)), s3)
+    found = written(_answered(_asked(state, lambda row: (three(row)[1], s3)), s3), "answers")
     result = T.StructType(
         [
             T.StructField("doc_id", id_field.dataType.elementType),
