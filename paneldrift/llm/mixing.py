@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import numbered
-from .common import required, written
+from .common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slope of a source's weight schedule by its place in the order of sources: weights move linearly
@@ -21,11 +21,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLOPES = (-0.5, 0.0, 0.5)
 
 
-def sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, source, size: words of each text; a null or empty text has none."""
-    rows = required(docs, [doc_id, source, text]).toDF("doc_id", "source", "text")
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return rows.select("doc_id", "source", words.alias("size"))
+#: Names of a row's two 64-bit fingerprints.
+TAGS = ["tag", "tag2"]
+
+
+def tags(docs: DataFrame) -> list[Column]:
+    """Two fingerprints of whole rows: equal rows have the same, different ones do not."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*columns).alias(TAGS[0]), F.xxhash64(F.lit(1), *columns).alias(TAGS[1])]
+
+
+def sizes(
+    docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", tagged: bool = False
+) -> DataFrame:
+    """doc_id, source, size: words of each text; a null or empty text has none. ``tagged`` adds the row's tags."""
+    words = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    named = [F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), words.alias("size")]
+    return docs.select(*named, *(tags(docs) if tagged else []))
 
 
 def prefix_sums(df: DataFrame, by: Sequence[str], order: Column, totals: dict[str, str], rows: int) -> DataFrame:
@@ -110,6 +122,7 @@ def mix(
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
+    tagged: bool = False,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, position, positions: what the mix takes of each document.
 
@@ -122,7 +135,7 @@ def mix(
     text) take no words. A null source is a source of its own, the last.
     """
     # Sizes are used three times: for the sources, the bucket sums and the rows.
-    sized = written(sizes(docs, text, source, doc_id), "sizes")
+    sized = written(sizes(docs, text, source, doc_id, tagged), "sizes")
     targets = source_targets(sized, weights, share, most)
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     order = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
@@ -148,8 +161,11 @@ def mix(
         taken.cast("bigint").alias("taken"),
         F.filter(times, lambda t: t.isNotNull()).alias("positions"),
         F.array(*[p.cast("bigint") for p in parts]).alias("words"),
+        *(TAGS if tagged else []),
     )
     out = out.withColumn("position", F.get("positions", 0))
+    if tagged:
+        return out  # to be joined, so its order would be lost
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(
         F.col("position").asc_nulls_last(), "doc_id"
     )
@@ -161,21 +177,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document that a source's target cuts appears in that pass if at least half of its words are
     taken. Documents without words appear nowhere.
     """
-    text, source, doc_id = (options.get(k, k) for k in ("text", "source", "doc_id"))
-    plan = mix(docs, **options)
-    passes = plan.select("doc_id", "size", F.posexplode("positions").alias("pass", "position"), "words").where(
+    doc_id = options.get("doc_id", "doc_id")
+    plan = mix(docs, **options, tagged=True)
+    passes = plan.select(*TAGS, "size", F.posexplode("positions").alias("pass", "position"), "words").where(
         F.col("words")[F.col("pass")] * 2 >= F.col("size")
     )
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.col(f"row.`{doc_id}`").alias("_id"), F.coalesce(F.regexp_count(F.col(f"row.`{text}`"), F.lit(WORD)), F.lit(0)).alias("_size")
-    )
-    # a repeated row meets as many plan rows as there are repeats: number both sides
-    twins = Window.partitionBy("_id", "_size").orderBy(F.xxhash64("row"))
-    keyed = keyed.withColumn("_twin", F.row_number().over(twins))
-    numbered = passes.withColumn(
-        "_twin", F.row_number().over(Window.partitionBy("doc_id", "size", "pass").orderBy("position"))
-    )
-    on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_size") == F.col("size")) & (keyed["_twin"] == numbered["_twin"])
-    rows = keyed.join(numbered, on).select("row", "position")
+    # each row meets its own passes by its tags; of equal rows one meets the passes of all
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *tags(docs))
+    twins = Window.partitionBy(*TAGS).orderBy(TAGS[0])
+    once = whole.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1").drop("_twin")
+    rows = once.join(passes.select(*TAGS, "position"), TAGS).select("row", "position")
     rows = rows.repartitionByRange("position", F.col(f"row.`{doc_id}`")).sortWithinPartitions("position", F.col(f"row.`{doc_id}`"))
     return rows.select("row.*")

@@ -1,4 +1,4 @@
-"""The pipeline's stages against plain versions, and the registered queries' columns."""
+"""The pipeline's stages against plain versions, also on repeats, ties, long texts and extra columns."""
 
 from __future__ import annotations
 
@@ -56,6 +56,38 @@ def test_stages(spark, folder):
     )
 
 
+def test_stages_on_repeats_ties_long_texts_and_extra_columns(spark, tmp_path):
+    long = brute.prose(7, 40000)
+    texts = [(i, brute.prose(i, 60), "ab"[i % 2], f"s{i % 2}") for i in range(30)]
+    texts += [(3, texts[3][1], "b", "s1")] * 3  # rows repeated
+    texts += [(40, long, "a", "s0"), (41, long + " end", "a", "s1"), (None, brute.prose(77, 60), "a", None)]
+    secret = " token=abcdef0123456789abcdef" * 400
+    texts += [(42, brute.prose(88, 900) + secret, "b", "s0")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, position double, row string, spans int, _id string"
+    rows = [(i, t, lang, s, len(t), 0.5, "r", 1, "x") for i, t, lang, s in texts]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        seen[name] = docs.collect()
+        assert name == "bpe_tokens" or docs.columns == names
+        if name != "bpe_tokens":
+            assert all((r["position"], r["row"], r["spans"], r["_id"]) == (0.5, "r", 1, "x") for r in seen[name])
+    assert len(seen["language_id"]) == len(rows)
+    left = [r["doc_id"] for r in seen["near_dedup"]]
+    assert left.count(None) == 1 and sorted(i for i in left if i is not None) == [*range(30), 40, 42]
+    clean = {r["doc_id"]: r["text"] for r in seen["secret_scan"]}
+    assert clean[42].count("[SECRET]") == 400 and "abcdef0123" not in clean[42] and clean[40] == long
+    assert all(r["n_chars"] == len(r["text"]) for r in seen["secret_scan"])
+    counts: dict = {}
+    for r in seen["mix_sources"]:
+        assert r["text"] == clean[r["doc_id"]]
+        counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
+    assert counts and max(counts.values()) <= 2
+    assert len(seen["bpe_tokens"]) == len(seen["mix_sources"])
+
+
 def test_stages_of_an_empty_table(spark, folder, tmp_path):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     empty.write.parquet(f"{tmp_path}/none/documents.parquet")
