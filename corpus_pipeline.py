@@ -1,7 +1,11 @@
 """A corpus pipeline: language ID, near-dedup, secret scan, mixing to target weights, BPE tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of documents.
+return the columns of documents, further columns included, whatever their names.
+
+Null and empty texts have no letters, so they go in the first stage; null ids, sources and languages are
+ordinary values after it. Rows that repeat an id and a text count each, until near_dedup leaves one of
+them. Texts may be very long, each is handled by one task. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The smallest id of a group stays, of rows that repeat it with the same text one."""
     return minhash.one_of_each(docs, size=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret's span replaced; n_chars follows the text."""
+    """All documents, with every secret's span replaced; n_chars follows the text. A text may hold tens of
+    thousands of secrets; overlapping spans become one mark."""
     clean = secrets.redact(docs, secrets.train(docs))
     if "n_chars" not in docs.columns:
         return clean
@@ -39,7 +46,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: documents once for each pass that takes them."""
+    """The mix in training order: documents once for each pass that takes them. Ties in the order of a
+    source are broken by id and size; a null source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
