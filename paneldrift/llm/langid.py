@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, required, text_chunks
+from .common import mix, text_chunks
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
@@ -28,6 +28,10 @@ class Model:
     sizes: Sequence[int]
 
 
+#: Bytes of text that are scored at once: n-grams of four sizes take many times that in a worker.
+SCORED_BYTES = 1 << 18
+
+
 def _letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of case-folded texts, and their offsets."""
     raw = data.tobytes()
@@ -139,7 +143,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value)
-        for batch, data, offsets in text_chunks(batches, "text"):
+        for batch, data, offsets in text_chunks(batches, "text", SCORED_BYTES):
             known = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
             if model.languages:
                 best, score = score_texts(model, data, offsets)
