@@ -155,7 +155,8 @@ class Markov:
         """Log-likelihood ratio of a string: positive if it looks random."""
         # one folded literal: the table has the alphabet's size squared, whatever the data
         table = F.from_json(F.lit(json.dumps(self.ratios)), "array<double>")
-        codes = F.transform(F.split(token, "(?!^)"), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+        # no split at the end: it would leave an empty character, which is found at the alphabet's beginning
+        codes = F.transform(F.split(token, r"(?!^)(?!\z)"), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
         pairs = F.zip_with(
             codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.get(table, a * len(ALPHABET) + b)
         )

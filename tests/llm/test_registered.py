@@ -13,6 +13,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
@@ -197,3 +198,12 @@ def test_rulers_and_identifiers_are_left_alone(spark):
     got = {r["doc_id"]: r["secrets"] for r in secrets.scan(docs, secrets.train(docs.where("doc_id < 280"))).collect()}
     assert all([(s["start"], s["order"], s["end"]) for s in got[i]] == [(4, 3, 28)] for i in range(280, 300))
     assert got[300] == []
+
+
+def test_a_string_is_scored_by_its_own_pairs_alone(spark):
+    n = len(secrets.ALPHABET)
+    model = secrets.Markov([1000.0 * a + b for a in range(n) for b in range(n)])
+    tokens = ["cab", "AA", "-=", "A"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", model.score(F.col("t")).alias("s")).collect()
+    codes = {t: [secrets.ALPHABET.index(c) for c in t] for t in tokens}
+    assert {r["t"]: r["s"] for r in got} == {t: sum(1000.0 * a + b for a, b in zip(c, c[1:])) for t, c in codes.items()}
