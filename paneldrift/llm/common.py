@@ -100,7 +100,7 @@ def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (id, component), component = smallest id reachable.
 
-    Alternates two steps until nothing changes: every node points its larger neighbours to the
+    Alternates two steps until only stars are left: every node points its larger neighbours to the
     smallest node it sees, then its smaller ones. Minima are aggregated with map-side combine and
     joined back, so that a hub with very many links is never gathered in one task. Ids without an
     edge do not occur in the result.
@@ -109,8 +109,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
     )
     e = written(e.distinct(), "edges")
-    state = _fingerprint(e)
-    while state[0]:
+    while not _stars(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = (
@@ -121,15 +120,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         e = written(small.union(lowest.select("a", F.col("low").alias("b"))).distinct(), "small_star")
         discard(old, large)
-        before, state = state, _fingerprint(e)
-        if state == before:
-            break
     members = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return members.union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether each larger end of the edges has one smaller neighbour, which is no larger end itself."""
+    up = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = e.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = up.union(down).groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.agg(F.count_if(F.expr("up > 1 or up = 1 and down = 1"))).first()[0] == 0
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:

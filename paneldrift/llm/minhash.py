@@ -209,13 +209,14 @@ def differences(hubs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def around_hubs(near: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one hub's nodes that may be linked, though they lie in different components.
+    """Pairs (a, b) of one hub's nodes that are linked, though they lie in different components.
 
     Two sets x, y with Jaccard similarity t or more differ in at most (1 - t) / t * |x| shingles, and so do
     their differences from the hub. So the rarest differences, one more than that many, share a
     token, unless both are so close to the hub that both are linked to it. Near copies with edits of
-    their own differ in rare shingles, and share none. And of their differences, d and e many, they
-    share at least (d + e - m) / 2, where m = (1 - t) / (1 + t) * (|x| + |y|).
+    their own differ in rare shingles, and share none. With d and e differences, s of them shared, the
+    sets themselves differ in d + e - 2 s shingles, which decides the pair exactly: they are linked if
+    that is at most (1 - t) / (1 + t) * (|x| + |y|).
     """
     grouped = near.join(joined, F.col("b") == F.col("id"), "left").withColumn("group", F.coalesce("component", "b"))
     hub_group = joined.select(F.col("id").alias("a"), F.col("component").alias("hub_group"))
@@ -227,22 +228,36 @@ def around_hubs(near: DataFrame, sets: DataFrame, joined: DataFrame, percent: in
     room = (F.floor(F.col("size") * ((100 - percent) / percent) + 1e-9) + 1).cast("int")
     posted = rarest(items, ["hub", "token"], ["hub", "node", "size", "diff"], F.col("diff"), room)
     posted = posted.where(F.size("prefix") > 0).join(grouped.select(F.col("b").alias("node"), "group", "apart"), "node")
-    posted = written(posted.drop("score"), "hub_postings").withColumn("token", F.explode("prefix")).drop("prefix")
-    x = posted.where("apart").toDF(*[f"x_{c}" for c in posted.columns])
-    y = posted.toDF(*[f"y_{c}" for c in posted.columns])
-    most = (F.col("x_size") + F.col("y_size")) * ((100 - percent) / (100 + percent)) + 1e-9
-    shared = F.array_intersect("x_tokens", "y_tokens")
+    posted = written(posted.drop("score"), "hub_postings")
+    # candidates meet by single tokens and sizes; whole differences are read once a pair
+    light = posted.select(
+        "hub", "node", "size", "diff", "group", "apart", F.size("tokens").alias("common"), F.posexplode("prefix").alias("at", "token")
+    )
+    x = light.where("apart").toDF(*[f"x_{c}" for c in light.columns])
+    y = light.toDF(*[f"y_{c}" for c in light.columns])
+
+    def linked(shared: Column) -> Column:
+        """Whether sets with so many shared differences have a Jaccard similarity of percent / 100 or more."""
+        apart = (F.col("x_diff") + F.col("y_diff") - 2 * shared).cast("bigint")
+        return (100 + percent) * apart <= (100 - percent) * (F.col("x_size").cast("bigint") + F.col("y_size"))
+
+    # both list their differences in one order, so few can be shared besides those behind the common one
+    most = F.least("x_at", "y_at") + F.least(F.col("x_common") - F.col("x_at"), F.col("y_common") - F.col("y_at"))
     met = x.join(
         y,
         (F.col("x_hub") == F.col("y_hub"))
         & (F.col("x_token") == F.col("y_token"))
         & (F.col("x_group") != F.col("y_group"))
         & (~F.col("y_apart") | (F.col("x_node") < F.col("y_node")))
-        & (F.abs(F.col("x_diff") - F.col("y_diff")) <= most)
-        & (F.get(shared, F.lit(0)) == F.col("x_token"))
-        & (2 * F.size(shared) >= F.col("x_diff") + F.col("y_diff") - most),
+        & linked(most),
     )
-    return met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    met = written(met.select("x_hub", "x_node", "y_node").distinct(), "hub_candidates")
+    whole = posted.select("hub", "node", "size", "diff", "tokens")
+    both = met.join(whole.toDF("x_hub", "x_node", "x_size", "x_diff", "x_tokens"), ["x_hub", "x_node"])
+    y_key = (F.col("x_hub") == F.col("y_hub")) & (F.col("y_node") == F.col("_node"))
+    both = both.join(whole.toDF("y_hub", "_node", "y_size", "y_diff", "y_tokens"), y_key)
+    both = both.where(linked(F.size(F.array_intersect("x_tokens", "y_tokens"))))
+    return written(both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")), "hub_links")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -309,7 +324,7 @@ def near_duplicates(
     nodes = written(
         signed.where("n_shingles > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature")),
+        .agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"), F.max("n_shingles").alias("size")),
         "nodes",
     )
     prefixes = written(postings(nodes, coordinates, least), "prefixes")
@@ -346,7 +361,8 @@ def near_duplicates(
     named = written(named.join(mixed, "token"), "mixed_lists")
     sizes = named.groupBy("token", "hub").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("token").agg(F.max_by("hub", F.struct("n", "hub")).alias("largest"))
-    named = written(named.join(largest, "token").join(prefixes.select("node", "prefix"), "node"), "open_lists")
+    named = named.join(largest, "token").join(prefixes.select("node", "prefix"), "node").join(nodes.select("node", "size"), "node")
+    named = written(named, "open_lists")
     x = named.where(F.col("hub") != F.col("largest")).toDF(*[f"x_{c}" for c in named.columns])
     y = named.toDF(*[f"y_{c}" for c in named.columns])
     met = x.join(
@@ -354,13 +370,16 @@ def near_duplicates(
         (F.col("x_token") == F.col("y_token"))
         & (F.col("x_group") != F.col("y_group"))
         & (F.col("x_hub") != F.col("y_hub"))
+        & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
         & ((F.col("y_hub") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
         & (F.get(F.array_intersect("x_prefix", "y_prefix"), F.lit(0)) == F.col("x_token")),
     )
-    across = agreeing(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")), nodes, coordinates, least)
-    second = around.union(across).distinct()
-    more = written(confirmed(second, sets, percent), "more_links")
-    whole = written(components(links.union(more)), "all_components")
+    pairs = met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    across = written(agreeing(pairs, nodes, coordinates, least), "across")
+    more = written(confirmed(across, sets, percent), "more_links")
+    # stars of the components so far hold together what their links did, in fewer steps
+    stars = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    whole = written(components(stars.union(around).union(more)), "all_components")
 
     reach = whole.join(nodes.select("node", "doc_id"), F.col("id") == F.col("node"))
     smallest = reach.groupBy("component").agg(F.min("doc_id").alias("smallest"))

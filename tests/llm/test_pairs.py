@@ -70,6 +70,50 @@ def test_minhash_finds_every_link(spark, size, percent):
     }
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(common, "written", lambda df, name="table", f=common.written: names.append(name) or f(df, name))
+    edges = spark.createDataFrame([(1, k) for k in range(2, 40)] + [(50, 51)], "a bigint, b bigint")
+    got = {r["id"]: r["component"] for r in common.components(edges).collect()}
+    assert got == {k: 1 for k in range(1, 40)} | {50: 50, 51: 50}
+    assert names == ["edges"]
+
+
+def test_minhash_pairs_around_hubs_carry_no_differences(spark, monkeypatch):
+    """Nodes of one hub meet as keys, and come out only if they are linked; each is apart from its hub."""
+    base = list(range(100))
+    odd = [base[:75] + [1000 + k for k in range(25)], base[:75] + [1000 + k for k in range(22)] + [2000, 2001, 2002]]
+    odd += [base[:75] + [1000 + k for k in range(5)] + [3000 + k for k in range(20)]]
+    held = dict(enumerate([base, *odd]))
+    binary = [(k, np.array(sorted(v), np.uint64).tobytes()) for k, v in held.items()]
+    sets = spark.createDataFrame(binary, "node bigint, shingles binary")
+    near = spark.createDataFrame([(0, k) for k in held], "a bigint, b bigint")
+    joined = spark.createDataFrame([], "id bigint, component bigint")
+    tables = {}
+    monkeypatch.setattr(minhash, "written", lambda df, name="table", f=minhash.written: tables.setdefault(name, f(df, name)))
+    got = {tuple(sorted(r)) for r in minhash.around_hubs(near, sets, joined, 85).collect()}
+    assert got == {(1, 2)} == {tuple(sorted((a + 1, b + 1))) for a, b in brute.near_links([set(x) for x in odd], 85)}
+    assert {f.dataType.simpleString() for f in tables["hub_candidates"].schema} == {"bigint"}
+
+
+def test_minhash_open_lists_compare_like_sizes(spark, monkeypatch):
+    """Texts that hold one long passage, of very different lengths, are no candidates."""
+    asked = []
+
+    def counted(pairs, *rest, f=minhash.agreeing):
+        asked.append(pairs.count())
+        return f(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "agreeing", counted)
+    passage = brute.prose(1, 120)
+    texts = [f"{passage} {brute.prose(900 + k, 40 if k % 2 else 110)}" for k in range(40)]
+    got = minhash.near_duplicates(docs_table(spark, texts), size=3, percent=85).collect()
+    sets = [brute.shingles(t, 3) for t in texts]
+    assert brute.near_links(sets, 85) == [] and all(r["kept"] for r in got)
+    like = sum(100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)) for i, a in enumerate(sets) for b in sets[:i])
+    assert asked[1] <= like
+
+
 def test_minhash_miss_bound():
     assert minhash.least_agreements(100) == 32
     assert 10 <= minhash.least_agreements(80) < minhash.least_agreements(90)
