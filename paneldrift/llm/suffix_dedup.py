@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hashes, range_hashes, slices, text_chunks, written
+from .common import discard, mix, prefix_hashes, range_hashes, slices, text_chunks, written
 
 SEED = 32
 #: Sync points of one seed that a task ranks together; larger groups are refined first.
@@ -274,6 +274,7 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
     found = written(points(keyed, length), "sync_points")
     repeated = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     shared = written(found.join(repeated, "seed"), "shared_points")
+    discard(found)
     place = F.struct("doc", "version", "pos", "lo", "hi")
     # lo and hi tell how long a context is and where the point lies in it
     same = ["seed", "context", "lo", "hi"]
@@ -288,6 +289,9 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
     whole = whole.select(
         "doc", "version", (F.col("pos") - F.col("hi")).cast("int").alias("start"), (F.col("pos") - F.col("lo") + length).cast("int").alias("end")
     )
+    # ranges are written as they are found, so that the disk holds one step's tables and shuffles
+    ranges = written(whole, "ranges")
+    discard(shared)
 
     # the rest: one point for each distinct context of a seed that has several
     mixed = (
@@ -299,9 +303,10 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
     chosen = alike.join(mixed, "seed").select(
         F.col("seed").alias("key"), "kinds", "first.*", (F.lit(keep_first) | (F.col("n") == 1)).alias("wanted")
     )
-    chosen = written(chosen, "chosen")
+    read = chosen = written(chosen, "chosen")
+    discard(alike)
     small = contexts(chosen.where(F.col("kinds") <= GROUP), bodies, length)
-    ranges = whole.union(decided(small, length, keep_first))
+    ranges = ranges.union(written(decided(small, length, keep_first), "ranges"))
 
     large = contexts(chosen.where(F.col("kinds") > GROUP), bodies, length)
     large = large.withColumns(
@@ -310,26 +315,29 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
     spot = F.struct("doc", "version", "pos")
     while not chosen.where(F.col("kinds") > GROUP).isEmpty():
         halves = written(refined(large, length), "refined")
+        discard(read)
         alike = halves.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("first"))
         told = halves.join(alike, ["key", "hull"])
         # the same hull as another: all these strings are copied
         copies = told.where(F.col("wanted") & (F.col("n") > 1))
         if keep_first:
             copies = copies.where(spot != F.col("first"))
-        ranges = ranges.union(
-            copies.select(
-                "doc", "version", (F.col("pos") - F.col("hi")).cast("int").alias("start"), (F.col("pos") - F.col("lo") + length).cast("int").alias("end")
-            )
+        copies = copies.select(
+            "doc", "version", (F.col("pos") - F.col("hi")).cast("int").alias("start"), (F.col("pos") - F.col("lo") + length).cast("int").alias("end")
         )
+        ranges = ranges.union(written(copies, "ranges"))
         # the rest: one for each distinct hull
         rest = told.where(spot == F.col("first")).withColumn("wanted", F.col("wanted") & (F.lit(keep_first) | (F.col("n") == 1)))
         rest = written(rest.drop("n", "first"), "rest")
+        discard(halves)
         sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("wanted").alias("open"))
-        sized = written(rest.join(sizes.where("kinds > 1 and open").drop("open"), "key"), "sized")
+        read = sized = written(rest.join(sizes.where("kinds > 1 and open").drop("open"), "key"), "sized")
+        discard(rest)
         small = sized.where(F.col("kinds") <= GROUP).drop("kinds", "from", "to", "hull")
-        ranges = ranges.union(decided(small, length, keep_first))
+        ranges = ranges.union(written(decided(small, length, keep_first), "ranges"))
         chosen = sized.where(F.col("kinds") > GROUP)
         large = chosen.drop("kinds")
+    discard(read)
     return ranges
 
 

@@ -184,6 +184,20 @@ def test_copied_strings(spark, monkeypatch, keep_first, group):
         assert got[i]["n_bytes"] == len(raw[i])
 
 
+def test_copied_ranges_leave_only_ranges_on_disk(spark, monkeypatch):
+    names = {}
+    monkeypatch.setattr(suffix_dedup, "GROUP", 4)
+    monkeypatch.setattr(
+        suffix_dedup, "written", lambda df, name="table", f=common.written: names.setdefault(f(df, name), name) and list(names)[-1]
+    )
+    passage = brute.prose(3, 60)
+    docs = docs_table(spark, [f"{brute.prose(10 + k, 30)} {passage} {brute.prose(40 + k, 30)}" for k in range(8)])
+    keyed = suffix_dedup._keyed(docs, "text", "doc_id")
+    assert suffix_dedup.copied_ranges(keyed, suffix_dedup.packed_texts(keyed), 100, True).count() > 0
+    left = {n for t, n in names.items() if os.path.exists(t._durable_path.removeprefix("file:"))}
+    assert "refined" in names.values() and left == {"ranges"}
+
+
 def test_copied_strings_of_repeated_rows_and_empty_tables(spark):
     t = brute.prose(8, 100)
     table = docs_table(spark, [t, t, "other"], [None, None, 3])
