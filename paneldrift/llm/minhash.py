@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, components, mix, prefix_hashes, range_hashes, text_chunks, written
+from .common import LOWER, SPACE, components, mix, prefix_hashes, range_hashes, slices, text_chunks, written
 
 COORDINATES = 32
 #: Accepted chance that a pair exactly at the threshold agrees in fewer than m coordinates.
 MISS = 1e-6
+#: Sets that a task compares with their hubs' at once.
+DIFFERENCES = 1000
 
 
 def least_agreements(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -184,50 +186,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def differences(hubs: DataFrame, sets: DataFrame) -> DataFrame:
-    """hub, node, size, diff, token: the shingles in which a node (of ``size``) differs from its hub, ``diff`` many."""
+def centres(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, centre: the shingles that more than half of a hub's nodes hold, which need not be the set of any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in ("sa", "sb"))
-                tokens = np.setxor1d(a, b, assume_unique=True).view(np.int64)
-                n = len(tokens)
+        for batch in slices(batches, DIFFERENCES):
+            hub = batch.column("a").to_numpy()
+            order = np.argsort(hub, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
+                held = b"".join(batch.column("shingles").take(pa.array(part)).to_pylist())
+                token, n = np.unique(np.frombuffer(held, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, batch.column("a")[k].as_py(), np.int64)),
-                        pa.array(np.full(n, batch.column("b")[k].as_py(), np.int64)),
-                        pa.array(np.full(n, len(b), np.int32)),
-                        pa.array(np.full(n, n, np.int32)),
-                        pa.array(tokens),
-                    ],
-                    names=["hub", "node", "size", "diff", "token"],
+                    [pa.array(np.full(len(token), hub[part[0]])), pa.array(token), pa.array(n)], names=["hub", "token", "n"]
                 )
 
-    both = hubs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "hub bigint, node bigint, size int, diff int, token bigint")
+    held = members.join(sets, F.col("b") == F.col("node")).select("a", "shingles")
+    often = held.mapInArrow(run, "hub bigint, token bigint, n bigint").groupBy("hub", "token").agg(F.sum("n").alias("n"))
+    many = members.groupBy(F.col("a").alias("hub")).agg(F.count(F.lit(1)).alias("nodes"))
+    return often.where("n > 1").join(many, "hub").where("2 * n > nodes").groupBy("hub").agg(F.collect_list("token").alias("centre"))
+
+
+def differences(members: DataFrame, middle: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, node, group, size, tokens: the shingles in which a node (of ``size``) differs from the centre of its hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, DIFFERENCES):
+            size, tokens = [], []
+            for x, y in zip(batch.column("centre"), batch.column("shingles"), strict=True):
+                held = np.frombuffer(y.as_py(), np.int64)
+                size.append(len(held))
+                tokens.append(np.setxor1d(x.values.to_numpy(), held, assume_unique=True) if x.is_valid else held)
+            columns = [*batch.columns[:3], pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hub", "node", "group", "size", "tokens"])
+
+    both = members.join(sets, F.col("b") == F.col("node")).join(middle, F.col("a") == F.col("hub"), "left")
+    kind = "hub bigint, node bigint, group bigint, size int, tokens array<bigint>"
+    return both.select("a", "b", "group", "centre", "shingles").mapInArrow(run, kind)
 
 
 def around_hubs(near: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one hub's nodes that are linked, though they lie in different components.
+    """Pairs (a, b) of one hub's nodes that are linked, though they lie in different components. They hold
+    together what all such pairs would.
 
     Two sets x, y with Jaccard similarity t or more differ in at most (1 - t) / t * |x| shingles, and so do
-    their differences from the hub. So the rarest differences, one more than that many, share a
-    token, unless both are so close to the hub that both are linked to it. Near copies with edits of
-    their own differ in rare shingles, and share none. With d and e differences, s of them shared, the
-    sets themselves differ in d + e - 2 s shingles, which decides the pair exactly: they are linked if
-    that is at most (1 - t) / (1 + t) * (|x| + |y|).
+    their differences from any third set. So the rarest differences, one more than that many, share a
+    token, unless the differences share none at all. The third set is what most of the hub's nodes
+    hold: an edit of the hub itself would be a difference that all the others share. Near copies with edits
+    of their own differ from it in rare shingles, and share few. With d and e differences, s of them
+    shared, the sets themselves differ in d + e - 2 s shingles, which decides the pair exactly: they are
+    linked if that is at most r * (|x| + |y|), r = (1 - t) / (1 + t).
+
+    The nearest node z is the one with the least e - r * |z|. All meet it first: if x and y share no
+    difference and are linked, then d - r * |x| <= r * |y| - e <= r * |z| - (differences of z), so x is
+    linked to z, and so is y. Pairs of nodes that are joined to z are not looked at again.
     """
-    grouped = near.join(joined, F.col("b") == F.col("id"), "left").withColumn("group", F.coalesce("component", "b"))
-    hub_group = joined.select(F.col("id").alias("a"), F.col("component").alias("hub_group"))
-    grouped = grouped.join(hub_group, "a", "left")
-    grouped = grouped.withColumn("apart", F.col("group") != F.coalesce("hub_group", "a")).select("a", "b", "group", "apart")
+    grouped = near.join(joined, F.col("b") == F.col("id"), "left").select("a", "b", F.coalesce("component", "b").alias("group"))
     grouped = written(grouped, "hub_members")
-    torn = grouped.groupBy("a").agg(F.bool_or("apart").alias("torn")).where("torn").select("a")
-    items = written(differences(grouped.join(torn, "a").select("a", "b"), sets), "differences")
+    torn = grouped.groupBy("a").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("a")
+    members = grouped.join(torn, "a")
+    middle = written(centres(members, sets), "centres")
+    items = written(differences(members, middle, sets).withColumn("diff", F.size("tokens")), "differences")
+
+    def linked(shared: Column) -> Column:
+        """Whether sets with so many shared differences have a Jaccard similarity of percent / 100 or more."""
+        apart = (F.col("x_diff") + F.col("y_diff") - 2 * shared).cast("bigint")
+        return (100 + percent) * apart <= (100 - percent) * (F.col("x_size").cast("bigint") + F.col("y_size"))
+
+    names = ["node", "size", "diff", "group", "tokens"]
+    far = F.struct((100 + percent) * F.col("diff").cast("bigint") - (100 - percent) * F.col("size").cast("bigint"), "node")
+    nearest = items.groupBy("hub").agg(F.min_by(F.struct(*names), far).alias("z")).select("hub", *[F.col(f"z.{c}").alias(f"y_{c}") for c in names])
+    met = items.select("hub", *[F.col(c).alias(f"x_{c}") for c in names]).join(nearest, "hub")
+    met = met.select(
+        "hub", F.col("y_node").alias("a"), F.col("x_node").alias("b"), F.col("x_group").alias("group"),
+        linked(F.size(F.array_intersect("x_tokens", "y_tokens"))).alias("close"), (F.col("x_group") != F.col("y_group")).alias("fresh"),
+    )
+    met = written(met, "nearest")
+    core = met.groupBy("hub", "group").agg((~F.bool_or("close")).alias("apart"))
+    direct = met.where("close and fresh").select("a", "b")
+
     room = (F.floor(F.col("size") * ((100 - percent) / percent) + 1e-9) + 1).cast("int")
-    posted = rarest(items, ["hub", "token"], ["hub", "node", "size", "diff"], F.col("diff"), room)
-    posted = posted.where(F.size("prefix") > 0).join(grouped.select(F.col("b").alias("node"), "group", "apart"), "node")
+    each = items.select("hub", "node", "size", "diff", F.explode("tokens").alias("token"))
+    posted = rarest(each, ["hub", "token"], ["hub", "node", "size", "diff"], F.col("diff"), room)
+    posted = posted.where(F.size("prefix") > 0).join(items.select("hub", "node", "group"), ["hub", "node"]).join(core, ["hub", "group"])
     posted = written(posted.drop("score"), "hub_postings")
     # candidates meet by single tokens and sizes; whole differences are read once a pair
     light = posted.select(
@@ -235,12 +275,6 @@ def around_hubs(near: DataFrame, sets: DataFrame, joined: DataFrame, percent: in
     )
     x = light.where("apart").toDF(*[f"x_{c}" for c in light.columns])
     y = light.toDF(*[f"y_{c}" for c in light.columns])
-
-    def linked(shared: Column) -> Column:
-        """Whether sets with so many shared differences have a Jaccard similarity of percent / 100 or more."""
-        apart = (F.col("x_diff") + F.col("y_diff") - 2 * shared).cast("bigint")
-        return (100 + percent) * apart <= (100 - percent) * (F.col("x_size").cast("bigint") + F.col("y_size"))
-
     # both list their differences in one order, so few can be shared besides those behind the common one
     most = F.least("x_at", "y_at") + F.least(F.col("x_common") - F.col("x_at"), F.col("y_common") - F.col("y_at"))
     met = x.join(
@@ -257,7 +291,7 @@ def around_hubs(near: DataFrame, sets: DataFrame, joined: DataFrame, percent: in
     y_key = (F.col("x_hub") == F.col("y_hub")) & (F.col("y_node") == F.col("_node"))
     both = both.join(whole.toDF("y_hub", "_node", "y_size", "y_diff", "y_tokens"), y_key)
     both = both.where(linked(F.size(F.array_intersect("x_tokens", "y_tokens"))))
-    return written(both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")), "hub_links")
+    return written(both.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).union(direct), "hub_links")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

@@ -96,6 +96,33 @@ def test_minhash_pairs_around_hubs_carry_no_differences(spark, monkeypatch):
     assert {f.dataType.simpleString() for f in tables["hub_candidates"].schema} == {"bigint"}
 
 
+def test_minhash_pairs_around_an_edited_hub(spark, monkeypatch):
+    """An edit of the hub is a difference that all its nodes share, but it makes no candidates of them."""
+    r, base = random.Random(8), list(range(148))
+
+    def edited(n: int, own: int) -> set:
+        lost = {3 * k + i for k in r.sample(range(49), n) for i in range(3)}
+        return {x for x in base if x not in lost} | {1000 * own + i for i in range(3 * n)}
+
+    tables, n_candidates = {}, []
+    monkeypatch.setattr(minhash, "written", lambda df, name="table", f=minhash.written: tables.setdefault(name, f(df, name)))
+    for nearest in (0, 1):
+        tables.clear()
+        held = [edited(1, 1), edited(nearest, 2)] + [edited(2 + k % 4, 3 + k) for k in range(80)]
+        binary = [(k, np.array(sorted(v), np.uint64).tobytes()) for k, v in enumerate(held)]
+        sets = spark.createDataFrame(binary, "node bigint, shingles binary")
+        near = spark.createDataFrame([(0, k) for k in range(len(held))], "a bigint, b bigint")
+        links = brute.near_links(held, 85)
+        low = brute.components(range(len(held)), [p for p in links if 0 in p])
+        joined = spark.createDataFrame(list(low.items()), "id bigint, component bigint")
+        got = [tuple(x) for x in minhash.around_hubs(near, sets, joined, 85).collect()]
+        assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in links}
+        assert brute.components(low, got + list(low.items())) == brute.components(low, links)
+        n_candidates.append(tables["hub_candidates"].count())
+    # without a node in the middle, those of few edits meet those of many that lack one of the same shingles
+    assert n_candidates[0] == 0 and n_candidates[1] <= 200
+
+
 def test_minhash_open_lists_compare_like_sizes(spark, monkeypatch):
     """Texts that hold one long passage, of very different lengths, are no candidates."""
     asked = []
