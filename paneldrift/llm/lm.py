@@ -58,6 +58,25 @@ def unpack(b: bytes) -> np.ndarray:
     return raw.view("<i8").ravel()
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different non-negative keys in order, the first place of each and the number of each key.
+
+    Keys that leave room for their place in 63 bits are sorted with it, as plain numbers: several times faster
+    than ``np.unique``, which sorts places by keys.
+    """
+    bits = max(len(keys) - 1, 1).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_index=True, return_inverse=True)
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    place = both & (1 << bits) - 1
+    both >>= bits
+    new = np.ones(len(keys), bool)
+    new[1:] = both[1:] != both[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[place] = np.cumsum(new) - 1
+    return both[new], place[new], inverse
+
+
 def steps(x: np.ndarray) -> np.ndarray:
     """First value and differences of a non-decreasing array."""
     return np.diff(x, prepend=0)
@@ -108,11 +127,13 @@ class Line:
 
     def bigrams(self, model: dict) -> Grams:
         earlier = np.where(self.first, self.size, np.roll(self.tokens, 1))
-        keys, self.at2 = np.unique(earlier * (self.size + 1) + self.tokens, return_inverse=True)
+        keys, _, self.at2 = numbered(earlier * (self.size + 1) + self.tokens)
         self.earlier, word = keys // (self.size + 1), keys % (self.size + 1)
         context = np.append(self.word_counts, model["documents"])[self.earlier]
         self.second = word
-        return Grams([self.ids[self.earlier], self.ids[word]], self.counted(self.at2, len(keys)), context, self.p1[word])
+        rank = numbered(self.ids)[2]
+        ranks = rank[self.earlier] * (self.size + 1) + rank[word]
+        return Grams([self.ids[self.earlier], self.ids[word]], self.counted(self.at2, len(keys)), context, self.p1[word], ranks)
 
     def pair_counts(self, model: dict, counts2: np.ndarray) -> np.ndarray:
         """Count of the pair of words before each token."""
@@ -121,24 +142,31 @@ class Line:
     def trigrams(self, model: dict, two: Grams, counts2: np.ndarray, p2: np.ndarray) -> Grams:
         none = len(counts2)
         before = np.where(self.first, none, np.roll(self.at2, 1))
-        keys, at, self.at3 = np.unique(before * (self.size + 1) + self.tokens, return_index=True, return_inverse=True)
+        keys, at, self.at3 = numbered(before * (self.size + 1) + self.tokens)
         pair, word = keys // (self.size + 1), keys % (self.size + 1)
         ids = [np.append(c, START_ID)[pair] for c in two.columns]
         context = np.append(counts2, model["documents"])[pair]
-        return Grams([*ids, self.ids[word]], self.counted(self.at3, len(keys)), context, p2[self.at2[at]])
+        # the pair of starts is the last one
+        ranks = np.append(numbered(two.ranks)[2], none)[pair] * (self.size + 1) + numbered(self.ids)[2][word]
+        return Grams([*ids, self.ids[word]], self.counted(self.at3, len(keys)), context, p2[self.at2[at]], ranks)
 
 
 class Grams:
     """Different n-grams of a block: ids, training counts, count of the context, probability of the
-    shorter n-gram. ``sent`` are those whose context has successors of its own, by shard and ids."""
+    shorter n-gram. ``sent`` are those whose context has successors of its own, by shard and ids; ``ranks``
+    are different numbers in the order of the ids."""
 
-    def __init__(self, columns: list[np.ndarray], counts: np.ndarray, context: np.ndarray, lower: np.ndarray) -> None:
-        self.columns, self.counts, self.context, self.lower = columns, counts, context, lower
+    def __init__(
+        self, columns: list[np.ndarray], counts: np.ndarray, context: np.ndarray, lower: np.ndarray, ranks: np.ndarray
+    ) -> None:
+        self.columns, self.counts, self.context, self.lower, self.ranks = columns, counts, context, lower, ranks
 
     def sent(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         held = np.flatnonzero(self.context >= LEAST)
+        held = held[numbered(self.ranks[held])[1]]
         shard = shard_of([c[held] for c in self.columns], shards)
-        order = np.lexsort([*[c[held] for c in reversed(self.columns)], shard])
+        # 16 bits are sorted by counting
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         return held[order], shard[order]
 
     def smoothed(self, codes: np.ndarray) -> np.ndarray:
@@ -184,8 +212,9 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Number of each row's tuple in their order, and the first row of each different tuple."""
     number = np.zeros(len(columns[0]), np.int64)
     for c in columns:
-        items, inverse = np.unique(c, return_inverse=True)
-        _, first, number = np.unique(number * len(items) + inverse, return_index=True, return_inverse=True)
+        items, first, inverse = numbered(c)
+        # the first column's numbers are the tuples' so far
+        _, first, number = (items, first, inverse) if c is columns[0] else numbered(number * len(items) + inverse)
     return number, first
 
 
@@ -339,7 +368,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
 
 def _single(row: dict) -> Grams:
     words = unpack(row["words"]).cumsum()
-    return Grams([words], unpack(row["counts"]), np.full(len(words), LEAST), np.zeros(len(words), np.int64))
+    return Grams([words], unpack(row["counts"]), np.full(len(words), LEAST), np.zeros(len(words), np.int64), np.arange(len(words)))
 
 
 def _blocks(arrow: pa.Schema):

@@ -134,3 +134,14 @@ def test_repeats_nulls_and_nothing(spark):
     assert got == [(0, False, 3, 3, 6), (0, False, 3, 3, 6), (3, True, 1, 1, 6), (3, True, 2, 2, 6)]
     alone = lm.score(spark.createDataFrame([(1, "all held out", True)], schema)).collect()[0]
     assert (alone["train_tokens"], alone["n_known"], alone["base_score"], alone["score"]) == (0, 0, 0.0, 0.0)
+
+
+def test_keys_are_numbered_in_order_with_their_first_places():
+    r = np.random.default_rng(6)
+    for keys in (r.integers(0, 50, 400), r.integers(0, 1 << 62, 400).repeat(2), np.zeros(0, np.int64), np.array([7])):
+        for got, wanted in zip(lm.numbered(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
+            assert np.array_equal(got, wanted)
+    ids = [r.integers(0, 1 << 40, 300) for _ in range(2)]
+    g = lm.Grams(ids, np.ones(300, np.int64), np.full(300, lm.LEAST), np.ones(300), lm.distinct(ids)[0])
+    rows, shard = g.sent(3)
+    assert np.array_equal(rows, np.lexsort([*ids[::-1], lm.shard_of(ids, 3)])) and np.array_equal(shard, lm.shard_of([c[rows] for c in ids], 3))
