@@ -40,28 +40,42 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def sync_points(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, seed hashes and context fingerprints of the sync points of a slice of texts.
+def sync_points(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Positions, least and largest distances, seed hashes and context fingerprints of the sync points of a slice of texts.
 
-    A position is one if its seed has the smallest hash in some window of ``length`` bytes of its text.
-    The context is all that windows through the point can see.
+    A window of ``length`` bytes of a text belongs to one point, the first of its seeds with the smallest hash. The
+    windows of a point begin at neighbouring places, lo to hi bytes before it; its context is all that they cover.
     """
     n, width = len(data), length - SEED + 1
     prefix = prefix_hashes(data)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2
     at = np.arange(n - SEED + 1)
     seeds = range_hashes(prefix, at, at + SEED)
+    seeds[seeds == 0] = 1  # 0 stands for no window
     lowest = _sliding(seeds, width, True)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     lowest[np.arange(len(lowest)) + length > ends[: len(lowest)]] = 0
     padded = np.concatenate([np.zeros(width - 1, np.uint64), lowest, np.zeros(width - 1, np.uint64)])
-    found = np.flatnonzero((_sliding(padded, width, False) == seeds) & (seeds != 0))
-    begin = np.repeat(offsets[:-1], np.diff(offsets))
-    left = np.maximum(begin[found], found - width + 1)
-    right = np.minimum(ends[found], found + length)
+    found = np.flatnonzero(_sliding(padded, width, False) == seeds)
+    # neighbouring windows with the same smallest hash are a run; its points follow each other, like the runs
+    new = np.diff(lowest, prepend=np.uint64(0)) != 0
+    first = np.flatnonzero(new & (lowest != 0))
+    last = np.flatnonzero(np.append(new[1:], True) & (lowest != 0))
+    text = np.searchsorted(offsets, found, "right")
+    begins = np.ones(len(found), bool)
+    begins[1:] = (seeds[found[1:]] != seeds[found[:-1]]) | (text[1:] != text[:-1])
+    run = np.cumsum(begins) - 1
+    first, last = first[run], last[run]
+    # of several points of a run, each has the windows behind the point before
+    again = np.flatnonzero(~begins)
+    first[again] = np.maximum(first[again], found[again - 1] + 1)
+    last = np.minimum(last, found)
+    used = first <= last
+    found, first, last = found[used], first[used], last[used]
     # where the point lies in its context belongs to the fingerprint: a short text is the context of all its points
-    return found, seeds[found], mix(range_hashes(prefix, left, right) + (found - left).astype(np.uint64))
+    context = mix(range_hashes(prefix, first, last + length) + (found - first).astype(np.uint64))
+    return found, found - last, found - first, seeds[found], context
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -77,16 +91,14 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def points(keyed: DataFrame, length: int) -> DataFrame:
     """doc, version, pos, lo, hi, seed, context: a row for each sync point.
 
-    lo and hi are the least and the largest distance from a window's start to the point.
+    lo and hi are the least and the largest distance from the start of one of its windows to the point.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_chunks(batches, "text", STRIP):
-            at, seeds, contexts = sync_points(data, offsets, length)
+            at, lo, hi, seeds, contexts = sync_points(data, offsets, length)
             of = np.searchsorted(offsets, at, "right") - 1
             pos = at - offsets[of]
-            lo = np.maximum(0, length - (offsets[of + 1] - at))
-            hi = np.minimum(length - SEED, pos)
             rows = pa.array(of)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -130,7 +142,7 @@ CONTEXT = "key bigint, doc bigint, version int, pos int, lo smallint, hi smallin
 
 
 def contexts(chosen: DataFrame, bodies: DataFrame, length: int) -> DataFrame:
-    """The bytes around chosen sync points: ``around`` begins ``left`` bytes before the point."""
+    """The bytes that the windows of chosen sync points cover: ``around`` begins ``left`` bytes before the point."""
     names = ["pos", "lo", "hi", "key", "wanted"]
     listed = chosen.groupBy("doc", "version").agg(F.collect_list(F.struct(*names)).alias("points"))
     # rows that repeat an id and a text share their points
@@ -142,15 +154,15 @@ def contexts(chosen: DataFrame, bodies: DataFrame, length: int) -> DataFrame:
                 raw = unpacked(batch.column("size")[k], batch.column("body")[k])
                 own = batch.column("points")[k].values
                 pos = own.field("pos").to_numpy()
-                left = np.minimum(pos, length - SEED)
-                around = [raw[p - a : p + length] for p, a in zip(pos.tolist(), left.tolist(), strict=True)]
+                lo, hi = own.field("lo").to_numpy(), own.field("hi").to_numpy()
+                around = [raw[p - b : p - a + length] for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.field("key"),
                         pa.array([batch.column("doc")[k].as_py()] * len(pos), pa.int64()),
                         pa.array([batch.column("version")[k].as_py()] * len(pos), pa.int32()),
                         *[own.field(c) for c in ("pos", "lo", "hi", "wanted")],
-                        pa.array(left.astype(np.int16)),
+                        pa.array(hi.astype(np.int16)),
                         pa.array(around, pa.binary()),
                     ],
                     names=["key", "doc", "version", "pos", "lo", "hi", "wanted", "left", "around"],

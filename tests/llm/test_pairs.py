@@ -211,6 +211,20 @@ def test_copied_strings(spark, monkeypatch, keep_first, group):
         assert got[i]["n_bytes"] == len(raw[i])
 
 
+def test_each_window_belongs_to_its_first_smallest_seed(spark):
+    texts = ["short", "a" * 300, "ab" * 150, brute.prose(1, 60), brute.prose(1, 60), brute.prose(2, 9) + brute.prose(1, 60)]
+    r = np.random.default_rng(5)
+    texts += ["".join(r.choice(list("xyz"), 400)) for _ in range(3)]
+    got = {i: [] for i in range(len(texts))}
+    for row in suffix_dedup.points(suffix_dedup._keyed(docs_table(spark, texts), "text", "doc_id"), 100).collect():
+        got[row["doc"]] += [(row["pos"] - d, row["pos"]) for d in range(row["lo"], row["hi"] + 1)]
+    for i, text in enumerate(texts):
+        prefix, at = common.prefix_hashes(np.frombuffer(text.encode(), np.uint8)), np.arange(max(len(text) - suffix_dedup.SEED + 1, 0))
+        seeds = common.range_hashes(prefix, at, at + suffix_dedup.SEED)
+        first = [(x, x + int(np.argmin(seeds[x : x + 100 - suffix_dedup.SEED + 1]))) for x in range(len(text) - 99)]
+        assert sorted(got[i]) == first, i
+
+
 def test_copied_ranges_leave_only_ranges_on_disk(spark, monkeypatch):
     names = {}
     monkeypatch.setattr(suffix_dedup, "GROUP", 4)
