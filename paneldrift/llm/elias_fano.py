@@ -35,6 +35,8 @@ class Sequence:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
         bits = np.unpackbits(high, bitorder="little")
         self.ones, self.zeros = np.flatnonzero(bits), np.flatnonzero(bits == 0)
+        #: The 64 bits from each byte on, as a view.
+        self.windows = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
 
     @classmethod
     def of(cls, values: np.ndarray) -> Sequence:
@@ -60,8 +62,7 @@ class Sequence:
         if not self.low_bits:
             return np.zeros(len(at), np.int64)
         bit = at * self.low_bits
-        window = self.low[(bit >> 3)[:, None] + np.arange(8)].view("<u8").ravel()
-        return (window >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        return (self.windows[bit >> 3] >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         return (self.ones[at] - at << self.low_bits) | self._low(at)
@@ -134,19 +135,26 @@ class Trie:
     def find(self, columns: list[np.ndarray]) -> np.ndarray:
         """Place of each tuple, -1 for those that are not there."""
         found = np.zeros(len(columns[0]), np.int64)
+        new = np.zeros(len(found), bool)
+        new[:1] = True
         for k, level in enumerate(self.levels):
-            live = np.flatnonzero(found >= 0)
-            x = columns[k][live].astype(np.int64)
+            # neighbours that begin alike are searched once
+            new[1:] |= columns[k][1:] != columns[k][:-1]
+            rows = np.flatnonzero(new)
+            once = found[rows]
+            live = np.flatnonzero(once >= 0)
+            x = columns[k][rows[live]].astype(np.int64)
             if k == 0:
                 first, last = np.zeros(len(live), np.int64), np.full(len(live), level.n)
             else:
-                first, last = (self.pointers[k - 1].get(found[live] + i) for i in (0, 1))
+                first, last = (self.pointers[k - 1].get(once[live] + i) for i in (0, 1))
                 x = x + np.where(first > 0, level.get(np.maximum(first - 1, 0)), 0) if level.n else x
             place = level.successor(first, last, x)
             there = np.flatnonzero(place < last)
             there = there[level.get(place[there]) == x[there]]
-            found[live] = -1
-            found[live[there]] = place[there]
+            once[live] = -1
+            once[live[there]] = place[there]
+            found = once[np.cumsum(new) - 1]
         return found
 
     def code(self, columns: list[np.ndarray]) -> np.ndarray:

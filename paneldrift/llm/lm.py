@@ -53,28 +53,31 @@ def pack(x: np.ndarray) -> bytes:
 def unpack(b: bytes) -> np.ndarray:
     n, width = int.from_bytes(b[:7], "little"), b[7]
     planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
-    raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = planes.reshape(width, n).T
-    return raw.view("<i8").ravel()
+    out = np.zeros(n, np.int64)
+    for k, plane in enumerate(planes.reshape(width, n)):
+        out |= plane.astype(np.int64) << 8 * k
+    return out
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different non-negative keys in order, the first place of each and the number of each key.
 
-    Keys that leave room for their place in 63 bits are sorted with it, as plain numbers: several times faster
-    than ``np.unique``, which sorts places by keys.
+    The leading bits of keys that leave room for their place in 63 bits are sorted with it, as plain numbers: several
+    times faster than ``np.unique``, which sorts places by keys and is left for different keys that begin alike.
     """
     bits = max(len(keys) - 1, 1).bit_length()
-    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
-        return np.unique(keys, return_index=True, return_inverse=True)
-    both = np.sort(keys << bits | np.arange(len(keys)))
+    cut = max(int(keys.max()).bit_length() + bits - 63, 0) if len(keys) else 0
+    both = np.sort(keys >> cut << bits | np.arange(len(keys)))
     place = both & (1 << bits) - 1
     both >>= bits
+    items = keys[place] if cut else both
     new = np.ones(len(keys), bool)
-    new[1:] = both[1:] != both[:-1]
+    new[1:] = items[1:] != items[:-1]
+    if cut and (new[1:] & (both[1:] == both[:-1])).any():
+        return np.unique(keys, return_index=True, return_inverse=True)
     inverse = np.empty(len(keys), np.int64)
     inverse[place] = np.cumsum(new) - 1
-    return both[new], place[new], inverse
+    return items[new], place[new], inverse
 
 
 def steps(x: np.ndarray) -> np.ndarray:
@@ -172,7 +175,12 @@ class Grams:
     def smoothed(self, codes: np.ndarray) -> np.ndarray:
         """Probabilities: from the trie, for absent n-grams from the weight of the shorter context."""
         absent = np.where(self.context >= LEAST, PRIOR * self.lower / (self.context + PRIOR), self.lower)
-        return np.where(codes > 0, 10.0 ** log10_of(codes), absent)
+        return np.where(codes > 0, probabilities(codes), absent)
+
+
+def probabilities(codes: np.ndarray) -> np.ndarray:
+    """Of codes, by a table: there are far fewer codes than n-grams."""
+    return (10.0 ** log10_of(np.arange(int(codes.max(initial=0)) + 1)))[codes]
 
 
 def shard_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
@@ -238,7 +246,7 @@ def answers(shard: int, shards: int, sent: list[dict]) -> Iterator[dict]:
             new[1:] |= c[1:] != c[:-1]
         new[upto[:-1]] = True
         context = np.concatenate([unpack(m["context"]) for m in sent])[(np.cumsum(new) - 1)[first]]
-        lower = 10.0 ** log10_of(np.concatenate([unpack(m["lower"]) for m in sent])[first])
+        lower = probabilities(np.concatenate([unpack(m["lower"]) for m in sent])[first])
         grams = [c[first] for c in columns]
         del columns, new
         p = quantised(np.minimum((counts + PRIOR * lower) / (context + PRIOR), 1.0))
@@ -373,7 +381,7 @@ def _single(row: dict) -> Grams:
 
 def _blocks(arrow: pa.Schema):
     def closed(ids: list, held: list, words: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
-        lexicon, tokens = np.unique(np.concatenate(words), return_inverse=True)
+        lexicon, _, tokens = numbered(np.concatenate(words))
         n_tokens = np.concatenate(n)
         row = {"block": uuid.uuid4().hex, "ids": ids, "held_out": held, "n_tokens": n_tokens.tolist()}
         row |= {"tokens": pack(tokens), "lexicon": len(lexicon), "words": pack(steps(lexicon))}

@@ -145,3 +145,31 @@ def test_keys_are_numbered_in_order_with_their_first_places():
     g = lm.Grams(ids, np.ones(300, np.int64), np.full(300, lm.LEAST), np.ones(300), lm.distinct(ids)[0])
     rows, shard = g.sent(3)
     assert np.array_equal(rows, np.lexsort([*ids[::-1], lm.shard_of(ids, 3)])) and np.array_equal(shard, lm.shard_of([c[rows] for c in ids], 3))
+
+
+def test_keys_that_leave_no_room_for_their_places_are_sorted_as_numbers(monkeypatch):
+    r = np.random.default_rng(8)
+    wide = r.integers(0, 1 << 56, 3000).repeat(3)
+    r.shuffle(wide)
+    wanted = np.unique(wide, return_index=True, return_inverse=True)
+    alike = np.array([1 << 61, (1 << 61) + 1, 5, 1 << 61])  # begin alike, so they are told apart by all bits
+    also = np.unique(alike, return_index=True, return_inverse=True)
+    for got, want in zip(lm.numbered(alike), also, strict=True):
+        assert np.array_equal(got, want)
+    monkeypatch.setattr(lm.np, "unique", None)
+    for got, want in zip(lm.numbered(wide), wanted, strict=True):
+        assert np.array_equal(got, want)
+
+
+def test_neighbours_that_begin_alike_are_searched_once(monkeypatch):
+    r = np.random.default_rng(9)
+    rows = np.unique(r.integers(0, 40, (3000, 3)), axis=0)
+    trie = Trie.of(list(rows[::2].T), np.arange(1, len(rows[::2]) + 1))
+    searched = []
+    successor = Sequence.successor
+    monkeypatch.setattr(Sequence, "successor", lambda s, a, b, x: searched.append(len(x)) or successor(s, a, b, x))
+    place = trie.find(list(rows.T))
+    assert place[::2].tolist() == list(range(len(rows[::2]))) and (place[1::2] == -1).all()
+    assert searched[0] == len(np.unique(rows[:, 0])) and searched[1] <= len(np.unique(rows[:, :2], axis=0))
+    mixed = r.permutation(len(rows))
+    assert np.array_equal(trie.find(list(rows[mixed].T)), place[mixed])
