@@ -98,7 +98,7 @@ class Sequence:
 
 
 class Trie:
-    """Sorted, different tuples with a 16-bit code each.
+    """Sorted, different tuples with a 32-bit code each, such as the rank of a count.
 
     The first level holds the different first items. A later level holds the successors of every node
     of the level above it, in order; its pointers say where a node's successors begin. Successors are
@@ -130,7 +130,7 @@ class Trie:
                 levels.append(Sequence.of(items + base[above]))
                 pointers.append(Sequence.of(starts))
             parent = np.cumsum(new) - 1
-        return cls(levels, pointers, codes.astype("<u2"))
+        return cls(levels, pointers, codes.astype("<u4"))
 
     def find(self, columns: list[np.ndarray]) -> np.ndarray:
         """Place of each tuple, -1 for those that are not there."""
@@ -159,8 +159,8 @@ class Trie:
 
     def code(self, columns: list[np.ndarray]) -> np.ndarray:
         """Code of each tuple, 0 for those that are not there."""
-        codes = np.append(self.codes, np.zeros(1, np.uint16))
-        out = [np.zeros(0, np.uint16)]
+        codes = np.append(self.codes, np.zeros(1, np.uint32))
+        out = [np.zeros(0, np.uint32)]
         for i in range(0, len(columns[0]), SLICE):
             # -1 is the place of the zero behind the codes
             out.append(codes[self.find([c[i : i + SLICE] for c in columns])])
@@ -181,4 +181,4 @@ class Trie:
         for _ in range(2 * n_levels - 1):
             sequence, at = Sequence.read(raw, at)
             found.append(sequence)
-        return cls(found[:n_levels], found[n_levels:], np.frombuffer(raw[at : at + 2 * n].tobytes(), "<u2"))
+        return cls(found[:n_levels], found[n_levels:], np.frombuffer(raw[at : at + 4 * n].tobytes(), "<u4"))

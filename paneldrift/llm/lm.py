@@ -9,10 +9,11 @@ The model is a trigram model of words with hierarchical Dirichlet smoothing:
 counted over all training documents, the start of a document being part of the contexts. Contexts seen
 only once give no distribution of their own; in all others the probabilities of a context add up to one.
 
-Documents are packed into blocks. Order by order, a block sends its different n-grams, with their
-training counts and what is known from the order below, to shards chosen by a hash of the whole n-gram,
-so that neither a hot word nor a hot context meets in one task. A shard adds up the counts, builds
-the trie of its n-grams with their quantised smoothed probabilities and answers each block from it.
+Documents are packed into blocks. Order by order, a block sends its different n-grams with their
+training counts to shards chosen by a hash of the whole n-gram, so that neither a hot word nor a hot
+context meets in one task. A shard adds up the counts, builds the trie of its n-grams with their counts
+and answers each block from it. The block knows the counts of the contexts from the order below and
+smooths by itself, so only counts travel: they pack into a fraction of what probabilities take.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, SPACE, discard, mix, prefix_hashes, range_hashes, required, text_chunks, written
-from .elias_fano import Trie, log10_of, quantised
+from .elias_fano import Trie
 
 #: Bytes of text of a block, and n-grams (as tokens that have a known context) for each shard.
 BLOCK_BYTES = 1 << 22
@@ -172,15 +173,9 @@ class Grams:
         order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         return held[order], shard[order]
 
-    def smoothed(self, codes: np.ndarray) -> np.ndarray:
-        """Probabilities: from the trie, for absent n-grams from the weight of the shorter context."""
-        absent = np.where(self.context >= LEAST, PRIOR * self.lower / (self.context + PRIOR), self.lower)
-        return np.where(codes > 0, probabilities(codes), absent)
-
-
-def probabilities(codes: np.ndarray) -> np.ndarray:
-    """Of codes, by a table: there are far fewer codes than n-grams."""
-    return (10.0 ** log10_of(np.arange(int(codes.max(initial=0)) + 1)))[codes]
+    def smoothed(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities from the counts of all training documents."""
+        return np.where(self.context >= LEAST, (counts + PRIOR * self.lower) / (self.context + PRIOR), self.lower)
 
 
 def shard_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
@@ -192,27 +187,21 @@ def shard_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- rows between blocks and shards
 
-MESSAGE = "shard bigint, block string, ids array<binary>, counts binary, context binary, lower binary"
-ANSWER = "shard bigint, block string, known bigint, counts binary, codes binary"
+MESSAGE = "shard bigint, block string, ids array<binary>, counts binary"
+ANSWER = "shard bigint, block string, known bigint, counts binary, word_ids binary"
 
 
 def messages(block: str, g: Grams, shards: int) -> Iterator[dict]:
     """One row per shard that the block has n-grams for."""
     rows, shard = g.sent(shards)
     cuts = np.flatnonzero(np.diff(shard)) + 1
-    codes = quantised(g.lower) if len(g.columns) > 1 else g.lower
     for part in np.split(rows, cuts) if len(rows) else []:
         columns = [c[part] for c in g.columns]
-        new = np.ones(len(part), bool)
-        if len(columns) > 1:
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
         yield {
             "shard": int(shard_of([c[:1] for c in columns], shards)[0]),
             "block": block,
             "ids": [pack(steps(columns[0])), *[pack(c) for c in columns[1:]]],
             "counts": pack(g.counts[part]),
-            "context": pack(g.context[part][new]),
-            "lower": pack(codes[part]),
         }
 
 
@@ -227,8 +216,8 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answers(shard: int, shards: int, sent: list[dict]) -> Iterator[dict]:
-    """What the blocks asked of a shard: counts of all training documents, and for single words their
-    ids, for longer n-grams the codes of the trie (0: not in it)."""
+    """What the blocks asked of a shard: counts of all training documents (0: in none), and the ids of
+    single words. Those of longer n-grams are read from the trie, which holds the ranks of the counts."""
     order = len(sent[0]["ids"])
     firsts = [np.cumsum(unpack(m["ids"][0])) for m in sent]
     upto = np.concatenate([[0], np.cumsum([len(f) for f in firsts])])
@@ -237,21 +226,12 @@ def answers(shard: int, shards: int, sent: list[dict]) -> Iterator[dict]:
     number, first = distinct(columns)
     counts = np.bincount(number, weights=np.concatenate([unpack(m["counts"]) for m in sent])).astype(np.int64)
     known = counts > 0
-    if order == 1:
-        codes = np.arange(len(first)) * shards + shard
-    else:
-        # a context's count stands once, where the context begins
-        new = np.zeros(len(number), bool)
-        for c in columns[:-1]:
-            new[1:] |= c[1:] != c[:-1]
-        new[upto[:-1]] = True
-        context = np.concatenate([unpack(m["context"]) for m in sent])[(np.cumsum(new) - 1)[first]]
-        lower = probabilities(np.concatenate([unpack(m["lower"]) for m in sent])[first])
+    if order > 1:
         grams = [c[first] for c in columns]
-        del columns, new
-        p = quantised(np.minimum((counts + PRIOR * lower) / (context + PRIOR), 1.0))
-        trie = Trie.open(Trie.of([c[known] for c in grams], p[known]).tobytes())
-        codes = trie.code(grams).astype(np.int64)
+        del columns
+        values, _, rank = numbered(counts[known])
+        trie = Trie.open(Trie.of([c[known] for c in grams], rank + 1).tobytes())
+        counts = np.append(0, values)[trie.code(grams)]
     for i, m in enumerate(sent):
         own = number[upto[i] : upto[i + 1]]
         yield {
@@ -259,18 +239,18 @@ def answers(shard: int, shards: int, sent: list[dict]) -> Iterator[dict]:
             "block": m["block"],
             "known": int(known.sum()) if i == 0 else 0,
             "counts": pack(counts[own]),
-            "codes": pack(codes[own]),
+            "word_ids": pack(own * shards + shard) if order == 1 else None,
         }
 
 
-def received(g: Grams, shards: int, answer: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and codes of all n-grams of a block, 0 for those that were not sent."""
+def received(g: Grams, shards: int, answer: list[dict] | None, *columns: str) -> list[np.ndarray]:
+    """Columns of the answers for all n-grams of a block, 0 for those that were not sent."""
     rows, _ = g.sent(shards)
-    counts, codes = np.zeros(len(g.counts), np.int64), np.zeros(len(g.counts), np.int64)
-    if len(rows):
-        counts[rows] = np.concatenate([unpack(a["counts"]) for a in answer])
-        codes[rows] = np.concatenate([unpack(a["codes"]) for a in answer])
-    return counts, codes
+    out = [np.zeros(len(g.counts), np.int64) for _ in columns]
+    for x, c in zip(out, columns):
+        if len(rows):
+            x[rows] = np.concatenate([unpack(a[c]) for a in answer])
+    return out
 
 
 # ---------------------------------------------------------------- Spark
@@ -313,7 +293,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
     second = fields("word_ids binary, word_counts binary, n_grams bigint")
 
     def with_words(row: dict) -> dict:
-        counts, ids = received(_single(row), s1, row["answer"])
+        counts, ids = received(_single(row), s1, row["answer"], "counts", "word_ids")
         return row | {"word_ids": pack(ids), "word_counts": pack(counts), "n_grams": sum(row["n_tokens"])}
 
     state = written(_mapped(_with_answers(blocks, found), with_words, second), "bigrams")
@@ -327,18 +307,17 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
 
     # written, so that the messages' shuffle is gone before blocks and answers meet
     found = written(_answered(_asked(state, lambda row: (two(row)[1], s2)), s2), "answers")
-    third = fields("word_ids binary, word_counts binary, bigram_counts binary, bigram_codes binary, n_grams bigint")
+    third = fields("word_ids binary, word_counts binary, bigram_counts binary, n_grams bigint")
 
     def three(row: dict) -> tuple[Line, Grams]:
         line, g = two(row)
-        p2 = g.smoothed(unpack(row["bigram_codes"]))
-        return line, line.trigrams(model, g, unpack(row["bigram_counts"]), p2)
+        counts = unpack(row["bigram_counts"])
+        return line, line.trigrams(model, g, counts, g.smoothed(counts))
 
     def with_bigrams(row: dict) -> dict:
         line, g = two(row)
-        counts, codes = received(g, s2, row["answer"])
-        row |= {"bigram_counts": pack(counts), "bigram_codes": pack(codes)}
-        return row | {"n_grams": int((line.pair_counts(model, counts) >= LEAST).sum())}
+        (counts,) = received(g, s2, row["answer"], "counts")
+        return row | {"bigram_counts": pack(counts), "n_grams": int((line.pair_counts(model, counts) >= LEAST).sum())}
 
     bigrams, state = state, written(_mapped(_with_answers(state, found), with_bigrams, third), "trigrams")
     discard(bigrams, found)
@@ -355,7 +334,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out:
 
     def scored(row: dict) -> dict:
         line, g = three(row)
-        p3 = g.smoothed(received(g, s3, row["answer"])[1])
+        p3 = g.smoothed(received(g, s3, row["answer"], "counts")[0])
         n = len(line.n)
 
         def summed(x: np.ndarray) -> np.ndarray:
@@ -468,5 +447,5 @@ def _answered(asked: DataFrame, shards: int) -> DataFrame:
 
 def _with_answers(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """Each block with its answers in the order of the shards."""
-    each = F.sort_array(F.collect_list(F.struct("shard", "counts", "codes"))).alias("answer")
+    each = F.sort_array(F.collect_list(F.struct("shard", "counts", "word_ids"))).alias("answer")
     return blocks.join(found.groupBy("block").agg(each), "block", "left")

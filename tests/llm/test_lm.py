@@ -173,3 +173,32 @@ def test_neighbours_that_begin_alike_are_searched_once(monkeypatch):
     assert searched[0] == len(np.unique(rows[:, 0])) and searched[1] <= len(np.unique(rows[:, :2], axis=0))
     mixed = r.permutation(len(rows))
     assert np.array_equal(trie.find(list(rows[mixed].T)), place[mixed])
+
+
+def test_only_ids_and_counts_travel():
+    r = np.random.default_rng(10)
+    line = np.unique(r.integers(0, 1 << 20, (4000, 2)), axis=0)
+    p = r.random(len(line))
+    g = lm.Grams(list(line.T), r.integers(0, 3, len(line)), r.integers(2, 40, len(line)), p, np.arange(len(line)))
+    sent = list(lm.messages("b", g, 3))
+    got = [a for m in sent for a in lm.answers(m["shard"], 3, [m])]
+    besides = sum(len(v) for row in (*sent, *got) for c, v in row.items() if c != "ids" and isinstance(v, bytes))
+    assert besides < len(line)  # one byte an n-gram, both ways
+    (counts,) = lm.received(g, 3, got, "counts")
+    assert counts.tolist() == g.counts.tolist()
+
+
+def test_counts_are_read_from_tries(monkeypatch):
+    g = lm.Grams([np.array([1, 1, 7]), np.array([2, 3, 2])], np.array([5, 0, 70_000]), np.full(3, 9), np.full(3, 0.5), np.arange(3))
+    (sent,) = lm.messages("b", g, 1)
+    twice = list(lm.answers(0, 1, [sent, sent | {"block": "c"}]))
+    assert [lm.unpack(a["counts"]).tolist() for a in twice] == [[10, 0, 140_000]] * 2 and [a["known"] for a in twice] == [2, 0]
+    monkeypatch.setattr(lm.Trie, "code", lambda trie, grams: np.zeros(len(grams[0]), np.int64))
+    assert lm.unpack(next(lm.answers(0, 1, [sent]))["counts"]).tolist() == [0, 0, 0]
+
+
+def test_scores_are_not_rounded(spark):
+    texts = [brute.prose(i % 5, 40 + i) for i in range(20)]
+    held = [i % 7 == 2 for i in range(20)]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(zip(range(20), texts, held)), "doc_id bigint, text string, held_out boolean")).collect()}
+    assert [got[i] for i in range(20)] == pytest.approx([row[4] for row in plain(texts, held)], rel=1e-11)
