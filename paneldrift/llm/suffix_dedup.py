@@ -283,10 +283,12 @@ def refined(rows: DataFrame, length: int) -> DataFrame:
 def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """doc, version, start, end: ranges of bytes whose strings of ``length`` occur elsewhere too
     (``keep_first``: at an earlier position of the corpus, by doc_id and offset)."""
+    # counts are written before they are joined: Spark splits a hot key's rows where a join reads tables, not aggregates
     found = written(points(keyed, length), "sync_points")
     repeated = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    repeated = written(repeated, "repeated")
     shared = written(found.join(repeated, "seed"), "shared_points")
-    discard(found)
+    discard(found, repeated)
     place = F.struct("doc", "version", "pos", "lo", "hi")
     # lo and hi tell how long a context is and where the point lies in it
     same = ["seed", "context", "lo", "hi"]
@@ -312,11 +314,12 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
         .where((F.col("kinds") > 1) & (F.lit(keep_first) | (F.col("least") == 1)))
         .select("seed", "kinds")
     )
+    mixed = written(mixed, "mixed")
     chosen = alike.join(mixed, "seed").select(
         F.col("seed").alias("key"), "kinds", "first.*", (F.lit(keep_first) | (F.col("n") == 1)).alias("wanted")
     )
     read = chosen = written(chosen, "chosen")
-    discard(alike)
+    discard(alike, mixed)
     small = contexts(chosen.where(F.col("kinds") <= GROUP), bodies, length)
     ranges = ranges.union(written(decided(small, length, keep_first), "ranges"))
 
@@ -329,6 +332,7 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
         halves = written(refined(large, length), "refined")
         discard(read)
         alike = halves.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("first"))
+        alike = written(alike, "hulls")
         told = halves.join(alike, ["key", "hull"])
         # the same hull as another: all these strings are copied
         copies = told.where(F.col("wanted") & (F.col("n") > 1))
@@ -341,10 +345,11 @@ def copied_ranges(keyed: DataFrame, bodies: DataFrame, length: int, keep_first:
         # the rest: one for each distinct hull
         rest = told.where(spot == F.col("first")).withColumn("wanted", F.col("wanted") & (F.lit(keep_first) | (F.col("n") == 1)))
         rest = written(rest.drop("n", "first"), "rest")
-        discard(halves)
+        discard(halves, alike)
         sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("wanted").alias("open"))
-        read = sized = written(rest.join(sizes.where("kinds > 1 and open").drop("open"), "key"), "sized")
-        discard(rest)
+        sizes = written(sizes.where("kinds > 1 and open").drop("open"), "sizes")
+        read = sized = written(rest.join(sizes, "key"), "sized")
+        discard(rest, sizes)
         small = sized.where(F.col("kinds") <= GROUP).drop("kinds", "from", "to", "hull")
         ranges = ranges.union(written(decided(small, length, keep_first), "ranges"))
         chosen = sized.where(F.col("kinds") > GROUP)

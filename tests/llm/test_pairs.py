@@ -239,6 +239,25 @@ def test_copied_ranges_leave_only_ranges_on_disk(spark, monkeypatch):
     assert "refined" in names.values() and left == {"ranges"}
 
 
+def test_joins_by_hot_keys_read_tables_that_spark_can_split(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(suffix_dedup, "GROUP", 4)
+    monkeypatch.setattr(
+        suffix_dedup,
+        "written",
+        lambda df, name="table", f=common.written: plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df, name),
+    )
+    passage, line = brute.prose(3, 60), "the same line again and again, " * 60
+    texts = [f"{brute.prose(10 + k, 30)} {passage} {brute.prose(40 + k, 30)} {line}" for k in range(8)]
+    got = suffix_dedup.remove_copies(docs_table(spark, texts), 100, keep_first=False).collect()
+    raw = [t.encode() for t in texts]
+    for row, mark in zip(sorted(got, key=lambda r: r["doc_id"]), brute.copied(raw, 100, False), strict=True):
+        assert [(s["start"], s["end"]) for s in row["spans"]] == brute.spans(mark)
+    joins = {n: [p for p in made if "Join" in p] for n, made in plans.items() if n in ("shared_points", "chosen", "rest", "sized")}
+    assert len(joins) == 4 and all(joins.values())
+    assert [n for n, made in joins.items() for p in made if "Aggregate" in p] == []
+
+
 def test_copied_strings_of_repeated_rows_and_empty_tables(spark):
     t = brute.prose(8, 100)
     table = docs_table(spark, [t, t, "other"], [None, None, 3])
