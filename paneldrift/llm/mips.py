@@ -120,11 +120,12 @@ def top_k(vectors: DataFrame, k: int = 5) -> DataFrame:
 
     candidates = packed(rows, "candidates")
     queries = packed(rows.where("is_query"), "queries")
-    longest = candidates.orderBy(F.desc("longest"), "block").limit(1).collect()
+    # every task sends its longest block's number, one task the block: at most BLOCK_BYTES
+    longest = candidates.select("longest", "block").orderBy(F.desc("longest"), "block").limit(1).collect()
     if not longest:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    # one block: at most BLOCK_BYTES
-    first = vectors.sparkSession.sparkContext.broadcast((bytes(longest[0]["ids"]), bytes(longest[0]["data"])))
+    block = candidates.where(F.col("block") == longest[0]["block"]).select("ids", "data").collect()[0]
+    first = vectors.sparkSession.sparkContext.broadcast((bytes(block["ids"]), bytes(block["data"])))
 
     def numbers(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, width)

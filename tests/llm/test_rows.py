@@ -107,6 +107,27 @@ def test_top_k_against_all_products(spark):
     assert [tuple(r) for r in mips.top_k(few).collect()] == [(1, 1, 2, 6)]
 
 
+def test_top_k_sends_one_block_to_the_driver(spark):
+    x = np.random.default_rng(4).integers(-60, 60, size=(16000, 16))
+    rows = [(i, [int(v) for v in p], i % 4000 == 0) for i, p in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id bigint, vector array<bigint>, is_query boolean").repartition(8)
+    settings, blocks = spark.sparkContext._jsc.sc().conf(), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = settings.get("spark.driver.maxResultSize", "1g")
+    spark.conf.set(blocks, "false")  # eight blocks of 256 KB, each in a task of its own
+    settings.set("spark.driver.maxResultSize", "1m")
+    try:
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in mips.top_k(frame, 5).collect()}
+    finally:
+        settings.set("spark.driver.maxResultSize", before)
+        spark.conf.unset(blocks)
+    expected = {}
+    for q in range(0, 16000, 4000):
+        scores = x @ x[q]
+        order = [j for j in np.lexsort((np.arange(16000), -scores)) if j != q][:5]
+        expected |= {(q, k + 1): (j, scores[j]) for k, j in enumerate(order)}
+    assert got == expected
+
+
 # ---------------------------------------------------------------- secrets
 
 
