@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import os
 import random
 import re
@@ -17,7 +18,7 @@ import tiktoken
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from paneldrift.llm import bpe, langid, licenses, mips, mixing, quality, secrets  # noqa: E402
+from paneldrift.llm import blocks, bpe, langid, licenses, mips, mixing, quality, secrets  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id bigint, text string, source string, size string, spans int"
@@ -111,15 +112,15 @@ def test_top_k_sends_one_block_to_the_driver(spark):
     x = np.random.default_rng(4).integers(-60, 60, size=(16000, 16))
     rows = [(i, [int(v) for v in p], i % 4000 == 0) for i, p in enumerate(x)]
     frame = spark.createDataFrame(rows, "id bigint, vector array<bigint>, is_query boolean").repartition(8)
-    settings, blocks = spark.sparkContext._jsc.sc().conf(), "spark.sql.adaptive.coalescePartitions.enabled"
+    settings, joined = spark.sparkContext._jsc.sc().conf(), "spark.sql.adaptive.coalescePartitions.enabled"
     before = settings.get("spark.driver.maxResultSize", "1g")
-    spark.conf.set(blocks, "false")  # eight blocks of 256 KB, each in a task of its own
+    spark.conf.set(joined, "false")  # eight blocks of 256 KB, each in a task of its own
     settings.set("spark.driver.maxResultSize", "1m")
     try:
         got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in mips.top_k(frame, 5).collect()}
     finally:
         settings.set("spark.driver.maxResultSize", before)
-        spark.conf.unset(blocks)
+        spark.conf.unset(joined)
     expected = {}
     for q in range(0, 16000, 4000):
         scores = x @ x[q]
@@ -128,6 +129,41 @@ def test_top_k_sends_one_block_to_the_driver(spark):
     assert got == expected
 
 
+def test_top_k_tasks_return_k_rows_a_query(spark, monkeypatch):
+    x = np.random.default_rng(5).integers(-60, 60, size=(2000, 12))
+    rows = [(i, [int(v) for v in p], i % 20 == 0) for i, p in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id bigint, vector array<bigint>, is_query boolean").repartition(4)
+    made, plain = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda *a, **b: made.append(plain(*a, **b)) or made[-1])
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1)  # 16 vectors a block
+    monkeypatch.setattr(mips, "SHARDS", 1)
+    mips.top_k(frame, 5)
+    assert made[-1].count() == 500
+
+
+@pytest.mark.parametrize("size", [60, 1 << 20, 1 << 28])
+def test_top_k_over_a_grid_of_tasks(spark, monkeypatch, size):
+    # products of two lengths below 2^24, below 2^52 and above
+    x = np.random.default_rng(6).integers(-size, size, size=(400, 12))
+    x[100:200] = x[:100]
+    ids = [i if i < 300 else i - 290 for i in range(400)]  # ids with two vectors
+    rows = [(i, [int(v) for v in p], i % 9 == 0) for i, p in zip(ids, x, strict=True)]
+    frame = spark.createDataFrame(rows, "id bigint, vector array<bigint>, is_query boolean").repartition(4)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(mips, "SHARD_BLOCKS", 0.2, raising=False)
+    monkeypatch.setattr(mips, "QUERY_BLOCKS", 0.5, raising=False)
+    got = {}
+    for r in mips.top_k(frame, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    scores = {}
+    for q, i in itertools.product(range(400), repeat=2):
+        if ids[q] % 9 == 0 and ids[q] != ids[i]:
+            of = scores.setdefault(ids[q], {})
+            of[ids[i]] = max(of.get(ids[i], -(1 << 63)), int(x[q] @ x[i]))
+    best = {q: sorted(of.items(), key=lambda p: (-p[1], p[0]))[:5] for q, of in scores.items()}
+    assert {q: sorted(f) for q, f in got.items()} == {q: [(n + 1, *p) for n, p in enumerate(f)] for q, f in best.items()}
+
+
 # ---------------------------------------------------------------- secrets
 
 
